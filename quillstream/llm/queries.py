@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash, tokencount
+from . import bpe, maintext, pii, quality, secrets, simhash, tokencount
 from .common import read_table
 
 #: Rank file, pattern and model that the queries use; the operators take any.
@@ -15,12 +15,27 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that importance resampling keeps."""
+    return quality.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids and decoded text of every document, as digests."""
     encoded = bpe.encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return bpe.digests(encoded)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.digests(secrets.find_secrets(read_table(spark, sf_dir, "documents")))
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return maintext.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return tokencount.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
@@ -31,10 +46,19 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op8_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.digests(pii.find_personal(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_secrets": op3_secrets,
+    "op4_main_text": op4_main_text,
     "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
+    "op8_personal": op8_personal,
 }
 
 #: Only where SQL can express the query.
