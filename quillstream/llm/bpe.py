@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import blocks, id_and_text, small_batches
 
-#: States, compatible pairs and words that one process keeps before it starts afresh.
-MAX_STATES, MAX_PAIRS, MAX_WORDS = 100_000, 300_000, 350_000
+#: States that one process keeps; what they don't cover is worked out anew each time.
+MAX_STATES = 150_000
+#: Known pairs and words that one process keeps before it starts afresh.
+MAX_PAIRS, MAX_WORDS = 500_000, 350_000
 #: Tokens that the decoder joins at a time.
 DECODE_BLOCK = 65_536
 
@@ -88,8 +90,12 @@ class Transducer:
                 self.fail[node] = self._goto(self.fail[up], byte)
             own = ((at_node[node], depth[node]),) if at_node[node] >= 0 else ()
             self.ends[node] = own + self.ends[self.fail[node]] if own else self.ends[self.fail[node]]
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self._reset()
+        self.pairs: dict[int, bool] = {}
+        start = (-1, 0, ((),))
+        self.ids = {start: 0}
+        self.states = [start]
+        self.final: list[tuple[int, ...]] = [()]
+        self.moves: dict[int, tuple[tuple[int, ...], int]] = {}
 
     def _goto(self, node: int, byte: int) -> int:
         while True:
@@ -100,15 +106,8 @@ class Transducer:
                 return 0
             node = self.fail[node]
 
-    def _reset(self) -> None:
-        start = (-1, 0, ((),))
-        self.ids = {start: 0}
-        self.states = [start]
-        self.final: list[tuple[int, ...]] = [()]
-        self.moves: dict[int, tuple[tuple[int, ...], int]] = {}
-
     def _compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left + 1 << 32 | right
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= MAX_PAIRS:
@@ -156,20 +155,12 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > MAX_STATES:
-            self._reset()
         state, out, moves = 0, [], self.moves
-        for byte in piece:
+        for at, byte in enumerate(piece):
             move = moves.get(state << 8 | byte)
             if move is None:
-                if len(self.states) > 2 * MAX_STATES:  # within one very long pre-token
-                    key = self.states[state]
-                    self._reset()
-                    moves = self.moves
-                    state = self.ids.setdefault(key, len(self.states))
-                    if state == len(self.states):
-                        self.states.append(key)
-                        self.final.append(key[2][-1])
+                if len(self.states) >= MAX_STATES:
+                    return self._rest(state, piece[at:], out)
                 move = self._step(state, byte)
             emit, state = move
             if emit:
@@ -177,6 +168,32 @@ class Transducer:
         out.extend(self.final[state])
         return out
 
+    def _rest(self, state: int, piece: bytes, out: list[int]) -> list[int]:
+        """The same transitions without keeping the states: of each position only its last token."""
+        last, node, outs = self.states[state]
+        trie, ends, pairs, compatible = self.trie, self.ends, self.pairs, self._compatible
+        lasts = [x[-1] if x else last for x in outs]
+        sizes = []
+        for byte in piece:
+            down = trie.get(node << 8 | byte)
+            node = self._goto(node, byte) if down is None else down
+            for rank, size in ends[node]:
+                before = lasts[-size]
+                known = pairs.get(before + 1 << 32 | rank)
+                if known or known is None and compatible(before, rank):
+                    break
+            else:
+                raise ValueError(f"the vocabulary can't spell byte {byte}")
+            lasts.append(rank)
+            sizes.append(size)
+        back, at = [], len(sizes)
+        while at > 0:
+            back.append(lasts[at - len(sizes) - 1])
+            at -= sizes[at - 1]
+        out.extend(outs[len(outs) - 1 + at])
+        out.extend(reversed(back))
+        return out
+
 
 class _Irregular(Exception):
     """Blanks that cutting at single spaces can't handle."""
