@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, maintext, pii, quality, secrets, simhash, tokencount
+from . import bpe, capfilters, decontaminate, maintext, pii, quality, secrets, simhash, tokencount
 from .common import read_table
 
 #: Rank file, pattern and model that the queries use; the operators take any.
@@ -36,6 +36,11 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold stretches of benchmark items."""
+    return decontaminate.overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return tokencount.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
@@ -51,15 +56,22 @@ def op8_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_personal(read_table(spark, sf_dir, "documents")))
 
 
+def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of the embeddings."""
+    return capfilters.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_secrets": op3_secrets,
     "op4_main_text": op4_main_text,
+    "op5_decontaminate": op5_decontaminate,
     "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
     "op8_personal": op8_personal,
+    "op9_cap_filters": op9_cap_filters,
 }
 
 #: Only where SQL can express the query.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE}
