@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, capfilters, decontaminate, maintext, pii, quality, secrets, simhash, tokencount
+from . import bpe, capfilters, decontaminate, lmscore, maintext, pii, quality, secrets, simhash, tokencount
 from .common import read_table
 
 #: Rank file, pattern and model that the queries use; the operators take any.
@@ -61,6 +61,11 @@ def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capfilters.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baseline and network scores of every document."""
+    return lmscore.score(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_byte_bpe": op2_byte_bpe,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_personal": op8_personal,
     "op9_cap_filters": op9_cap_filters,
+    "op10_lm_score": op10_lm_score,
 }
 
 #: Only where SQL can express the query.
