@@ -4,10 +4,502 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import media as M
+from ..functions import patterns as P
+from ..functions import text as X
+from ..functions import tokens as K
+from ..functions import urls as U
+from ..functions.times import timestamp
+from ..operators import dedupe, events, gates, merge, queue, rights, threads
+from ..sources import html
+from . import adapters as A
 
 #: Name of the query that ``entry`` runs.
 FLAGSHIP = "next_item"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its function's name."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+LOG_SQL = """log AS (SELECT CASE event_type WHEN 'purchase' THEN 'published' WHEN 'click' THEN 'comment_posted' WHEN 'signup' THEN 'meta_cooldown' ELSE event_type END AS event,
+  user_id + 1 AS telegram_id, 'p' || (event_id % 997) AS post, ts AS tm, CASE WHEN event_id % 3 <> 0 THEN 'c' || event_id ELSE '' END AS first_comment, event_id AS seq FROM events)"""
+
+QUEUE_SQL = """q AS (SELECT o_orderkey + 1 AS telegram_id, CASE WHEN o_orderstatus = 'F' THEN 'duplicate' ELSE 'ready' END AS status, CASE WHEN o_orderkey % 29 = 0 THEN 'ar' ELSE 'en' END AS language,
+  o_orderdate AS tm, o_orderkey % 2 = 0 AS sourced, o_custkey, o_custkey % 3 AS version,
+  CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderpriority LIKE '2%' THEN 1 WHEN o_orderpriority LIKE '3%' THEN 2 ELSE 3 END AS att,
+  CASE o_orderkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 ELSE 0 END AS kind,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'sensitive_claim_without_source' WHEN o_orderkey % 13 = 0 THEN 'competition_result_without_source' WHEN o_orderkey % 17 = 0 THEN 'disputed_intrusion_without_source'
+    WHEN o_orderkey % 19 = 0 THEN 'unsupported_low_information_claim' WHEN o_orderkey % 23 = 0 THEN 'empty' ELSE '' END AS claim FROM orders)"""
+
+TERMINAL_SQL = "terminal AS (SELECT DISTINCT l_orderkey + 1 AS telegram_id FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1)"
+
+REASON_SQL = f"""reasoned AS (SELECT q.*, CASE WHEN claim = 'empty' THEN 'missing_editorial_text' WHEN language <> 'en' THEN 'pending_english_rewrite' WHEN claim <> '' AND NOT sourced THEN claim
+  WHEN tm > TIMESTAMP '{A.NOW_ORDERS}' + INTERVAL 5 MINUTE THEN 'unverified_source_date' WHEN TIMESTAMP '{A.NOW_ORDERS}' > tm + INTERVAL 24 HOUR THEN 'stale_source' ELSE '' END AS reason
+  FROM q WHERE status = 'ready' AND telegram_id NOT IN (SELECT telegram_id FROM terminal))"""
+
+RANK_SQL = f"CASE WHEN TIMESTAMP '{A.NOW_ORDERS}' >= tm + INTERVAL 6 HOUR THEN least(att, 2) ELSE att END, kind, tm DESC, telegram_id DESC"
+
+
+def _terminal_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returned first lines as final events; no publication, so no cap applies."""
+    lines = A.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_linenumber = 1")
+    none = F.lit(None).cast("string")
+    return lines.select(F.lit("expired").alias("event"), (F.col("l_orderkey") + 1).alias("telegram_id"), none.alias("published_at"), none.alias("facebook_post_id"), none.alias("first_comment"), F.col("l_orderkey").alias("ingest_seq"))
+
+
+# --- scans, folds and states -------------------------------------------------
+
+
+@query("SELECT event_id, user_id, event_type, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE value > 50")
+def event_scan(spark, d):
+    """A log scan with a field of its JSON column; the filter reaches the scan."""
+    return A.table(spark, d, "events").where("value > 50").select("event_id", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query(f"WITH {LOG_SQL} SELECT DISTINCT telegram_id FROM log WHERE event = 'published' AND telegram_id > 0")
+def published_ids(spark, d):
+    return events.ids_with(A.delivery_log(spark, d), ("published",))
+
+
+@query(f"""WITH {LOG_SQL}, p AS (SELECT telegram_id, max(seq) AS ps, arg_max(post, seq) AS post_id, arg_max(first_comment, seq) AS comment FROM log WHERE event = 'published' GROUP BY 1),
+c AS (SELECT telegram_id, max(seq) AS cs FROM log WHERE event = 'comment_posted' GROUP BY 1)
+SELECT p.telegram_id, post_id, comment, coalesce(cs > ps, false) AS comment_posted FROM p LEFT JOIN c USING (telegram_id)""")
+def delivery_state(spark, d):
+    """Order-dependent fold of the log by item."""
+    return events.delivery_state(A.delivery_log(spark, d))
+
+
+@query(f"WITH {LOG_SQL} SELECT CAST(epoch_us(max(tm)) AS BIGINT) AS last_at FROM log WHERE event = 'published'")
+def last_published(spark, d):
+    return events.last_published(A.delivery_log(spark, d)).select(F.unix_micros("last_at").alias("last_at"))
+
+
+@query(f"""WITH {LOG_SQL}, p AS (SELECT telegram_id, max(seq) AS ps, arg_max(first_comment, seq) AS comment FROM log WHERE event = 'published' GROUP BY 1),
+c AS (SELECT telegram_id, max(seq) AS cs FROM log WHERE event = 'comment_posted' GROUP BY 1)
+SELECT p.telegram_id, comment FROM p LEFT JOIN c USING (telegram_id) WHERE comment <> '' AND NOT coalesce(cs > ps, false)""")
+def comments_to_retry(spark, d):
+    return events.comments_to_retry(A.delivery_log(spark, d)).select("telegram_id", "comment")
+
+
+@query(f"""WITH {LOG_SQL}, e AS (SELECT post, arg_max(tm, seq) AS tm FROM log WHERE event = 'published' AND tm > TIMESTAMP '{A.NOW_EVENTS}' - INTERVAL 24 HOUR GROUP BY 1)
+SELECT count(*) AS last_day, count(*) FILTER (WHERE tm > TIMESTAMP '{A.NOW_EVENTS}' - INTERVAL 1 HOUR) AS last_hour FROM e""")
+def rolling_caps(spark, d):
+    return events.rolling_counts(A.delivery_log(spark, d), A.at(A.NOW_EVENTS))
+
+
+@query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '23 hours 59 minutes 59.999999 seconds' PRECEDING AND CURRENT ROW) AS last_day FROM events WHERE event_type = 'purchase'""")
+def rolling_history(spark, d):
+    """The cap's count at every past event; the window is split by user."""
+    rows = A.table(spark, d, "events").where("event_type = 'purchase'").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-(24 * 3_600_000_000 - 1), 0)
+    return rows.select("event_id", F.count("*").over(w).alias("last_day"))
+
+
+@query(f"WITH {LOG_SQL} SELECT CAST(epoch_us(max(tm)) AS BIGINT) AS cooling_until FROM log WHERE event = 'meta_cooldown' AND tm > TIMESTAMP '{A.NOW_EVENTS}'")
+def cooldown_gate(spark, d):
+    return events.cooling_until(A.delivery_log(spark, d), A.at(A.NOW_EVENTS)).select(F.unix_micros("cooling_until").alias("cooling_until"))
+
+
+@query("""WITH g AS (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)
+SELECT event_id, CAST(epoch_us(greatest(ts, prev + INTERVAL 30 MINUTE)) AS BIGINT) AS publish_at,
+CASE WHEN prev IS NULL THEN 'facebook_bootstrap_publish_when_ready' WHEN ts >= prev + INTERVAL 30 MINUTE THEN 'minimum_gap_already_satisfied' ELSE 'small_gap_between_consecutive_posts' END AS reason,
+coalesce(ts < prev + INTERVAL 30 MINUTE, false) AS must_wait FROM g""")
+def recommended_times(spark, d):
+    """When each event might go out, given the one before it of the same user."""
+    rows = A.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    prev = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = rows.withColumn("prev", prev).withColumn("r", queue.recommended_time(F.col("ts"), F.col("prev")))
+    return rows.select("event_id", F.unix_micros("r.publish_at").alias("publish_at"), "r.reason", queue.must_wait(F.col("ts"), F.col("prev")).alias("must_wait"))
+
+
+# --- merges --------------------------------------------------------------------
+
+
+@query("""WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, length(l_partkey::VARCHAR) DESC, l_partkey % 2, l_partkey) AS rn FROM lineitem)
+SELECT l_orderkey + 1 AS telegram_id, l_linenumber AS editorial_version, l_partkey AS part FROM m WHERE rn = 1""")
+def merged_log(spark, d):
+    """Two halves of a log, the better row of each key."""
+    rows = A.table(spark, d, "lineitem").select((F.col("l_orderkey") + 1).alias("telegram_id"), F.col("l_linenumber").alias("editorial_version"), F.col("l_partkey").alias("part"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("ingest_seq"))
+    both = merge.merge_logs(rows.where("part % 2 = 0"), rows.where("part % 2 = 1"), merge.id_key)
+    return both.select("telegram_id", "editorial_version", "part")
+
+
+@query(f"WITH {QUEUE_SQL} SELECT o_custkey, arg_max(telegram_id, version * 1000000000 + telegram_id) AS telegram_id FROM q GROUP BY 1")
+def latest_versions(spark, d):
+    return merge.latest_version(A.order_queue(spark, d), "o_custkey").select("o_custkey", "telegram_id")
+
+
+@query("""SELECT max(last_seen_id) AS last_seen_id, arg_max(updated_at, last_seen_id) AS updated_at FROM (SELECT max(event_id) AS last_seen_id, 'a' AS updated_at FROM events WHERE event_id % 2 = 0
+UNION ALL SELECT max(event_id), 'b' FROM events WHERE event_id % 2 = 1)""")
+def merged_state(spark, d):
+    rows = A.table(spark, d, "events")
+    side = lambda k, t: rows.where(F.col("event_id") % 2 == k).agg(F.max("event_id").alias("last_seen_id")).withColumn("updated_at", F.lit(t))
+    return merge.merge_collector_state(side(0, "a"), side(1, "b"))
+
+
+@query("""SELECT greatest(a.m, b.m) AS last_processed_id, greatest(a.n, b.n) AS processed_count, 'b' AS updated_at FROM (SELECT max(o_orderkey) AS m, count(*) AS n FROM orders WHERE o_orderstatus = 'O') a,
+(SELECT max(o_orderkey) AS m, count(*) AS n FROM orders WHERE o_orderstatus = 'P') b""")
+def merged_prepare_state(spark, d):
+    rows = A.table(spark, d, "orders")
+    side = lambda k, t: rows.where(F.col("o_orderstatus") == k).agg(F.max("o_orderkey").alias("last_processed_id"), F.count("*").alias("processed_count")).withColumn("updated_at", F.lit(t))
+    return merge.merge_prepare_state(side("O", "a"), side("P", "b"))
+
+
+# --- queues --------------------------------------------------------------------
+
+
+@query("SELECT c_custkey AS telegram_id FROM customer WHERE c_custkey > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'P') AND c_custkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R')")
+def waiting_for_preparation(spark, d):
+    """Inbox without what is ready in the wanted language or done."""
+    inbox = A.table(spark, d, "customer").select(F.col("c_custkey").alias("telegram_id"))
+    ready = A.table(spark, d, "orders").select(F.col("o_custkey").alias("telegram_id"), F.lit("ready").alias("status"), F.when(F.col("o_orderstatus") == "P", "ar").otherwise("en").alias("language"), F.lit(None).cast("array<bigint>").alias("telegram_ids"))
+    done = A.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.lit("published").alias("event"), F.col("l_suppkey").alias("telegram_id"))
+    return queue.to_prepare(inbox, ready, done)
+
+
+@query(f"WITH {QUEUE_SQL}, {TERMINAL_SQL} SELECT telegram_id FROM q WHERE status = 'ready' AND telegram_id NOT IN (SELECT telegram_id FROM terminal)")
+def waiting_for_publication(spark, d):
+    return queue.to_publish(A.order_queue(spark, d), _terminal_log(spark, d)).select("telegram_id")
+
+
+@query(f"WITH {QUEUE_SQL}, {TERMINAL_SQL} SELECT telegram_id, version FROM q WHERE telegram_id IN (SELECT telegram_id FROM terminal)")
+def already_published(spark, d):
+    """Ready rows that went out: a semi join."""
+    return A.order_queue(spark, d).join(_terminal_log(spark, d).select("telegram_id"), "telegram_id", "left_semi").select("telegram_id", F.col("editorial_version").alias("version"))
+
+
+@query(f"WITH {QUEUE_SQL}, {TERMINAL_SQL}, {REASON_SQL} SELECT reason, count(*) AS items FROM reasoned GROUP BY 1")
+def held_reasons(spark, d):
+    """How many pending items each reason keeps back."""
+    log = _terminal_log(spark, d)
+    pending = queue.to_publish(A.order_queue(spark, d), log)
+    return queue.with_reasons(pending, log, A.at(A.NOW_ORDERS)).groupBy("reason").agg(F.count("*").alias("items"))
+
+
+@query(f"""WITH {QUEUE_SQL}, {TERMINAL_SQL}, {REASON_SQL} SELECT CASE WHEN reason = 'stale_source' THEN 'expired' ELSE 'editorial_hold' END AS event, telegram_id, reason FROM reasoned
+WHERE reason NOT IN ('', 'pending_english_rewrite')""")
+def held_events(spark, d):
+    log = _terminal_log(spark, d)
+    reasoned = queue.with_reasons(queue.to_publish(A.order_queue(spark, d), log), log, A.at(A.NOW_ORDERS))
+    return events.held_events(reasoned, A.at(A.NOW_ORDERS)).select("event", "telegram_id", "reason")
+
+
+@query(f"""WITH {QUEUE_SQL}, {TERMINAL_SQL}, {REASON_SQL}, nxt AS (SELECT telegram_id FROM reasoned WHERE reason = '' ORDER BY {RANK_SQL} LIMIT 1)
+SELECT telegram_id, reason, telegram_id IN (SELECT telegram_id FROM nxt) AS is_next FROM reasoned""")
+def next_item(spark, d):
+    """Which item goes out next, and why every other item is held."""
+    log, now = _terminal_log(spark, d), A.at(A.NOW_ORDERS)
+    reasoned = queue.with_reasons(queue.to_publish(A.order_queue(spark, d), log), log, now)
+    first = F.broadcast(queue.next_item(reasoned, now).select("telegram_id", F.lit(True).alias("is_next")))  # one row
+    return reasoned.join(first, "telegram_id", "left").select("telegram_id", "reason", F.coalesce("is_next", F.lit(False)).alias("is_next"))
+
+
+@query(f"WITH {QUEUE_SQL}, r AS (SELECT o_custkey, telegram_id, row_number() OVER (PARTITION BY o_custkey ORDER BY {RANK_SQL}) AS place FROM q) SELECT * FROM r WHERE place <= 3")
+def priority_queue(spark, d):
+    """The first three items of each customer by priority."""
+    rows = A.order_queue(spark, d)
+    key = queue.priority(F.col("editorial.attention_label"), F.col("editorial.content_type"), timestamp(F.col("source_published_at")), F.col("telegram_id"), A.at(A.NOW_ORDERS))
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(key))
+    return rows.withColumn("place", place).where("place <= 3").select("o_custkey", "telegram_id", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH {LOG_SQL}, w(step, reason, id) AS (SELECT 0, 'pending_ai_retry', c_custkey FROM customer WHERE c_custkey > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey > 0)
+UNION ALL SELECT 1, 'pending_facebook_queue', o_custkey FROM orders WHERE o_custkey > 0 AND o_custkey NOT IN (SELECT telegram_id FROM log WHERE event = 'published' AND telegram_id > 0)),
+k AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM w WHERE step = (SELECT min(step) FROM w))
+SELECT true AS run, any_value(reason) AS reason, '[' || string_agg(id::VARCHAR, ', ' ORDER BY id) || ']' AS pending_ids FROM k WHERE n <= 10""")
+def probe(spark, d):
+    """Whether a run is needed, and the first ids that wait."""
+    inbox = A.table(spark, d, "customer").select(F.col("c_custkey").alias("telegram_id"))
+    ready = A.table(spark, d, "orders").select(F.col("o_custkey").alias("telegram_id"), F.lit("ready").alias("status"))
+    log = A.delivery_log(spark, d)
+    found = queue.probe(inbox, ready, log, 5, 9)
+    return found.select("run", "reason", F.concat(F.lit("["), F.array_join(F.col("pending_ids").cast("array<string>"), ", "), F.lit("]")).alias("pending_ids"))
+
+
+# --- threads -------------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT conv_id * 100 + turn + 1 AS id, turn, conv_id, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS text FROM conversations)
+SELECT a.id, (SELECT count(*) FROM c b WHERE b.conv_id = a.conv_id AND b.turn < a.turn AND b.turn >= a.turn - 3) AS parents,
+coalesce((SELECT string_agg(b.id::VARCHAR, ',' ORDER BY b.turn) FROM c b WHERE b.conv_id = a.conv_id AND b.turn < a.turn AND b.turn >= a.turn - 3), '') AS ids,
+coalesce((SELECT md5(string_agg(left(b.text, 4000), '|' ORDER BY b.turn)) FROM c b WHERE b.conv_id = a.conv_id AND b.turn < a.turn AND b.turn >= a.turn - 3), md5('')) AS texts FROM c a""")
+def reply_context(spark, d):
+    """Up to three earlier turns of each turn, oldest first."""
+    first = A.table(spark, d, "conversations").groupBy("conv_id").agg(F.min("turn").alias("first"))
+    rows = A.table(spark, d, "conversations").join(first, "conv_id").select((F.col("conv_id") * 100 + F.col("turn") + 1).alias("id"), F.when(F.col("turn") > F.col("first"), F.col("conv_id") * 100 + F.col("turn")).alias("up"), "text")
+    rows = rows.withColumn("ingest_seq", F.col("id"))
+    out = threads.reply_context(rows, rows, "id", "up", "text")
+    return out.select(
+        "id", F.size("reply_context").cast("long").alias("parents"), F.array_join(F.transform("reply_context", lambda r: r["id"].cast("string")), ",").alias("ids"),
+        F.md5(F.array_join(F.transform("reply_context", lambda r: r["text"]), "|").cast("binary")).alias("texts"),
+    )
+
+
+# --- text, tokens, links ---------------------------------------------------------
+
+
+@query("SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS visible FROM documents")
+def visible_text(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", F.md5(X.visible(F.col("text")).cast("binary")).alias("visible"))
+
+
+@query("SELECT doc_id, md5(lower(trim(regexp_replace(text, '[^\\p{L}\\p{N}_]+', ' ', 'g')))) AS key FROM documents")
+def visible_key(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", F.md5(X.visible_key(F.col("text")).cast("binary")).alias("key"))
+
+
+@query("""SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split('Follow us on Telegram' || chr(10) || text || chr(10) || ' Read more: ', chr(10)), lambda x: trim(x)),
+lambda x: x <> '' AND NOT (lower(x) LIKE '%follow%' AND (lower(x) LIKE '%telegram%' OR lower(x) LIKE '%twitter%' OR lower(x) LIKE '%x.com%')) AND lower(x) NOT IN ('read more', 'read more:')), chr(10))) AS cleaned
+FROM documents WHERE text NOT LIKE '%' || chr(10) || chr(10) || '%'""")
+def promo_free(spark, d):
+    text = F.concat(F.lit("Follow us on Telegram\n"), F.col("text"), F.lit("\n Read more: "))
+    return A.table(spark, d, "documents").where(~F.contains("text", F.lit("\n\n"))).select("doc_id", F.md5(F.regexp_replace(X.drop_promo_lines(text), "\n+", "\n").cast("binary")).alias("cleaned"))
+
+
+@query("SELECT doc_id, 'https://example.org/' || doc_id AS link, 'Ann' AS note FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, '' AS link, 'Ann | Bob' AS note FROM documents WHERE doc_id % 2 = 1")
+def source_notes(spark, d):
+    """Notes out of texts, and the first link of a list."""
+    even = F.col("doc_id") % 2 == 0
+    text = F.concat(F.lit("Source: Ann\n"), F.regexp_replace("text", ":", " "), F.when(even, "\nvia: Ann ").otherwise("\nCREDIT: Bob"))
+    links = F.when(even, F.array(F.lit("ftp://x"), F.concat(F.lit(" https://example.org/"), F.col("doc_id").cast("string")))).otherwise(F.array(F.lit("mailto:a")))
+    return A.table(spark, d, "documents").select("doc_id", U.first_link(links).alias("link"), X.source_note(text).alias("note"))
+
+
+@query("""SELECT doc_id, len(list_filter(string_split_regex(text, '\\n\\s*\\n'), lambda x: trim(x) <> '')) AS paragraphs FROM documents""")
+def paragraph_counts(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", F.size(X.paragraphs(F.col("text"))).cast("long").alias("paragraphs"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, list_aggregate(list_sort(list_distinct([CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_linenumber AS VARCHAR) || '%'])), 'string_agg', ',') AS numbers,
+'CVE-2024-' || lpad(CAST(l_partkey AS VARCHAR), 5, '0') AS cve FROM lineitem WHERE l_partkey < 100000""")
+def number_facts(spark, d):
+    """Standalone numbers, numbers in identifiers and vulnerability names of a sentence."""
+    q, p, n = F.col("l_quantity").cast("int").cast("string"), F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string")
+    text = F.concat(F.lit("About "), q, F.lit(" units of "), p, F.lit(", or "), n, F.lit("%, see https://x.example/9/8"))
+    cve = F.concat(F.lit("fixes cve-2024-"), F.lpad(p, 5, "0"), F.lit(" soon"))
+    return A.table(spark, d, "lineitem").where("l_partkey < 100000").select("l_orderkey", "l_linenumber", F.array_join(F.array_sort(K.numbers(text)), ",").alias("numbers"), F.array_join(K.cves(cve), ",").alias("cve"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS INTEGER) % 4 <> 0 AND CAST(l_quantity AS INTEGER) <> l_partkey AS BOOLEAN) AS invented, CAST(CAST(l_quantity AS INTEGER) % 4 = 0 AND CAST(l_quantity AS INTEGER) <> l_partkey AS BOOLEAN) AS omitted FROM lineitem""")
+def fidelity(spark, d):
+    """Numbers that an output adds to or drops from its source."""
+    q, p = F.col("l_quantity").cast("int"), F.col("l_partkey").cast("string")
+    both = F.concat(q.cast("string"), F.lit(" of "), p)
+    source, output = F.when(q % 4 == 0, both).otherwise(p), F.when(q % 4 == 0, p).otherwise(both)
+    rejects = gates.fidelity_rejects(source, output)
+    return A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_contains(rejects, "numbers_invented").alias("invented"), F.array_contains(rejects, "numbers_omitted").alias("omitted"))
+
+
+@query("""SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host, regexp_replace(lower(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)) || regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/+$', '') AS canonical,
+regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '([^/]*)$', 1) AS tail, starts_with(url, 'https://') AS secure FROM pages""")
+def page_links(spark, d):
+    """Host, canonical form and last part of each page's address."""
+    url = F.col("url")
+    return A.table(spark, d, "pages").select("page_id", U.host(url).alias("host"), U.canonical(url).alias("canonical"), F.element_at(F.split(U.path(url), "/"), -1).alias("tail"), url.startswith("https://").alias("secure"))
+
+
+@query("""SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host, CASE WHEN page_id % 3 = 0 THEN 'download' ELSE 'source' END AS role_hint FROM pages
+UNION ALL SELECT page_id, 'github.com', 'project' FROM pages""")
+def link_hints(spark, d):
+    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.lit("/a.ZIP"))).otherwise(F.col("url"))
+    return A.table(spark, d, "pages").select("page_id", F.inline(U.link_hints(F.array(url, F.lit("https://github.com/a/b"), url, F.lit("no link")))))
+
+
+@query("""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) LIKE '%example.com' AS own, page_id % 5 = 0 AS primary_link, page_id % 7 = 0 AS video_link, page_id % 4 = 0 AS bad_image FROM pages""")
+def link_gates(spark, d):
+    """Own, reviewed, media and decoration links."""
+    k = F.col("page_id")
+    host = U.host(F.col("url"))
+    primary = F.when(k % 5 == 0, "https://nvd.nist.gov:443/x").otherwise("https://user@nvd.nist.gov/x")
+    video = F.when(k % 7 == 0, "https://cdn4.telesco.pe/f.mp4").otherwise("https://eviltelesco.pe/f.mp4")
+    image = F.when(k % 4 == 0, "https://a/Logo.png").otherwise("https://a/photo.png")
+    return A.table(spark, d, "pages").select("page_id", host.endswith("example.com").alias("own"), U.is_primary(primary).alias("primary_link"), U.is_video(video).alias("video_link"), U.is_bad_image(image).alias("bad_image"))
+
+
+@query("SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS links, CAST(max(len(regexp_extract_all(html, '<a href='))) OVER () AS BIGINT) AS most FROM pages WHERE html NOT LIKE '%&%;%'")
+def page_fields(spark, d):
+    """Title and links, once by pattern and once by the parser."""
+    pages = A.table(spark, d, "pages").where(~F.col("html").like("%&%;%"))
+    parsed = pages.select("page_id", html.page_fields(F.col("html")).alias("f"), F.size(F.regexp_extract_all("html", F.lit("<a href="), F.lit(0))).cast("long").alias("links"))
+    most = parsed.agg(F.max("links").alias("most"))
+    return parsed.crossJoin(F.broadcast(most)).select("page_id", F.col("f.title").alias("title"), "links", "most")  # by one row
+
+
+@query("""WITH s AS (SELECT *, CAST(p_size * 40 AS BIGINT) AS w, CAST(p_size * 25 AS BIGINT) AS h, CAST(p_retailprice * 100 AS BIGINT) AS size, p_partkey % 3 = 0 AS chan FROM part),
+u AS (SELECT *, w * h * (CASE WHEN w >= 1200 THEN 1.35 ELSE 1.0 END) * (CASE WHEN w >= 1600 THEN 1.15 ELSE 1.0 END) * (CASE WHEN w / greatest(h, 1)::DOUBLE BETWEEN 1.2 AND 2.1 THEN 1.18 ELSE 1.0 END)
+* (CASE WHEN size >= 120000 THEN 1.08 ELSE 1.0 END) * (CASE WHEN chan THEN 1.25 ELSE 1.0 END) AS score FROM s
+WHERE CASE WHEN chan THEN size >= 4000 AND w >= 240 AND h >= 160 ELSE size >= 12000 AND w >= 640 AND h >= 320 END),
+r AS (SELECT *, bool_or(chan) OVER (PARTITION BY p_brand) AS own, row_number() OVER (PARTITION BY p_brand, chan ORDER BY score DESC, p_partkey) AS k FROM u)
+SELECT p_brand, CAST(count(*) AS BIGINT) AS images, CAST(round(sum(score) / 1000) AS BIGINT) AS total FROM r WHERE CASE WHEN own THEN chan AND k <= 10 ELSE NOT chan AND k = 1 END GROUP BY 1""")
+def selected_images(spark, d):
+    """The best pictures of each brand: the channel's own by score, else the best other."""
+    images = A.table(spark, d, "part").select(
+        F.col("p_brand").alias("telegram_id"), F.col("p_partkey").cast("string").alias("url"), (F.col("p_size") * 40).cast("long").alias("width"), (F.col("p_size") * 25).cast("long").alias("height"),
+        (F.col("p_retailprice") * 100).cast("long").alias("size"), F.when(F.col("p_partkey") % 3 == 0, "channel").otherwise("page").alias("origin"),
+    )
+    return html.select_images(images).groupBy(F.col("telegram_id").alias("p_brand")).agg(F.count("*").alias("images"), F.round(F.sum("score") / 1000).cast("long").alias("total"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND p_size % 3 = 0 THEN 'mixed' WHEN p_size % 2 = 0 THEN 'video' WHEN p_size % 3 = 0 THEN 'image' WHEN p_size % 5 = 0 THEN 'document' ELSE 'text' END AS kind,
+CAST(least(3000, greatest(420, floor(p_retailprice * 1.8 + 180))) AS INTEGER) AS seconds, least(greatest(0.1, p_retailprice - 1000), 60.0) AS clip, CAST(p_partkey % 4 AS INTEGER) AS variant, least(30.0, greatest(0.5, CAST(p_size AS DOUBLE))) AS delay FROM part""")
+def media_rules(spark, d):
+    s, price = F.col("p_size"), F.col("p_retailprice")
+    return A.table(spark, d, "part").select(
+        "p_partkey", M.media_kind(s % 3 == 0, s % 2 == 0, s % 5 == 0).alias("kind"), M.processing_seconds(price).cast("int").alias("seconds"), M.clip_seconds(price, F.lit(1000.0), F.lit(60.0)).alias("clip"),
+        M.variant(F.col("p_partkey").cast("string"), F.col("p_name")).alias("variant"), M.retry_delay(s.cast("string"), F.lit(1)).alias("delay"),
+    )
+
+
+# --- gates, signals, delivery ------------------------------------------------------
+
+
+@query(r"""WITH t AS (SELECT doc_id, text || CASE doc_id % 6 WHEN 0 THEN ' He was accused.' WHEN 1 THEN ' Pwn2Own: a prize!' WHEN 2 THEN ' unauthorized access, denied' WHEN 3 THEN ' gave no supporting evidence' WHEN 4 THEN ' ALERT share this' ELSE '' END AS x FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' WHEN regexp_matches(x, '(?i)\b(?:accused|charged|reward)\b') THEN 'sensitive_claim_without_source' WHEN x LIKE '%Pwn2Own%' THEN 'competition_result_without_source'
+WHEN x LIKE '%unauthorized access%' THEN 'disputed_intrusion_without_source' WHEN x LIKE '%gave no supporting evidence' THEN 'unsupported_low_information_claim' ELSE '' END AS reason,
+CASE WHEN x LIKE '%share this' THEN 'engagement_bait' ELSE '' END AS english FROM t""")
+def evidence_gates(spark, d):
+    tails = ["He was accused.", "Pwn2Own: a prize!", "unauthorized access, denied", "gave no supporting evidence", "ALERT share this"]
+    tail = F.lit("")
+    for k, t in enumerate(tails):
+        tail = F.when(F.col("doc_id") % 6 == k, " " + t).otherwise(tail)
+    rows = A.table(spark, d, "documents").select("doc_id", F.concat("text", tail).alias("x"))
+    return rows.select("doc_id", gates.evidence_reason(F.col("x"), F.col("doc_id") % 4 == 0).alias("reason"), gates.english_reason(F.col("x")).alias("english"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'uncertain' WHEN 1 THEN 'attributed' WHEN 2 THEN 'reported' ELSE 'confirmed' END AS certainty,
+CASE doc_id % 5 WHEN 0 THEN 'breaking' WHEN 1 THEN 'warning' WHEN 2 THEN 'important' WHEN 3 THEN 'warning' ELSE 'none' END AS attention,
+CASE doc_id % 5 WHEN 0 THEN 'source_explicit_breaking' WHEN 1 THEN 'source_explicit_warning' WHEN 2 THEN 'source_explicit_important' WHEN 3 THEN 'because' ELSE '' END AS evidence FROM documents""")
+def signals(spark, d):
+    """Certainty and attention that a source supports."""
+    k = F.col("doc_id")
+    sure = F.when(k % 4 == 0, "It is unconfirmed. ").when(k % 4 == 1, "Sources say so. ").otherwise("It is so. ")
+    lead = F.when(k % 5 == 0, "BREAKING: x. ").when(k % 5 == 1, "Warning: y. ").when(k % 5 == 2, "IMPORTANT z. ").when(k % 5 == 3, "Some malware. ").otherwise("Nothing. ")
+    text = F.concat(lead, sure)
+    wanted = F.when(k % 5 == 3, "breaking").when(k % 5 == 4, "warning").otherwise("none")
+    a = X.attention(text, wanted, F.lit("because"))
+    return A.table(spark, d, "documents").select("doc_id", X.certainty(text, F.when(k % 4 == 2, "reported").otherwise("confirmed")).alias("certainty"), a["label"].alias("attention"), a["evidence"].alias("evidence"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'security' WHEN 1 THEN 'ai' WHEN 2 THEN 'privacy' WHEN 3 THEN 'technology' ELSE '' END AS topic,
+CASE doc_id % 5 WHEN 0 THEN '#Cybersecurity #Brand' WHEN 1 THEN '#AI #Brand' WHEN 2 THEN '#Privacy #Brand' WHEN 3 THEN '#Technology #Brand' ELSE '#Brand' END AS tags,
+CASE doc_id % 5 WHEN 0 THEN '🔐 ' WHEN 3 THEN '' ELSE '' END || 'One.' || chr(10) || chr(10) || 'Two.' || chr(10) || chr(10) ||
+CASE doc_id % 5 WHEN 0 THEN '#Cybersecurity #Brand' WHEN 1 THEN '#AI #Brand' WHEN 2 THEN '#Privacy #Brand' WHEN 3 THEN '#Technology #Brand' ELSE '#Brand' END AS message FROM documents""")
+def delivery_messages(spark, d):
+    """Topic, tags and the caption that goes out."""
+    k = F.col("doc_id")
+    kind = F.when(k % 5 == 0, "vulnerability").when(k % 5 == 3, "tool").otherwise("general")
+    words = F.when(k % 5 == 1, "A new LLM").when(k % 5 == 2, "On privacy").otherwise("Nothing")
+    topic = X.topic(kind, words)
+    tags = X.hashtags(topic, "#Brand")
+    message = X.delivery_message(F.lit(" One. \n \n\nTwo.\n"), X.attention_marker(F.lit("none"), kind), tags, F.lit(True))
+    return A.table(spark, d, "documents").select("doc_id", topic.alias("topic"), F.array_join(tags, " ").alias("tags"), message.alias("message"))
+
+
+@query(f"""WITH {QUEUE_SQL} SELECT telegram_id, CASE WHEN sourced THEN 'linked_external_source' ELSE 'discovery_attribution_only' END AS tier,
+CAST(greatest(0, floor((epoch_us(TIMESTAMP '{A.NOW_ORDERS}') - epoch_us(tm)) / 60000000)) AS BIGINT) AS age FROM q""")
+def delivery_metrics(spark, d):
+    rows = A.order_queue(spark, d).withColumns({"title": F.lit(""), "message": F.col("facebook_post"), "primary_evidence": F.array().cast("array<struct<url:string>>"), "editorial": F.struct("editorial.*", F.lit("").alias("main_fact"))})
+    return queue.delivery_metrics(rows, A.at(A.NOW_ORDERS), "#Brand").select("telegram_id", F.col("delivery.verification_tier").alias("tier"), F.col("delivery.source_age_minutes").alias("age"))
+
+
+@query("""SELECT s_suppkey AS telegram_id, CASE WHEN s_suppkey % 10 = 0 THEN 'licensed' WHEN s_suppkey % 10 = 1 THEN 'denied' WHEN s_nationkey % 5 = 0 THEN 'owned' ELSE 'unknown' END AS status,
+CASE WHEN s_suppkey % 10 = 0 THEN true WHEN s_suppkey % 10 = 1 THEN false WHEN s_nationkey % 5 = 0 THEN s_nationkey % 2 = 0 ELSE false END AS allowed,
+CASE WHEN s_suppkey % 10 = 0 THEN 'explicit_post_override' WHEN s_suppkey % 10 = 1 THEN 'explicit_inline_metadata' WHEN s_nationkey % 5 = 0 THEN 'explicit_channel_policy' ELSE 'no_explicit_reuse_permission' END AS basis,
+CASE WHEN s_suppkey % 10 = 0 THEN 12.5 END AS most FROM supplier""")
+def video_rights(spark, d):
+    """Rights by post, by the item itself, by channel, or none."""
+    k = F.col("s_suppkey")
+    text = lambda v: F.lit(v).cast("string")
+    rule = "struct<status:string,reupload_allowed:boolean,basis:string,license_note:string,clip_start_seconds:string,max_clip_seconds:string>"
+    own = F.when(k % 10 == 1, F.struct(F.lit("DENIED"), F.lit(True), text(None), text(None), text(None), text(None)).cast(rule))
+    items = A.table(spark, d, "supplier").select(k.alias("telegram_id"), F.struct(F.concat(F.lit("https://t.me/Nation"), F.col("s_nationkey").cast("string"), F.lit("/5")).alias("telegram_post_url"), own.alias("video_rights")).alias("media"))
+    overrides = A.table(spark, d, "supplier").where("s_suppkey % 10 = 0").select(k.cast("string").alias("item"), F.lit("licensed").alias("status"), F.lit(True).alias("reupload_allowed"), text(None).alias("basis"), text(None).alias("license_note"), F.lit("-3").alias("clip_start_seconds"), F.lit("12.5").alias("max_clip_seconds"))
+    n = F.col("n_nationkey")
+    channels = A.table(spark, d, "nation").where("n_nationkey % 5 = 0").select(F.concat(F.lit("@nation"), n.cast("string")).alias("channel"), F.lit("owned").alias("status"), (n % 2 == 0).alias("reupload_allowed"), text(None).alias("basis"), text(None).alias("license_note"), text(None).alias("clip_start_seconds"), F.lit("0").alias("max_clip_seconds"))
+    out = rights.video_rights(items, overrides, channels)
+    return out.select("telegram_id", F.col("rights.status").alias("status"), F.col("rights.reupload_allowed").alias("allowed"), F.col("rights.basis").alias("basis"), F.col("rights.max_clip_seconds").alias("most"))
+
+
+# --- stories -------------------------------------------------------------------
+
+WORDS_SQL = r"""list_distinct(list_filter(list_transform(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[A-Za-zÀ-ÖØ-öø-ÿ0-9][A-Za-zÀ-ÖØ-öø-ÿ0-9._+/#:&''’\-]*'), lambda t: trim(t, '._+/#:&''’-')),
+lambda t: length(t) >= 3 AND t NOT IN ('the', 'a', 'an', 'and', 'or', 'to', 'of', 'in', 'on', 'for', 'with', 'by', 'from', 'is', 'are', 'was', 'were', 'has', 'have', 'had', 'says', 'said')))"""
+
+FORM_SQL = "trim(regexp_replace(lower(split_part(text, chr(10), 1)), '\\s+', ' ', 'g'))"
+
+PAIRS_SQL = f"""s AS (SELECT doc_id + 1 AS doc_id, {WORDS_SQL} AS w, {FORM_SQL} AS form FROM documents),
+p AS (SELECT a.doc_id AS later, b.doc_id AS earlier, a.form <> '' AND a.form = b.form AS same, len(list_intersect(a.w, b.w)) AS n, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS u
+  FROM s a JOIN s b ON b.doc_id < a.doc_id AND (a.form = b.form OR (len(a.w) > 0 AND len(b.w) > 0 AND least(len(a.w), len(b.w)) >= 0.6 * greatest(len(a.w), len(b.w))))),
+pairs AS (SELECT later, earlier, CASE WHEN same THEN 1.0 ELSE round(n / u::DOUBLE, 4) END AS score,
+  CASE WHEN same THEN 'same_story_fingerprint' WHEN n / u::DOUBLE >= 0.68 THEN 'high_fact_overlap' ELSE 'high_main_fact_overlap' END AS reason FROM p WHERE same OR (u > 0 AND n / u::DOUBLE >= 0.6))"""
+
+
+@query(f"SELECT doc_id, list_aggregate(list_sort({WORDS_SQL}), 'string_agg', ' ') AS words FROM documents WHERE len({WORDS_SQL}) > 0")
+def story_tokens(spark, d):
+    rows = A.table(spark, d, "documents").select("doc_id", K.tokens(F.element_at(F.split("text", "\n"), 1)).alias("w"))
+    return rows.where(F.size("w") > 0).select("doc_id", F.array_join(F.array_sort("w"), " ").alias("words"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN {FORM_SQL} = '' THEN '' ELSE sha256('{{"entities":[],"main":"' || replace(replace({FORM_SQL}, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '","numbers":[],"url":""}}') END AS fingerprint FROM documents""")
+def story_fingerprints(spark, d):
+    return dedupe.with_story(A.stories(spark, d)).select((F.col("telegram_id") - 1).alias("doc_id"), F.col("story.fingerprint").alias("fingerprint"))
+
+
+@query(f"WITH {PAIRS_SQL} SELECT later, earlier, score, reason FROM pairs")
+def duplicate_stories(spark, d):
+    """All pairs of duplicate stories, by keys that lose none."""
+    return dedupe.duplicate_pairs(dedupe.with_story(A.stories(spark, d)))
+
+
+@query(f"""WITH {PAIRS_SQL}, both_ways AS (SELECT later AS a, earlier AS b, score, reason FROM pairs UNION ALL SELECT earlier, later, score, reason FROM pairs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM both_ways WHERE a % 2 = 1 AND b % 2 = 0) SELECT a AS telegram_id, b AS duplicate_of, reason, score FROM ranked WHERE k = 1""")
+def best_matches(spark, d):
+    """Per odd story its best match among the even ones."""
+    rows = A.stories(spark, d)
+    return dedupe.best_match(rows.where("telegram_id % 2 = 1"), rows.where("telegram_id % 2 = 0"))
+
+
+@query()
+def greedy_stories(spark, d):
+    """Stories kept and dropped by a walk in order of id; tested against the plain walk."""
+    return dedupe.greedy_duplicates(dedupe.with_story(A.stories(spark, d)))
+
+
+# --- extensions beyond the flow: plain analytics -------------------------------------
+
+
+@query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY 1, 2""")
+def ext_pricing_summary(spark, d):
+    rows = A.table(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ROLLUP (1, 2)")
+def ext_event_rollup(spark, d):
+    rows = A.table(spark, d, "events").select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    return rows.rollup("event_type", "day").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 12 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, count(DISTINCT k) AS sessions, count(*) AS n FROM s GROUP BY 1""")
+def ext_sessions(spark, d):
+    """Sessions of each user, twelve hours apart."""
+    rows = A.table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    w = Window.partitionBy("user_id").orderBy("ts")
+    new = F.coalesce((F.col("ts") > F.lag("ts").over(w) + F.expr("INTERVAL '12' HOUR")).cast("int"), F.lit(1))
+    return rows.withColumn("new", new).groupBy("user_id").agg(F.sum("new").alias("sessions"), F.count("*").alias("n"))
