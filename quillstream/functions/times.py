@@ -36,7 +36,7 @@ def iso(c: Column) -> Column:
 def retry_at(now: Column, retry_after: Column) -> Column:
     """When to try again: the seconds given (60 at least), or the date (a minute ahead at least), or in 15 minutes."""
     seconds = strip(retry_after).try_cast("int")
-    dated = F.try_to_timestamp(strip(retry_after), F.lit("EEE, dd MMM yyyy HH:mm:ss z"))
+    dated = F.try_to_timestamp(F.regexp_replace(strip(retry_after), "^[A-Za-z]{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss z"))
     return (
         F.when(seconds.isNotNull(), F.timestamp_seconds(F.unix_seconds(now) + F.greatest(F.lit(60), seconds)))
         .when(dated.isNotNull(), F.greatest(dated, now + F.expr("INTERVAL '60' SECOND")))

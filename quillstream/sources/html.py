@@ -198,7 +198,7 @@ def read_messages(pages: DataFrame, html_col: str = "html", css: str = "tgme_wid
 def latest_id(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """One row: the largest message number in the pages, by pattern only."""
     ids = F.explode(F.regexp_extract_all(html_col, F.lit(r'data-post="[^"/]*/(\d+)"'), F.lit(1)))
-    return pages.select(ids.cast("long").alias("id")).agg(F.max("id").alias("latest"))
+    return pages.select(ids.alias("id")).agg(F.max(F.col("id").cast("long")).alias("latest"))
 
 
 def since(messages: DataFrame, last_seen: int) -> DataFrame:
