@@ -326,8 +326,9 @@ def redact(docs: DataFrame, model: Trees | None = None, id_col: str = "doc_id",
     stay, but n_chars, where there is one, is counted anew for changed texts.
     """
     columns = docs.columns
-    found = find_personal(docs, model, id_col, text_col, keep=columns) if id_col not in columns else find_personal(docs.withColumn("__id", F.col(id_col)), model, "__id", text_col, keep=columns).drop("__id")
-    text = F.col(text_col)
+    rows = docs.select(F.struct(*[F.col(c) for c in columns]).alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    found = find_personal(rows, model, "__id", "__text", keep=["__row"])
+    text = F.col("__row")[text_col]
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     item = "array<struct<s:bigint,e:bigint,k:int>>"
     merged = F.aggregate(
@@ -346,6 +347,8 @@ def redact(docs: DataFrame, model: Trees | None = None, id_col: str = "doc_id",
     pieces = F.zip_with("__spans", F.slice(starts, 1, F.size("__spans")), lambda x, a: F.concat(F.substring(text, a.cast("int") + 1, (x["s"] - a).cast("int")), F.element_at(names, x["k"] + 1)))
     tail = F.substring(text, F.element_at(starts, -1).cast("int") + 1, F.length(text))
     changed = F.col("__spans").isNotNull()
-    out = found.withColumn("__text", F.when(changed, F.concat(F.array_join(pieces, ""), tail)).otherwise(text))
-    put = {text_col: F.col("__text")} | ({"n_chars": F.when(changed, F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in columns else {})
-    return out.select(*[put.get(c, F.col(c)).alias(c) for c in columns])
+    put = {text_col: F.when(changed, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)}
+    if "n_chars" in columns:
+        put["n_chars"] = F.when(changed, F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__row")["n_chars"])
+    out = found.withColumn("__text", put[text_col])
+    return out.select(*[F.col("__text").alias(c) if c == text_col else put.get(c, F.col("__row")[c]).alias(c) for c in columns])
