@@ -8,7 +8,7 @@ text being the mixture of the kinds in the shares they have among labelled rows.
 Gumbel noise on the log ratio makes the k largest keys a sample without
 replacement in proportion to importance (Xie et al., "Data Selection for
 Language Models via Importance Resampling", 2023); k is the number of target
-documents that the mixture expects among all documents.
+documents that the mixture finds more likely target than not.
 """
 
 from __future__ import annotations
@@ -25,14 +25,16 @@ from pyspark.sql import functions as F
 
 from .common import cut, id_and_text, small_batches
 
-#: Buckets of the hashed n-grams.
-BUCKETS = 1 << 16
+#: Buckets of the hashed unigrams and bigrams.
+UNIGRAMS, BIGRAMS = 1 << 18, 1 << 16
+BUCKETS = UNIGRAMS + BIGRAMS
 #: Labelled rows that the models may be fitted on, those with the smallest hashed keys.
 MAX_LABELLED = 20_000
-#: Pseudo-counts that draw the target and low-quality models to the raw one.
-TO_RAW = 1e5
-#: Toxic text is target text but for buckets that exceed it by so many deviations, seen so often at least.
-DEVIATIONS, LEAST_SEEN = 6.0, 8
+#: Share of its own count that each model gets as pseudo-counts from the raw one.
+TO_RAW = 0.005
+#: Toxic text is target text in which one n-gram in so many (each rate as likely) comes from the toxic ones:
+#: those that exceed the target by so many deviations in labelled toxic text, seen so often at least.
+RATES, DEVIATIONS, LEAST_SEEN = (1 / 100, 1 / 400), 6.0, 8
 TARGET, LOW, TOXIC, RAW = range(4)
 #: Keys that may come to the driver when the cut between kept and dropped is found.
 MAX_KEYS = 5_000
@@ -43,7 +45,7 @@ class _Hashes(dict):
     """Tokens to 32-bit hashes."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = zlib.crc32(token.lower().encode() if token.islower() or not token.isupper() or len(token) < 2 else b"^" + token.lower().encode())
         if len(token) < 64:
@@ -60,20 +62,23 @@ def features(text: str) -> np.ndarray:
     h = np.fromiter(map(_hashes.__getitem__, tokens), np.uint32, len(tokens))
     a, b = h[:-1], h[1:]
     pair = np.where(a == b, np.uint32(0x5BD1E995), (a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77)) ^ (b >> np.uint32(15)))
-    both = np.concatenate((h ^ (h >> np.uint32(16)), pair ^ (pair >> np.uint32(16))))
-    return (both & np.uint32(BUCKETS - 1)).astype(np.int64)
+    one = (h ^ (h >> np.uint32(18))) & np.uint32(UNIGRAMS - 1)
+    two = ((pair ^ (pair >> np.uint32(16))) & np.uint32(BIGRAMS - 1)) + np.uint32(UNIGRAMS)
+    return np.concatenate((one, two)).astype(np.int64)
 
 
 @dataclass
 class Models:
-    """log p of each bucket by kind (target, low, toxic), and the kinds' shares of the raw text."""
+    """log p of each bucket by kind (target, low, toxic at each rate), and the kinds' shares of the raw text."""
 
     log_p: np.ndarray
     shares: np.ndarray
 
     def log_likelihoods(self, text: str) -> np.ndarray:
         f = features(text)
-        return self.log_p[:, f].sum(1, dtype=np.float64)
+        ll = self.log_p[:, f].sum(1, dtype=np.float64)
+        top = ll[TOXIC:].max()
+        return np.array([ll[TARGET], ll[LOW], top + np.log(np.exp(ll[TOXIC:] - top).mean())])
 
     def log_ratio(self, ll: np.ndarray) -> np.ndarray:
         """log p_target - log p_raw, p_raw the mixture; ll: a row for each document."""
@@ -84,7 +89,7 @@ class Models:
 
 def _labelled(labels: DataFrame) -> DataFrame:
     """At most MAX_LABELLED (id, kind), a bounded table that may be broadcast."""
-    kind = F.when(F.col("toxic") == 1, TOXIC).when(F.col("quality") == 1, TARGET).when(F.col("quality") == 0, LOW)
+    kind = F.when(F.col("quality") == 0, LOW).when(F.col("toxic") == 1, TOXIC).when(F.col("quality") == 1, TARGET)
     rows = labels.select(F.col("doc_id").cast("long").alias("label_id"), kind.alias("kind")).where("label_id is not null and kind is not null")
     return rows.groupBy("label_id").agg(F.max("kind").alias("kind")).orderBy(F.xxhash64("label_id"), "label_id").limit(MAX_LABELLED)
 
@@ -101,13 +106,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for text, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 f = features(text)
-                if kind == RAW and len(f) < BUCKETS // 8:
-                    np.add.at(counts[RAW], f, 1)
-                    continue
-                n = np.bincount(f, minlength=BUCKETS)
-                counts[RAW] += n
+                np.add.at(counts[RAW], f, 1)
                 if kind != RAW:
-                    counts[kind] += n
+                    np.add.at(counts[kind], f, 1)
+        _hashes.clear()
         where = np.flatnonzero(counts.any(0))
         for part in np.array_split(where, max(1, len(where) // 8192)):
             if len(part):
@@ -115,19 +117,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     summed = read.mapInArrow(run, "bucket long, n0 long, n1 long, n2 long, n3 long").groupBy("bucket").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)])
     counts = np.zeros((4, BUCKETS))
-    for row in summed.collect():  # at most BUCKETS rows
-        counts[:, row.bucket] = row[1:]
+    found = summed.toArrow()  # at most BUCKETS rows
+    for k in range(4):
+        counts[k, found.column(0).to_numpy()] = found.column(k + 1).to_numpy()
     total = counts.sum(1)
     raw = (counts[RAW] + 0.1) / (total[RAW] + 0.1 * BUCKETS)
-    target = (counts[TARGET] + TO_RAW * raw) / (total[TARGET] + TO_RAW)
-    low = (counts[LOW] + TO_RAW * raw) / (total[LOW] + TO_RAW)
+    drawn = lambda k: (counts[k] + (extra := TO_RAW * total[k] + 1) * raw) / (total[k] + extra)
+    target, low = drawn(TARGET), drawn(LOW)
     expected = total[TOXIC] * target
     marked = (counts[TOXIC] >= LEAST_SEEN) & (counts[TOXIC] - expected > DEVIATIONS * np.sqrt(expected + 1))
-    own = np.where(marked, counts[TOXIC], 0) / max(1.0, total[TOXIC])
-    toxic = np.where(marked, own, target * (1 - own.sum()) / max(1e-9, 1 - target[marked].sum()))
+    own = np.where(marked, counts[TOXIC] - expected, 0)
+    own /= max(1.0, own.sum())
+    toxic = [(1 - m) * target + m * own for m in RATES] if own.any() else [target] * len(RATES)
     shares = np.array([kinds.get(k, 0) for k in (TARGET, LOW, TOXIC)], float) if kinds.get(TARGET) else np.array([1.0, 0, 0])
     shares = np.maximum(shares / shares.sum(), 1e-9)
-    return Models(np.log(np.stack((target, low, toxic))).astype(np.float32), shares)
+    return Models(np.log(np.stack((target, low, *toxic))).astype(np.float32), shares)
 
 
 def _likelihoods(docs: DataFrame, models: Models, id_col: str, text_col: str) -> DataFrame:
@@ -137,6 +141,7 @@ def _likelihoods(docs: DataFrame, models: Models, id_col: str, text_col: str) ->
         for batch in batches:
             ll = np.array([shared.value.log_likelihoods(t) for t in batch.column(1).to_pylist()]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(ll[:, k]) for k in range(3))], ["id", "l0", "l1", "l2"])
+        _hashes.clear()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "id long, l0 double, l1 double, l2 double")
 
@@ -187,14 +192,13 @@ class Selection:
 
 
 def select(docs: DataFrame, labels: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Selection:
-    """Fit, count the target documents to expect among all, and find the cut of the Gumbel top-k."""
+    """Fit, count the documents that are target rather than not, and find the cut of the Gumbel top-k."""
     models = fit(docs, labels, id_col, text_col)
     ll = cut(_likelihoods(docs, models, id_col, text_col))
     n = ll.count()
     mixed, posterior = _mixture(models.shares)
-    share = ll.agg(F.avg(posterior[TARGET])).first()[0] or 0.0
+    k = ll.agg(F.count_if(posterior[TARGET] >= 0.5)).first()[0]
     keys = ll.select("id", (F.col("l0") - mixed).alias("log_ratio")).withColumn("key", F.col("log_ratio") + _gumbel(seed, "id"))
-    k = round(n * share)
     if not 0 < k < n:
         return Selection(models, keys, float("-inf") if k else float("inf"), seed)
     return Selection(models, keys, _kth(keys, k), seed)
@@ -224,5 +228,6 @@ def keep_selected(docs: DataFrame, labels: DataFrame, seed: int = 1, id_col: str
             key = shared.value.log_ratio(ll) + batch.column(batch.num_columns - 1).to_numpy()
             rows = batch.filter(pa.array(key >= cut_off - 1e-9))
             yield pa.RecordBatch.from_arrays(rows.columns[:-2], rows.schema.names[:-2])
+        _hashes.clear()
 
     return kept.mapInArrow(run, docs.schema)
