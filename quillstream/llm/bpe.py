@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import blocks, id_and_text, small_batches
 
-#: States that one process keeps; what they don't cover is worked out anew each time.
-MAX_STATES = 150_000
-#: Known pairs and words that one process keeps before it starts afresh.
-MAX_PAIRS, MAX_WORDS = 500_000, 350_000
+#: States, pairs of tokens and words that one process keeps: states beyond the bound are worked out
+#: anew each time, the other two start afresh.
+MAX_STATES, MAX_PAIRS, MAX_WORDS = 150_000, 500_000, 350_000
+#: The same for executors that have little memory beside the JVM.
+SMALL = (40_000, 150_000, 80_000)
 #: Tokens that the decoder joins at a time.
 DECODE_BLOCK = 65_536
 
@@ -64,7 +65,8 @@ class Transducer:
     the tokens up to there that aren't emitted yet.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], bounds: tuple[int, int, int] | None = None):
+        self.max_states, self.max_pairs, _ = bounds or (MAX_STATES, MAX_PAIRS, MAX_WORDS)
         self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
         self.trie: dict[int, int] = {}
@@ -110,7 +112,7 @@ class Transducer:
         key = left + 1 << 32 | right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= MAX_PAIRS:
+            if len(self.pairs) >= self.max_pairs:
                 self.pairs.clear()
             if left < 0:
                 known = merge_plain(self.ranks, self.token[right]) == [right]
@@ -159,7 +161,7 @@ class Transducer:
         for at, byte in enumerate(piece):
             move = moves.get(state << 8 | byte)
             if move is None:
-                if len(self.states) >= MAX_STATES:
+                if len(self.states) >= self.max_states:
                     return self._rest(state, piece[at:], out)
                 move = self._step(state, byte)
             emit, state = move
@@ -215,7 +217,7 @@ class _Words(dict):
             if self.lead and (not word or word[0].isspace()):
                 raise _Irregular
             found = self.encoder.spell(self.lead + word)
-        if len(self) >= MAX_WORDS:
+        if len(self) >= self.encoder.max_words:
             self.old = dict(self)
             self.clear()
         if len(word) < 64:
@@ -231,19 +233,22 @@ class Encoder:
     with other runs of blanks go through the pattern as a whole.
     """
 
-    def __init__(self, path: str, pattern: str):
-        self.machine = Transducer(load_ranks(path))
+    def __init__(self, path: str, pattern: str, bounds: tuple[int, int, int] | None = None):
+        self.max_words = (bounds or (MAX_STATES, MAX_PAIRS, MAX_WORDS))[2]
+        self.machine = Transducer(load_ranks(path), bounds)
         self.pattern = regex.compile(pattern)
         self.pieces: dict[str, bytes] = {}
         self.inner, self.head = _Words(self, " "), _Words(self, "")
 
     def spell(self, text: str) -> bytes:
         """Every match of the pattern by itself."""
+        if text[text[:1] == " " :].isalpha():  # all letters, after one space at most: one match
+            return self._piece(text)
         found = self.pattern.findall(text)
         if len(found) == 1:
             return self._piece(text)
         pieces = self.pieces
-        if len(pieces) >= MAX_WORDS // 2:
+        if len(pieces) >= self.max_words // 2:
             pieces.clear()
         out = []
         for piece in found:
@@ -338,22 +343,24 @@ class Utf8Stream:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+def _encoder(path: str, pattern: str, bounds: tuple[int, int, int] | None) -> Encoder:
+    return Encoder(path, pattern, bounds)
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", bounds: tuple[int, int, int] | None = None) -> DataFrame:
     """Token ids of every whole text and the text decoded from them.
 
     Returns ``id_col`` (long), ``ids`` (binary: little-endian unsigned 32-bit)
     and ``decoded`` (string), a row for each row.  A null text counts as empty
     and gives empty ids; a null key stays null; repeated rows stay repeated; an
     empty table gives an empty table; other columns of docs are not read.
+    ``bounds`` are the states, pairs and words that a process may keep; they
+    change its memory and time, never the result.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, pattern)
+        encoder = _encoder(path, pattern, bounds)
         for batch in batches:
             ids = [encoder.encode(t) for t in batch.column(1).to_pylist()]
             text = ["".join(encoder.decode(x)) for x in ids]
