@@ -129,7 +129,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     own = np.where(marked, counts[TOXIC] - expected, 0)
     own /= max(1.0, own.sum())
     toxic = [(1 - m) * target + m * own for m in RATES] if own.any() else [target] * len(RATES)
-    shares = np.array([kinds.get(k, 0) for k in (TARGET, LOW, TOXIC)], float) if kinds.get(TARGET) else np.array([1.0, 0, 0])
+    # a kind without any text among the documents takes part in nothing
+    shares = np.array([kinds.get(k, 0) * (total[k] > 0) for k in (TARGET, LOW, TOXIC)], float)
+    if not shares[TARGET]:
+        shares = np.array([1.0, 0, 0])
     shares = np.maximum(shares / shares.sum(), 1e-9)
     return Models(np.log(np.stack((target, low, *toxic))).astype(np.float32), shares)
 
