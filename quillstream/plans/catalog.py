@@ -333,8 +333,8 @@ def link_gates(spark, d):
 
 @query("SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS links, CAST(max(len(regexp_extract_all(html, '<a href='))) OVER () AS BIGINT) AS most FROM pages WHERE html NOT LIKE '%&%;%'")
 def page_fields(spark, d):
-    """Title and links, once by pattern and once by the parser."""
-    pages = A.table(spark, d, "pages").where(~F.col("html").like("%&%;%"))
+    """Title and links of every page, once by pattern and once by the parser."""
+    pages = A.table(spark, d, "pages")
     parsed = pages.select("page_id", html.page_fields(F.col("html")).alias("f"), F.size(F.regexp_extract_all("html", F.lit("<a href="), F.lit(0))).cast("long").alias("links"))
     most = parsed.agg(F.max("links").alias("most"))
     return parsed.crossJoin(F.broadcast(most)).select("page_id", F.col("f.title").alias("title"), "links", "most")  # by one row
