@@ -268,7 +268,7 @@ lambda x: x <> '' AND NOT (lower(x) LIKE '%follow%' AND (lower(x) LIKE '%telegra
 FROM documents WHERE text NOT LIKE '%' || chr(10) || chr(10) || '%'""")
 def promo_free(spark, d):
     text = F.concat(F.lit("Follow us on Telegram\n"), F.col("text"), F.lit("\n Read more: "))
-    return A.table(spark, d, "documents").where(~F.contains("text", F.lit("\n\n"))).select("doc_id", F.md5(F.regexp_replace(X.drop_promo_lines(text), "\n+", "\n").cast("binary")).alias("cleaned"))
+    return A.table(spark, d, "documents").select("doc_id", F.md5(F.regexp_replace(X.drop_promo_lines(text), "\n+", "\n").cast("binary")).alias("cleaned"))
 
 
 @query("SELECT doc_id, 'https://example.org/' || doc_id AS link, 'Ann' AS note FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, '' AS link, 'Ann | Bob' AS note FROM documents WHERE doc_id % 2 = 1")
@@ -291,8 +291,8 @@ def number_facts(spark, d):
     """Standalone numbers, numbers in identifiers and vulnerability names of a sentence."""
     q, p, n = F.col("l_quantity").cast("int").cast("string"), F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string")
     text = F.concat(F.lit("About "), q, F.lit(" units of "), p, F.lit(", or "), n, F.lit("%, see https://x.example/9/8"))
-    cve = F.concat(F.lit("fixes cve-2024-"), F.lpad(p, 5, "0"), F.lit(" soon"))
-    return A.table(spark, d, "lineitem").where("l_partkey < 100000").select("l_orderkey", "l_linenumber", F.array_join(F.array_sort(K.numbers(text)), ",").alias("numbers"), F.array_join(K.cves(cve), ",").alias("cve"))
+    cve = F.concat(F.lit("fixes cve-2024-"), F.lpad(p, F.greatest(F.length(p), F.lit(5)), F.lit("0")), F.lit(" soon"))
+    return A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(F.array_sort(K.numbers(text)), ",").alias("numbers"), F.array_join(K.cves(cve), ",").alias("cve"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS INTEGER) % 4 <> 0 AND CAST(l_quantity AS INTEGER) <> l_partkey AS BOOLEAN) AS invented, CAST(CAST(l_quantity AS INTEGER) % 4 = 0 AND CAST(l_quantity AS INTEGER) <> l_partkey AS BOOLEAN) AS omitted FROM lineitem""")
