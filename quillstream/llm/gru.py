@@ -10,6 +10,7 @@ back-propagation: the state goes from window to window, the gradient does not.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -81,6 +82,14 @@ def _softmax_error(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return logits
 
 
+def _windows(text: np.ndarray) -> tuple[np.ndarray, int]:
+    """A text's windows, each with the symbol before it, filled up with -1; and the first one's place."""
+    n = -(-(len(text) - 1) // WINDOW)
+    filled = np.full(n * WINDOW + 1, -1, np.int64)
+    filled[: len(text)] = text
+    return np.lib.stride_tricks.sliding_window_view(filled, WINDOW + 1)[::WINDOW], 0
+
+
 class Model:
     def __init__(self, vocabulary: Vocabulary, seed: int = 9):
         v, n, k = vocabulary, len(vocabulary.class_of), len(vocabulary.starts) - 1
@@ -182,7 +191,34 @@ class Model:
             x = x[: len(y)]
             h = self._window(x, y, valid[at + 1 : at + 1 + len(y)], h)
 
-    def _window(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, h: np.ndarray) -> np.ndarray:
+    def train_texts(self, texts: Iterable[np.ndarray], lanes: int) -> int:
+        """One step for each window of so many texts at once, to the end of every text; the number of symbols trained on.
+
+        Each text begins with the symbol before its first.  A lane's state goes
+        on from window to window; at its text's end it takes the next one.
+        """
+        texts, live, seen = iter(texts), [], 0
+        h = np.zeros((0, UNITS), np.float32)
+        while True:
+            fresh = []
+            while len(live) + len(fresh) < lanes and (text := next(texts, None)) is not None:
+                if len(text) > 1:
+                    fresh.append(_windows(text))
+            live += fresh
+            if not live:
+                return seen
+            h = np.concatenate((h, np.zeros((len(fresh), UNITS), np.float32)))
+            block = np.array([windows[at] for windows, at in live]).T
+            valid = block[1:] >= 0
+            steps = int(valid.sum(0).max())
+            seen += int(valid.sum())
+            block = np.maximum(block[: steps + 1], 0)
+            h = self._window(block[:-1], block[1:], valid[:steps], h, lanes * WINDOW)
+            more = [k for k, (windows, at) in enumerate(live) if at + 1 < len(windows)]
+            live, h = [(live[k][0], live[k][1] + 1) for k in more], h[more]
+
+    def _window(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, h: np.ndarray, full: int = 0) -> np.ndarray:
+        """One step; symbols weigh as if there were full of them at least, so a few left over don't move it like many."""
         p, v, u = self.p, self.v, UNITS
         kept: list = []
         states = self._forward(x, h, kept)
@@ -190,6 +226,7 @@ class Model:
         n = len(rows[0])
         if not n:
             return states[-1]
+        n = max(n, full)
         s, t = states[rows], y[rows]
         grads: dict[str, np.ndarray] = {}
         c = v.class_of[t]

@@ -3,8 +3,8 @@
 Word counts cover all training documents and stay distributed; only words above
 a frequency that keeps their number under MAX_COMMON, and sums by bucket, come
 to the driver.  Counts of all other words meet the documents by a join.  The
-network starts from a bounded sample, then every partition trains on places in
-each of its training documents, and the partitions' networks are averaged by
+network starts from a bounded sample, then every partition trains on all tokens
+of each of its training documents, and the partitions' networks are averaged by
 the tokens they saw.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,9 @@ from .common import cut, id_and_text, small_batches
 MAX_COMMON = 1 << 17
 #: Training documents (those with the smallest hashed keys) that the network starts from, and rounds over them.
 START_DOCS, START_ROUNDS = 1_500, 3
-#: Of the tokens of each training document, one in so many is trained on, and one place at least.
+#: Of the tokens of each document that the network starts from, the start trains on one in so many, and one place at least.
 TRAIN_SHARE = 8
-#: Places that one training step takes at once, and texts that are scored in step.
+#: Texts that one training step takes at once, and texts that are scored in step.
 BATCH, GROUP_TEXTS, GROUP_TOKENS = 256, 4096, 3_000_000
 #: Words that one task counts before it passes counts on, and that it remembers.
 MAX_COUNTED, MAX_WORDS = 400_000, 200_000
@@ -143,7 +144,7 @@ def gather(docs: DataFrame, counts: DataFrame) -> Statistics:
 
 
 def _spans(stats: Statistics, text: str, seed: int) -> list[np.ndarray]:
-    """Places of a text to train on, as symbols, each with the symbol before it."""
+    """Places of a text that the start trains on, as symbols, each with the symbol before it."""
     words, size = split_words(text), gru.WINDOW * gru.SPAN
     n = len(words) + 1
     rng = np.random.default_rng(seed & (1 << 63) - 1)
@@ -155,6 +156,11 @@ def _spans(stats: Statistics, text: str, seed: int) -> list[np.ndarray]:
     return out
 
 
+def _sequence(stats: Statistics, text: str) -> np.ndarray:
+    """A whole text as symbols, with the symbol before it and its end."""
+    return np.concatenate(([0], stats.symbol[stats.find(split_words(text))], [0]))
+
+
 def _start(docs: DataFrame, stats: Statistics) -> np.ndarray:
     """A network trained on a bounded sample of training documents, on the driver."""
     key = F.coalesce(F.col("id").cast("string"), F.lit(""))
@@ -196,32 +202,29 @@ def _average(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.int32()), pa.array([sums[p][0] for p in pieces], pa.float64()), pa.array([sums[p][1].tobytes() for p in pieces], pa.binary())], ["piece", "weight", "v"])
 
 
+def _trained(shared) -> Callable:
+    """(id, text) to (piece, weight, values) of the network after a partition's training documents, all their tokens."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stats, start = shared.value
+        texts = (text for batch in batches for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if not held_out(key))
+        first = next(texts, None)
+        if first is None:
+            return
+        model = _loaded(stats, start)
+        seen = model.train_texts((_sequence(stats, t) for t in chain([first], texts)), BATCH)
+        pieces = [p.astype(np.float32).tobytes() for p in np.array_split(model.vector(), PIECES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([float(seen)] * PIECES), pa.array(pieces, pa.binary())], ["piece", "weight", "v"])
+
+    return run
+
+
 def fit(docs: DataFrame, stats: Statistics) -> np.ndarray:
     """The network's parameters after every training document has been trained on."""
     start = _start(docs, stats)
     shared = docs.sparkSession.sparkContext.broadcast((stats, start))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stats, start = shared.value
-        model, waiting, seen = None, [], 0
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not held_out(key):
-                    waiting += _spans(stats, text, row_key(key, text))
-            while len(waiting) >= BATCH:
-                model = model or _loaded(stats, start)
-                model.train(waiting[:BATCH])
-                seen += sum(map(len, waiting[:BATCH]))
-                del waiting[:BATCH]
-        if waiting:
-            model = model or _loaded(stats, start)
-            model.train(waiting)
-            seen += sum(map(len, waiting))
-        if seen:
-            pieces = [p.astype(np.float32).tobytes() for p in np.array_split(model.vector(), PIECES)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([float(seen)] * PIECES), pa.array(pieces, pa.binary())], ["piece", "weight", "v"])
-
-    parts = docs.mapInArrow(run, "piece int, weight double, v binary")
+    parts = docs.mapInArrow(_trained(shared), "piece int, weight double, v binary")
     rows = parts.repartition("piece").mapInArrow(_average, "piece int, weight double, v binary").collect()
     if not rows:
         return start
