@@ -1,12 +1,17 @@
 """Corpus operators over all that narrower versions of them left out."""
 
+import random
 from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 
-from quillstream.llm import gru, lmscore
+import corpus_pipeline
+from quillstream.llm import gru, lmscore, neardup
+
+from .tables import documents
+from .test_dedup import groups
 
 
 def statistics(texts):
@@ -48,3 +53,33 @@ def test_state_goes_from_window_to_window(monkeypatch):
     seen.clear(), calls.clear()
     model.train_texts(texts[:1], 1)
     assert not calls[0][0].any() and all((a[1] == b[0]).all() and b[0].any() for a, b in zip(calls, calls[1:]))
+
+
+def plain_shingles(text):
+    words = text.lower().split()
+    return {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else {""}
+
+
+def test_near_duplicate_stage_against_all_pairs(spark, monkeypatch):
+    """Edited copies around 0.8, a large group with a common line, short and blank texts."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(3000)}"
+    common = " ".join(f"licence{k}" for k in range(12))
+    texts = ["", "  ", "one two", "One  two", "one two three"]
+    for k in range(40):
+        base = [word() for _ in range(rng.choice([6, 60, 120, 400]))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randrange(12)):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 2 + len(base) // 50)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy) + (" " + common if k % 3 else ""))
+    rng.shuffle(texts)
+    sets = [plain_shingles(t) for t in texts]
+    true = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    want = groups(len(sets), true)
+    assert 60 < len(set(want)) < len(want) - 40
+    monkeypatch.setattr(neardup, "LARGE", 8)
+    df = documents(spark, list(enumerate(texts)))
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == dict(enumerate(want))
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()} == set(want)
