@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tokens as K
+
 #: Fixed times, so that queries are deterministic.
 NOW_EVENTS, NOW_ORDERS = "2024-01-20 12:00:00", "1996-06-30 12:00:00"
 
@@ -47,11 +49,13 @@ def order_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as stories: the first line is the main fact."""
+    """documents as stories: the first line is the main fact, all the rest one further fact; names and numbers are those of the whole text."""
+    text = F.coalesce("text", F.lit(""))
+    rest = F.regexp_replace(text, r"^[^\n]*\n?", "")
     return table(spark, sf_dir, "documents").select(
         (F.col("doc_id") + 1).alias("telegram_id"), F.lit("ready").alias("status"), F.lit(None).cast("string").alias("source_published_at"), F.lit("").alias("card_title"), F.lit("").alias("source_url"),
         F.struct(
-            F.element_at(F.split("text", "\n"), 1).alias("main_fact"), F.array().cast("array<string>").alias("supporting_facts"),
-            F.array().cast("array<string>").alias("protected_entities"), F.array().cast("array<string>").alias("protected_numbers"),
+            F.element_at(F.split(text, "\n"), 1).alias("main_fact"), F.array(rest).alias("supporting_facts"),
+            F.array_distinct(K.strict_tokens(text)).alias("protected_entities"), K.all_numbers(text).alias("protected_numbers"),
         ).alias("editorial"), (F.col("doc_id") + 1).alias("ingest_seq"),
     )

@@ -451,7 +451,7 @@ pairs AS (SELECT later, earlier, CASE WHEN same THEN 1.0 ELSE round(n / u::DOUBL
 
 @query(f"SELECT doc_id, list_aggregate(list_sort({WORDS_SQL}), 'string_agg', ' ') AS words FROM documents WHERE len({WORDS_SQL}) > 0")
 def story_tokens(spark, d):
-    rows = A.table(spark, d, "documents").select("doc_id", K.tokens(F.element_at(F.split("text", "\n"), 1)).alias("w"))
+    rows = A.table(spark, d, "documents").select("doc_id", K.tokens(F.col("text")).alias("w"))
     return rows.where(F.size("w") > 0).select("doc_id", F.array_join(F.array_sort("w"), " ").alias("words"))
 
 
