@@ -469,9 +469,9 @@ def duplicate_stories(spark, d):
 @query(f"""WITH {PAIRS_SQL}, both_ways AS (SELECT later AS a, earlier AS b, score, reason FROM pairs UNION ALL SELECT earlier, later, score, reason FROM pairs),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM both_ways WHERE a % 2 = 1 AND b % 2 = 0) SELECT a AS telegram_id, b AS duplicate_of, reason, score FROM ranked WHERE k = 1""")
 def best_matches(spark, d):
-    """Per odd story its best match among the even ones."""
+    """Per story its best match among all others."""
     rows = A.stories(spark, d)
-    return dedupe.best_match(rows.where("telegram_id % 2 = 1"), rows.where("telegram_id % 2 = 0"))
+    return dedupe.best_match(rows, rows)
 
 
 @query()
