@@ -2,26 +2,28 @@
 
 The formats are found by pattern.  Further tokens are found by the method: one
 character Markov model is trained on labelled random strings, one on labelled
-ordinary identifiers, and a long token is a secret if the first explains it
-better than the second by a margin calibrated on held-out labelled samples.
+ordinary words and identifiers, and a long token is a secret if the first
+explains it better than the second by a margin calibrated on held-out labelled
+samples.  Both samples are fixed by a seed and a public vocabulary file, so a
+text is judged alike in every corpus.
 """
 
 from __future__ import annotations
 
-import builtins
-import importlib
-import keyword
 import math
 import random
 import re
 import string
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import load_ranks
 from .common import id_and_text, small_batches
 
 #: Kinds in the order in which spans that start together are listed.
@@ -32,8 +34,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Tokens that the models judge.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
-#: Text rows and words of them that the identifier model may be trained on.
-MAX_SAMPLE_ROWS, MAX_SAMPLE_WORDS = 2_000, 100_000
+#: Rank file whose tokens of letters are the ordinary words, and how many samples each way of joining them gives.
+WORDS, JOINED = "byte_bpe_multi_50k.tiktoken", 6_000
 #: Random strings in the labelled sample.
 RANDOM_SAMPLES = 6_000
 
@@ -47,20 +49,26 @@ def random_strings(n: int = RANDOM_SAMPLES, seed: int = 7) -> list[str]:
     return ["".join(rng.choices(alphabets[k % len(alphabets)], k=rng.randrange(20, 65))) for k in range(n)]
 
 
-def identifiers() -> list[str]:
-    """Labelled negatives: the names in a few modules of the standard library, alone and joined."""
-    names = {*keyword.kwlist, *dir(builtins)}
-    for module in ("os", "sys", "json", "re", "string", "math", "random", "datetime", "collections", "itertools", "functools", "pathlib", "shutil", "subprocess", "socket", "ssl", "http.client", "urllib.parse", "urllib.request", "email.message", "logging", "argparse", "threading", "asyncio", "inspect", "decimal", "statistics", "typing", "unittest", "xml.dom.minidom", "html.parser", "csv", "sqlite3", "tarfile", "zipfile"):
-        names |= {n for n in dir(importlib.import_module(module))}
-    names = sorted(n for n in names if len(n) > 2)
-    rng = random.Random(11)
-    joined = [rng.choice("_-/=+").join(rng.choices(names, k=rng.randrange(2, 5))) for _ in range(4 * len(names))]
-    camel = ["".join(x.strip("_").title() for x in rng.choices(names, k=3)) for _ in range(len(names))]
-    numbered = [f"{rng.choice(names)}_{rng.randrange(1000)}" for _ in range(len(names))]
-    separators = [c * k for c in "-_=+/" for k in (20, 24, 32, 48, 64, 80)]
-    numbers = ["".join(rng.choices(string.digits, k=rng.randrange(10, 30))) for _ in range(len(names))]
-    dates = [f"20{rng.randrange(10, 40)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}-{rng.choice(names)}" for _ in range(len(names) // 2)]
-    return names + joined + camel + numbered + separators + numbers + dates
+def identifiers(path: str | None = None, seed: int = 11) -> list[str]:
+    """Labelled negatives: the ordinary words of a vocabulary file, alone and joined as names, paths and compounds are."""
+    tokens = (t.removeprefix(b" ") for t in load_ranks(path or public_tokenizers.path(WORDS)))
+    words = sorted({t.decode() for t in tokens if len(t) > 2 and t.isalpha() and t.isascii()})
+    rng = random.Random(seed)
+    some = lambda low, high: rng.choices(words, k=rng.randrange(low, high))
+    digits = lambda low, high: "".join(rng.choices(string.digits, k=rng.randrange(low, high)))
+    out = list(words)
+    for _ in range(JOINED):
+        out.append(rng.choice("_-/=+").join(some(2, 7)))
+        out.append(rng.choice(["", "_"]).join(some(2, 5)).lower())
+        out.append(rng.choice(["", "s"]).join(w.lower() for w in some(2, 5)).capitalize())
+        out.append("".join(w.title() for w in some(2, 6)))
+        out.append("_".join(some(2, 5)).upper())
+        out.append(f"{'_'.join(some(1, 4))}{rng.choice('_-')}{digits(1, 5)}")
+        out.append(digits(10, 30))
+        out.append(f"20{digits(2, 3)}-{digits(2, 3)}-{digits(2, 3)}-{'-'.join(some(1, 5))}")
+    alphabets = (string.ascii_lowercase, string.ascii_uppercase, string.digits + "abcdef", string.ascii_letters + string.digits)
+    out += [(a * 3)[k : k + size] for a in alphabets for k in range(len(a)) for size in (20, 26, 32)]
+    return out + [c * k for c in "-_=+/" for k in (20, 24, 32, 48, 64, 80) for _ in range(20)]
 
 
 def _codes(text: str) -> np.ndarray:
@@ -78,12 +86,13 @@ class Markov:
     """Order-2 character model, interpolated with orders 1 and 0."""
 
     def __init__(self, samples: Iterable[str]):
-        one, two, three = np.ones(SIZE), np.zeros((SIZE, SIZE)), np.zeros((SIZE * SIZE, SIZE))
-        for s in samples:
-            c = np.concatenate(([SIZE - 1, SIZE - 1], _codes(s)))
-            np.add.at(one, c[2:], 1)
-            np.add.at(two, (c[1:-1], c[2:]), 1)
-            np.add.at(three, (c[:-2] * SIZE + c[1:-1], c[2:]), 1)
+        lead = np.array([SIZE - 1, SIZE - 1])
+        c = np.concatenate([lead, *(x for s in samples for x in (_codes(s), lead))])
+        first, second, third = c[:-2], c[1:-1], c[2:]
+        inside = third < SIZE - 1
+        three = np.bincount((first * SIZE + second)[inside] * SIZE + third[inside], minlength=SIZE**3).reshape(SIZE * SIZE, SIZE)
+        two = three.reshape(SIZE, SIZE, SIZE).sum(0)
+        one = two.sum(0) + 1.0
         p = one / one.sum()
         p2 = (two + 4 * p) / (two.sum(1, keepdims=True) + 4)
         self.log = np.log((three + 8 * np.tile(p2, (SIZE, 1))) / (three.sum(1, keepdims=True) + 8)).astype(np.float32)
@@ -125,13 +134,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], detector: Detector) -> list[tuple[int, int, int]]:
-    """Tokens that the models call random and that no base span touches."""
-    out = []
+    """Tokens that the models call random and that no base span touches; base is sorted."""
+    out, at, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if any(s < b and a < e for s, _, e in base):
-            continue
-        if detector.is_secret(m[0]):
+        while at < len(base) and base[at][0] < b:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= a and detector.is_secret(m[0]):
             out.append((a, 3, b))
     return out
 
@@ -140,23 +150,10 @@ def _joined(spans: Iterable[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Detector:
-    """Both models from labelled samples.
-
-    Positives are seeded random strings.  Negatives are standard-library names
-    and the words (no longer than 64, none with a digit, none inside a base
-    span) of at most MAX_SAMPLE_ROWS documents with the smallest hashed keys,
-    at most MAX_SAMPLE_WORDS of them.
-    """
-    keys = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null").orderBy(F.xxhash64("id"), "id").limit(MAX_SAMPLE_ROWS)
-    picked = sorted({r.id for r in keys.collect()})
-    words: set[str] = set()
-    if picked:
-        texts = id_and_text(docs, id_col, text_col).where(F.col("id").isin(picked))
-        word = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z+/_=-]{4,64}"), 0)))
-        rows = texts.select(word.alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(MAX_SAMPLE_WORDS).collect()
-        words = {r.w for r in rows if not base_spans(r.w)}
-    return Detector(random_strings(), identifiers() + sorted(words))
+@lru_cache(maxsize=2)
+def train(path: str | None = None) -> Detector:
+    """Both models from the labelled samples: seeded random strings, and the words of a vocabulary file."""
+    return Detector(random_strings(), identifiers(path))
 
 
 def find_secrets(docs: DataFrame, detector: Detector | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,7 +166,7 @@ def find_secrets(docs: DataFrame, detector: Detector | None = None, id_col: str
     stay; an empty table gives an empty table; other columns are not read.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(detector or train(docs, id_col, text_col))
+    shared = docs.sparkSession.sparkContext.broadcast(detector or train())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value

@@ -57,6 +57,40 @@ def test_secret_query(spark):
         assert r.spans == want  # clean and planted documents alike: nothing else is random here
 
 
+def test_long_words_are_ordinary(detector):
+    """Long words of several languages, names, paths and sequences, none of them in the labelled sample as such."""
+    for name in (
+        "Rindfleischetikettierungsueberwachung", "Lebensversicherungsgesellschaftsangestellter", "anticonstitutionnellement", "electroencefalografista", "incomprehensibilities",
+        "getElementsByTagNameAndClass", "MAX_CONNECTIONS_PER_CLIENT", "usr/local/share/documents/reports", "2024-01-30-meeting-notes-final", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "12345678901234567890",
+    ):
+        assert not detector.is_secret(name), name
+
+
+def test_random_spans_in_driver_texts(spark, detector):
+    """Keys without any telling format, put into the middle of the given texts, are found there and nothing else is."""
+    planted = [s for s in secrets.random_strings(400, seed=5) if not secrets.base_spans(s)]
+    rows, want = [], {}
+    for r, key in zip(spark.read.parquet(f"{D}/documents.parquet").orderBy("doc_id").collect(), planted):
+        words = (r.text or "").split(" ")
+        at = len(" ".join(words[: len(words) // 2])) + 1
+        rows.append((r.doc_id, " ".join([*words[: len(words) // 2], key, *words[len(words) // 2 :]])))
+        want[r.doc_id] = f"random:{at}:{at + len(key)}" if len(words) > 1 else None
+    found = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("random")] for r in secrets.digests(secrets.find_secrets(documents(spark, rows), detector)).collect()}
+    hits = [found[k] == [w] for k, w in want.items() if w]
+    assert sum(hits) >= 0.98 * len(hits)
+
+
+def test_many_matches_take_linear_time(detector):
+    import time
+
+    token = secrets.random_strings(2, seed=3)[1]
+    text = f"{token} {'ab' * 12} token=abcdefg " * 20_000
+    began = time.time()
+    base = secrets.base_spans(text)
+    assert len(secrets.added_spans(text, base, detector)) == 20_000 and len(base) == 40_000
+    assert time.time() - began < 20
+
+
 # --- personal data -----------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
