@@ -1,16 +1,19 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags.  The first pass looks at each
-block alone: place in the page, link density, length and stop-word density
-make it good, bad or undecided.  In the second pass an undecided block takes
-the label of its nearest decided neighbours, first of those in the same article.
+block alone: link density, length and stop-word density make it good, bad or
+undecided.  Markup is a feature beside them: places that never hold main text
+(menus, forms, hidden parts, names that tell) are bad whatever they say, and an
+article element counts where the text rules find good blocks in it, or none
+elsewhere.  In the second pass an undecided block takes the label of its nearest
+decided neighbours, first of those in the same article.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -55,8 +58,14 @@ MARKS = re.compile(r"""(?:^|\s)(class|id|role|itemprop|style|hidden|aria-hidden)
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in SKIPPED}
 
-#: Blocks of so many words with so many stop words among them are good by themselves.
-LONG, DENSE = 12, 0.2
+#: What an article element isn't, if its class or id says so.
+NO_ARTICLE = re.compile(r"(?<![a-z])(?:comments?|commentlist|repl(?:y|ies)|ads?|adverts?|advertisements?|sponsor(?:ed|s)?|promos?|related|recommend(?:ed|ations)?|teasers?|widgets?)(?![a-z])")
+WORDS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+
+#: Blocks of so many words (or visible characters, in scripts without blanks) are long; those with so many stop words among them are good by themselves.
+LONG, LONG_CHARS, DENSE = 12, 80, 0.2
+#: Where long blocks have fewer stop words than this, the page is in none of the languages listed, and length alone decides.
+FOREIGN = 0.1
 #: More of a block's characters than this in links make it bad.
 LINKS = 0.5
 GOOD, BAD, OPEN = 1, -1, 0
@@ -137,7 +146,7 @@ class _Page:
         outside |= role in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert")
         article = top.article
         begins = tag in ("article", "main") or role in ("main", "article") or "articlebody" in marks.get("itemprop", "")
-        if tag not in ("html", "body") and NEGATIVE.search(named.replace("_", "-")) and not (tag in ("main",) or begins and not re.search("comment|ad", named)):
+        if tag not in ("html", "body") and NEGATIVE.search(named.replace("_", "-")) and not (tag == "main" or begins and not NO_ARTICLE.search(named)):
             outside = True
         elif not outside and not article and (begins or tag in ("div", "section", "td") and POSITIVE.search(named.replace("_", "-"))):
             self.articles += 1
@@ -221,46 +230,79 @@ def blocks_of(page: str) -> list[Block]:
     return out.blocks
 
 
+@dataclass(slots=True)
+class _Facts:
+    """What the first pass measures of a block."""
+
+    words: int
+    stops: int
+    long: bool
+    linked: bool
+
+
+def _facts(b: Block) -> _Facts:
+    words = WORDS.findall(b.text.lower())
+    visible = len(b.text) - b.text.count(" ")
+    linked = b.link_chars > LINKS * visible
+    return _Facts(len(words), sum(map(STOP_WORDS.__contains__, words)), len(words) >= LONG or visible >= LONG_CHARS, linked)
+
+
+def _by_text(blocks: list[Block]) -> list[int]:
+    """The first pass: labels from length, stop words and links alone."""
+    facts = [_facts(b) for b in blocks]
+    prose = [f for f, b in zip(facts, blocks) if f.long and not f.linked and not b.outside]
+    foreign = sum(f.stops for f in prose) < FOREIGN * sum(f.words for f in prose)
+    out = []
+    for f, b in zip(facts, blocks):
+        if f.linked or "©" in b.text and not b.article:
+            out.append(BAD)
+        elif f.long and (foreign or f.stops >= DENSE * f.words):
+            out.append(GOOD)
+        else:
+            out.append(OPEN)
+    return out
+
+
 def classify(blocks: list[Block]) -> None:
     """Label every block good or bad, in two passes."""
-    framed = any(b.article and not b.outside for b in blocks)
-    for b in blocks:
-        words = b.text.split()
-        visible = len(b.text) - b.text.count(" ")
-        if b.outside or b.link_chars > LINKS * visible or framed and not b.article:
-            b.label = BAD
-        elif len(words) >= LONG and sum(w.lower().strip(".,;:!?\"'()") in STOP_WORDS for w in words) >= DENSE * len(words):
-            b.label = GOOD
+    first = _by_text(blocks)
+    good_in = any(x == GOOD and b.article and not b.outside for x, b in zip(first, blocks))
+    good_out = any(x == GOOD and not b.article and not b.outside for x, b in zip(first, blocks))
+    framed = any(b.article and not b.outside for b in blocks) and (good_in or not good_out)
+    for x, b in zip(first, blocks):
+        b.label = BAD if b.outside or framed and not b.article else x
     decided = [b.label for b in blocks]
-    for own in (True, False):  # neighbours in the same article first
-        before, place, behind = _nearest(blocks, decided, own), len(blocks), _nearest(blocks[::-1], decided[::-1], own)[::-1]
-        for k in range(place):
-            b = blocks[k]
-            if b.label != OPEN:
-                continue
-            (dist_a, a), (dist_b, c) = before[k], behind[k]
-            if a == OPEN and c == OPEN:
-                if own and b.article:
-                    b.label = GOOD  # an article in which nothing else is decided
-                elif not own:
-                    b.label = GOOD if any(x.label == GOOD for x in blocks) or not any(x.label == BAD for x in blocks) else BAD
-            elif OPEN in (a, c) or a == c:
-                b.label = a or c
-            else:
-                b.label = a if dist_a < dist_b else c if dist_b < dist_a else GOOD
+    short = lambda b: len(WORDS.findall(b.text)) < LONG and len(b.text) < LONG_CHARS
+    inside = lambda b: not b.outside and b.article > 0
+    _inherit(blocks, decided, True, inside, inside)
+    # a long block takes nothing from menus and footers; a short one may belong to them
+    _inherit(blocks, decided, False, lambda b: not b.outside, lambda b: not short(b))
+    _inherit(blocks, [b.label for b in blocks], False, lambda b: True, lambda b: True)
+
+
+def _inherit(blocks: list[Block], decided: list[int], own: bool, counts: Callable[[Block], bool], takes: Callable[[Block], bool]) -> None:
+    """Labels for the open blocks that take them, from the nearest decided ones that count; own: in the same article."""
+    labels = [x if counts(b) else OPEN for x, b in zip(decided, blocks)]
+    before, behind = _nearest(blocks, labels, own), _nearest(blocks[::-1], labels[::-1], own)[::-1]
+    for b, (dist_a, a), (dist_b, c) in zip(blocks, before, behind):
+        if b.label != OPEN or not takes(b):
+            continue
+        if OPEN in (a, c):
+            b.label = a or c or GOOD  # nothing else is decided
+        elif a == c or dist_a != dist_b:
+            b.label = a if dist_a < dist_b else c
+        else:
+            b.label = GOOD
 
 
 def _nearest(blocks: list[Block], labels: list[int], own: bool) -> list[tuple[int, int]]:
-    """For each block, how far back the last decided one is, and its label.
-
-    own: only blocks of the same article that aren't kept outside by their place.
-    """
+    """For each block, how far back the last labelled one is (own: in the same article), and its label."""
     out, at, label, article = [], 0, OPEN, 0
     for k, b in enumerate(blocks):
         if own and b.article != article:
             article, label = b.article, OPEN
         out.append((k - at, label))
-        if labels[k] != OPEN and not (own and (b.outside or not b.article)):
+        if labels[k] != OPEN:
             at, label = k, labels[k]
     return out
 

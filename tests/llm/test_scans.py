@@ -265,6 +265,42 @@ def test_main_text(page, text):
     assert maintext.main_text(page) == text
 
 
+BARE = {  # long sentences, a short one between them
+    "en": ("The council said on Monday that it would not close the library, which has been open for more than a century.", "It was a close vote.", "Those who had signed the petition were glad that they had been heard after all of these years."),
+    "fr": ("Le conseil a dit lundi qu'il ne fermera pas la bibliothèque, qui est ouverte depuis plus d'un siècle dans la ville.", "Le vote fut serré.", "Ceux qui avaient signé la pétition sont heureux que leur voix soit entendue par les élus et par le maire."),
+    "de": ("Der Rat hat am Montag gesagt, dass er die Bücherei nicht schließen wird, die seit mehr als hundert Jahren offen ist.", "Es war knapp.", "Die Leute, die den Brief an den Rat mit Namen versehen hatten, sind froh, dass man sie nach all der Zeit hört."),
+    "es": ("El consejo dijo el lunes que no va a cerrar la biblioteca, que está abierta desde hace más de un siglo en la ciudad.", "Fue por poco.", "Los que firmaron la carta que se envió al consejo se alegran de que se les haya oído por fin en el pleno."),
+}
+
+
+def bare_page(lang):
+    """A page of plain divs: no article, no main, no telling names."""
+    a, b, c = BARE[lang]
+    links = lambda words: "".join(f"<div><a href=/{w}>{w} {w}</a></div>" for w in words.split())
+    return f"<html><body><div>{links('Home News Sport Culture Travel')}</div><div><div>{a}</div><div>{b}</div><div>{c}</div></div><div>{links('Imprint Contact Privacy Terms')}<div>© 2024 x</div></div></body></html>"
+
+
+@pytest.mark.parametrize("lang", BARE)
+def test_text_rules_decide_bare_pages(lang, monkeypatch):
+    assert maintext.main_text(bare_page(lang)) == "\n".join(BARE[lang])
+    monkeypatch.setattr(maintext, "LINKS", 2.0)  # no block is bad by its links any more
+    assert maintext.main_text(bare_page(lang)) != "\n".join(BARE[lang])
+    monkeypatch.undo()
+    monkeypatch.setattr(maintext, "DENSE", 2.0)  # none is good by its stop words
+    assert maintext.main_text(bare_page(lang)) != "\n".join(BARE[lang])
+
+
+def test_density_chooses_the_article():
+    a, b, c = BARE["en"]
+    teaser = "<article><h3><a href=/x>Another story of the day</a></h3></article>"
+    assert maintext.main_text(f"<article><p>{a}</p><p>{b}</p></article>{teaser}{teaser}<p>{c}</p>") == f"{a}\n{b}"
+    assert maintext.main_text(f"<div>{a}</div><div>{c}</div>{teaser}") == f"{a}\n{c}"  # an article element of links alone doesn't count
+    hungarian = "A városi tanács hétfőn bejelentette, hogy nem zárja be a könyvtárat, amely több mint száz éve várja az olvasókat."
+    assert maintext.main_text(f"<nav><a href=/>Haza</a></nav><div>{hungarian}</div><div>Igen.</div><footer><a href=/>Rólunk</a></footer>") == f"{hungarian}\nIgen."
+    assert maintext.main_text(f"<article class='thread header'><p>{a}</p></article>") == a
+    assert maintext.main_text("<div>" + "市议会周一表示不会关闭图书馆。" * 8 + "</div><div><a href=/>首页</a></div>") == "市议会周一表示不会关闭图书馆。" * 8
+
+
 def test_page_time_is_linear():
     import time
 
