@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,16 +26,32 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir.  Only a session on one machine gets a folder of its own where that is unset."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillstream-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """An eager reliable checkpoint in the folder of spark.checkpoint.dir.
+    """An eager reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    Only where that setting is absent (tests on one machine) a folder is made.
-    """
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder, read again; the files go when the application ends."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillstream-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(conf).deleteOnExit(place)
+    return spark.read.parquet(path)
 
 
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

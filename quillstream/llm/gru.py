@@ -3,22 +3,27 @@
 Symbols are the commonest words, the end of a text, and buckets of all other
 words by their last bytes.  A symbol's probability is that of its class given
 the state times its own within the class; a word of a bucket adds its share of
-the bucket's counts (plus one, one unseen word included).  Training is truncated
-back-propagation: the state goes from window to window, the gradient does not.
+the bucket's counts (plus one, one unseen word included).  Texts are laid end to
+end in lanes that run in step, window by window.  Training is truncated
+back-propagation: within a text the state goes from window to window, the
+gradient does not; after the end of a text the state is zero again.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 #: Units, classes of the output, words that are symbols, and buckets of the others.
 UNITS, CLASSES, WORDS, BUCKETS = 16, 48, 2048, 128
-#: Steps of a window, and windows that a place of training runs through.
-WINDOW, SPAN = 16, 4
+#: Steps of a window, and lanes that run in step: in training (one update for each window), and in scoring.
+WINDOW, LANES, SCORE_LANES = 16, 256, 512
+#: Texts too few for so many updates are trained on in fewer lanes, but no fewer than LEAST_LANES.
+UPDATES, LEAST_LANES = 1000, 16
 RATE = 0.1
 NAMES = ("inp", "rec", "bias", "cls", "cls_bias", "out", "out_bias")
 
@@ -82,12 +87,31 @@ def _softmax_error(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return logits
 
 
-def _windows(text: np.ndarray) -> tuple[np.ndarray, int]:
-    """A text's windows, each with the symbol before it, filled up with -1; and the first one's place."""
-    n = -(-(len(text) - 1) // WINDOW)
-    filled = np.full(n * WINDOW + 1, -1, np.int64)
-    filled[: len(text)] = text
-    return np.lib.stride_tricks.sliding_window_view(filled, WINDOW + 1)[::WINDOW], 0
+class Lanes:
+    """Texts, each with its end, laid end to end in lanes of about the same length, the longest lane first."""
+
+    def __init__(self, texts: list[np.ndarray], lanes: int):
+        heap = [(0, k) for k in range(max(1, min(lanes, len(texts))))]
+        self.members: list[list[int]] = [[] for _ in heap]
+        for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
+            size, k = heap[0]
+            self.members[k].append(i)
+            heapq.heapreplace(heap, (size + len(texts[i]), k))
+        sizes = dict((k, n) for n, k in heap)
+        # in each lane texts stand in the order they came in, so long and short ones are mixed
+        self.members = [sorted(self.members[k]) for k in sorted(sizes, key=lambda k: (-sizes[k], k))]
+        self.sizes = np.array(sorted(sizes.values(), reverse=True))
+        self.symbols = np.zeros((self.sizes[0] + 1, len(self.sizes)), np.int16)  # the first row is what comes before
+        for k, own in enumerate(self.members):
+            if own:
+                self.symbols[1 : self.sizes[k] + 1, k] = np.concatenate([texts[i] for i in own])
+
+    def windows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(place, symbols before, symbols, whether they count), for the lanes that have any left."""
+        for at in range(0, int(self.sizes[0]), WINDOW):
+            alive = int(np.searchsorted(-self.sizes, -at, side="left"))
+            block = self.symbols[at : at + WINDOW + 1, :alive].astype(np.intp)
+            yield at, block[:-1], block[1:], at + np.arange(len(block) - 1)[:, None] < self.sizes[:alive]
 
 
 class Model:
@@ -111,180 +135,152 @@ class Model:
         self.squares = {name: np.full(self.p[name].shape, 1e-2, f) for name in NAMES}
 
     def _forward(self, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after each of the symbols x (steps, texts); h: the state before."""
+        """States after each of the symbols x (steps, lanes); h: the state before.  After an end the state is zero."""
         p, u = self.p, UNITS
-        gates = (p["inp"] + p["bias"])[x] if keep is None else p["inp"][x] + p["bias"]
-        states = np.empty((*x.shape, u), np.float32)
+        gates = (p["inp"] + p["bias"])[x]
+        states = np.empty((*x.shape, u), gates.dtype)
+        inside = (x != 0).astype(gates.dtype)[:, :, None]
         for t in range(len(x)):
+            h = h * inside[t]
             r = h @ p["rec"]
             zr = _sigmoid(gates[t, :, : 2 * u] + r[:, : 2 * u])
             z, reset = zr[:, :u], zr[:, u:]
             inner = r[:, 2 * u :]
             cand = np.tanh(gates[t, :, 2 * u :] + reset * inner)
             if keep is not None:
-                keep.append((h, z, reset, inner, cand))
+                keep.append((h, zr, inner, cand, inside[t]))
             h = h + z * (cand - h)
             states[t] = h
         return states
 
+    def _by_class(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+        """Classes of the symbols, their order by class, and (from, to, first row, last row) of each class with a choice."""
+        starts = self.v.starts
+        c = self.v.class_of[y]
+        order = np.argsort(c.astype(np.uint8), kind="stable")
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(c, minlength=len(starts) - 1)))).tolist()
+        rows = starts.tolist()
+        return c, order, [(a, b, lo, hi) for a, b, lo, hi in zip(bounds, bounds[1:], rows, rows[1:]) if a < b and hi - lo > 1]
+
     def _log_p(self, states: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log probability of each next symbol y given its state."""
-        p, v = self.p, self.v
-        c = v.class_of[y]
-        # symbols along the first axis: sums and maxima over them run along whole rows
-        logits = p["cls"].T @ states.T + p["cls_bias"][:, None]
-        out = _log_softmax_at(logits, c)
-        order = np.argsort(c, kind="stable")
-        bounds = np.searchsorted(c[order], np.arange(len(v.starts)))
-        for k in range(len(v.starts) - 1):
-            a, b = bounds[k], bounds[k + 1]
-            lo, hi = v.starts[k], v.starts[k + 1]
-            if a == b or hi - lo == 1:
-                continue
-            rows = order[a:b]
-            own = p["out"][lo:hi] @ states[rows].T + p["out_bias"][lo:hi, None]
-            out[rows] += _log_softmax_at(own, v.place[y[rows]] - lo)
-        return out
+        p = self.p
+        c, order, parts = self._by_class(y)
+        # symbols along the last axis: sums and maxima over classes run along whole rows
+        out = _log_softmax_at(p["cls"].T @ states.T + p["cls_bias"][:, None], c)[order]
+        sorted_states, place = states[order], self.v.place[y[order]]
+        for a, b, lo, hi in parts:
+            own = p["out"][lo:hi] @ sorted_states[a:b].T + p["out_bias"][lo:hi, None]
+            out[a:b] += _log_softmax_at(own, place[a:b] - lo)
+        back = np.empty_like(out)
+        back[order] = out
+        return back
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each text's symbols, the end last; states go on from window to window."""
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        sizes = np.array([len(texts[i]) for i in order])
-        total = np.zeros(len(texts))
-        h = np.zeros((len(texts), UNITS), np.float32)
-        flat = np.concatenate(texts) if texts else np.empty(0, int)
-        offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))[:-1][order] if texts else np.empty(0, int)
-        at = 0
-        while at < (sizes[0] if len(sizes) else 0):
-            alive = int(np.searchsorted(-sizes, -at, side="left"))
-            steps = min(WINDOW, int(sizes[0]) - at)
-            live = offsets[:alive]
-            where = at + np.arange(-1, steps)[:, None]
-            # what is beyond a text's end is read as its end, and not counted
-            symbol = flat[live + np.clip(where, 0, sizes[:alive] - 1)]
-            x, y = symbol[:-1].copy(), symbol[1:]
-            if at == 0:
-                x[0] = 0
-            states = self._forward(x, h[:alive])
-            h[:alive] = states[-1]
-            counted = where[1:] < sizes[:alive]
-            rows = np.nonzero(counted)
-            total[:alive] += np.bincount(rows[1], self._log_p(states[rows], y[rows]), alive)
-            at += steps
+        if not texts:
+            return np.empty(0)
+        lanes = Lanes(texts, SCORE_LANES)
+        log_p = np.zeros(lanes.symbols.shape)
+        h = np.zeros((len(lanes.sizes), UNITS), np.float32)
+        for at, x, y, counted in lanes.windows():
+            states = self._forward(x, h[: x.shape[1]])
+            h = states[-1]
+            found = self._log_p(states.reshape(-1, UNITS), y.ravel()).reshape(y.shape)
+            log_p[at + 1 : at + 1 + len(x), : x.shape[1]] = np.where(counted, found, 0)
         out = np.empty(len(texts))
-        out[order] = total / np.log(10)
-        return out
-
-    def train(self, spans: list[np.ndarray]) -> None:
-        """One step for each window of the spans, all in step; each span begins with the symbol before it."""
-        size = max(map(len, spans)) if spans else 0
-        if size < 2:
-            return
-        filled = np.zeros((size, len(spans)), int)
-        valid = np.zeros((size, len(spans)), bool)
-        for k, s in enumerate(spans):
-            filled[: len(s), k] = s
-            valid[1 : len(s), k] = True
-        h = np.zeros((len(spans), UNITS), np.float32)
-        for at in range(0, size - 1, WINDOW):
-            x, y = filled[at : at + WINDOW], filled[at + 1 : at + WINDOW + 1]
-            x = x[: len(y)]
-            h = self._window(x, y, valid[at + 1 : at + 1 + len(y)], h)
-
-    def train_texts(self, texts: Iterable[np.ndarray], lanes: int) -> int:
-        """One step for each window of so many texts at once, to the end of every text; the number of symbols trained on.
-
-        Each text begins with the symbol before its first.  A lane's state goes
-        on from window to window; at its text's end it takes the next one.
-        """
-        texts, live, seen = iter(texts), [], 0
-        h = np.zeros((0, UNITS), np.float32)
-        while True:
-            fresh = []
-            while len(live) + len(fresh) < lanes and (text := next(texts, None)) is not None:
-                if len(text) > 1:
-                    fresh.append(_windows(text))
-            live += fresh
-            if not live:
-                return seen
-            h = np.concatenate((h, np.zeros((len(fresh), UNITS), np.float32)))
-            block = np.array([windows[at] for windows, at in live]).T
-            valid = block[1:] >= 0
-            steps = int(valid.sum(0).max())
-            seen += int(valid.sum())
-            block = np.maximum(block[: steps + 1], 0)
-            h = self._window(block[:-1], block[1:], valid[:steps], h, lanes * WINDOW)
-            more = [k for k, (windows, at) in enumerate(live) if at + 1 < len(windows)]
-            live, h = [(live[k][0], live[k][1] + 1) for k in more], h[more]
+        for k, own in enumerate(lanes.members):
+            if own:
+                firsts = np.cumsum([0] + [len(texts[i]) for i in own[:-1]])
+                out[own] = np.add.reduceat(log_p[1 : lanes.sizes[k] + 1, k], firsts)
+        return out / np.log(10)
+
+    def train(self, texts: list[np.ndarray], lanes: int | None = None) -> int:
+        """One update for each window of the lanes, to the end of every text; the number of symbols trained on."""
+        if not texts:
+            return 0
+        lanes = lanes or max(LEAST_LANES, min(LANES, sum(map(len, texts)) // (WINDOW * UPDATES)))
+        laid, seen = Lanes(texts, lanes), 0
+        h = np.zeros((len(laid.sizes), UNITS), np.float32)
+        for _, x, y, counted in laid.windows():
+            h = self._window(x, y, counted, h[: x.shape[1]], lanes * WINDOW)
+            seen += int(counted.sum())
+        return seen
 
     def _window(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, h: np.ndarray, full: int = 0) -> np.ndarray:
-        """One step; symbols weigh as if there were full of them at least, so a few left over don't move it like many."""
+        """One update; symbols weigh as if there were full of them at least, so a few left over don't move it like many."""
         p, v, u = self.p, self.v, UNITS
         kept: list = []
         states = self._forward(x, h, kept)
-        rows = np.nonzero(valid)
-        n = len(rows[0])
-        if not n:
+        rows = np.flatnonzero(valid)
+        if not len(rows):
             return states[-1]
-        n = max(n, full)
-        s, t = states[rows], y[rows]
+        n = max(len(rows), full)
+        t = y.ravel()[rows]
+        c, order, parts = self._by_class(t)
+        rows, t, c = rows[order], t[order], c[order]
+        s = states.reshape(-1, u)[rows]
         grads: dict[str, np.ndarray] = {}
-        c = v.class_of[t]
         d = _softmax_error(p["cls"].T @ s.T + p["cls_bias"][:, None], c)
         grads["cls"], grads["cls_bias"] = (d @ s).T / n, d.sum(1) / n
         d_s = d.T @ p["cls"].T
         grads["out"], grads["out_bias"] = np.zeros_like(p["out"]), np.zeros_like(p["out_bias"])
-        order = np.argsort(c, kind="stable")
-        bounds = np.searchsorted(c[order], np.arange(len(v.starts)))
-        for k in range(len(v.starts) - 1):
-            a, b = bounds[k], bounds[k + 1]
-            lo, hi = v.starts[k], v.starts[k + 1]
-            if a == b or hi - lo == 1:
-                continue
-            r = order[a:b]
-            own_s = s[r]
-            d = _softmax_error(p["out"][lo:hi] @ own_s.T + p["out_bias"][lo:hi, None], v.place[t[r]] - lo)
+        place = v.place[t]
+        for a, b, lo, hi in parts:
+            own_s = s[a:b]
+            d = _softmax_error(p["out"][lo:hi] @ own_s.T + p["out_bias"][lo:hi, None], place[a:b] - lo)
             grads["out"][lo:hi], grads["out_bias"][lo:hi] = d @ own_s / n, d.sum(1) / n
-            d_s[r] += d.T @ p["out"][lo:hi]
+            d_s[a:b] += d.T @ p["out"][lo:hi]
         d_states = np.zeros_like(states)
-        d_states[rows] = d_s / n
-        d_gates = np.empty((*x.shape, 3 * u), np.float32)
+        d_states.reshape(-1, u)[rows] = d_s / n
+        d_gates = np.empty((*x.shape, 3 * u), states.dtype)
         d_rec = np.zeros_like(p["rec"])
-        back = np.zeros_like(h)
+        back = np.zeros_like(d_states[0])
+        rec_t = np.ascontiguousarray(p["rec"].T)
         for k in range(len(x) - 1, -1, -1):
-            before, z, reset, inner, cand = kept[k]
-            back = back + d_states[k]
-            d_cand = back * z * (1 - cand * cand)
-            d_z = back * (cand - before) * z * (1 - z)
-            d_reset = d_cand * inner * reset * (1 - reset)
-            d_gates[k, :, :u], d_gates[k, :, u : 2 * u], d_gates[k, :, 2 * u :] = d_z, d_reset, d_cand
-            through = np.concatenate((d_z, d_reset, d_cand * reset), 1)
+            before, zr, inner, cand, inside = kept[k]
+            z, reset = zr[:, :u], zr[:, u:]
+            back += d_states[k]
+            own = d_gates[k]
+            slope = zr * (1 - zr)
+            d_cand = back * z
+            d_cand *= 1 - cand * cand
+            own[:, :u] = back * (cand - before)
+            own[:, u : 2 * u] = d_cand * inner
+            own[:, : 2 * u] *= slope
+            own[:, 2 * u :] = d_cand
+            through = own.copy()
+            through[:, 2 * u :] *= reset
             d_rec += before.T @ through
-            back = back * (1 - z) + through @ p["rec"].T
+            back = back * (1 - z)
+            back += through @ rec_t
+            back *= inside
         flat = d_gates.reshape(-1, 3 * u)
         grads["rec"], grads["bias"] = d_rec, flat.sum(0)
-        symbols = x.reshape(-1)
-        by = np.argsort(symbols, kind="stable")
+        symbols = x.ravel()
+        by = np.argsort(symbols.astype(np.int16), kind="stable")
         some, first = np.unique(symbols[by], return_index=True)
-        g = np.add.reduceat(flat[by], first, 0)
-        self._move("inp", g, some)
+        self._move("inp", np.add.reduceat(flat[by], first, 0), some)
         for name, g in grads.items():
             self._move(name, g, slice(None))
         return states[-1]
 
     def _move(self, name: str, g: np.ndarray, where) -> None:
         """Adagrad, with each entry of the gradient held to one."""
-        g = np.clip(g * 32, -1, 1)
+        g *= 32
+        np.clip(g, -1, 1, out=g)
         sq = self.squares[name][where] + g * g
         self.squares[name][where] = sq
         self.p[name][where] -= RATE * g / np.sqrt(sq)
 
     def vector(self) -> np.ndarray:
-        return np.concatenate([self.p[name].ravel() for name in NAMES])
+        """All parameters, and the sums that set their step sizes."""
+        return np.concatenate([table[name].ravel() for table in (self.p, self.squares) for name in NAMES])
 
     def load(self, flat: np.ndarray) -> None:
         at = 0
-        for name in NAMES:
-            n = self.p[name].size
-            self.p[name] = flat[at : at + n].reshape(self.p[name].shape).astype(np.float32)
-            at += n
+        for table in (self.p, self.squares):
+            for name in NAMES:
+                n = table[name].size
+                table[name] = flat[at : at + n].reshape(table[name].shape).astype(np.float32)
+                at += n

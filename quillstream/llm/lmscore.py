@@ -3,17 +3,20 @@
 Word counts cover all training documents and stay distributed; only words above
 a frequency that keeps their number under MAX_COMMON, and sums by bucket, come
 to the driver.  Counts of all other words meet the documents by a join.  The
-network starts from a bounded sample, then every partition trains on all tokens
-of each of its training documents, and the partitions' networks are averaged by
-the tokens they saw.
+network trains on all tokens of every training document: documents are dealt by
+their hashed keys into shards of about SHARD_TOKENS tokens, whose number follows
+from the corpus and not from its partitions; in each round a part of the shards
+trains from the same network, and their networks are averaged by the tokens
+they saw.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import cut, id_and_text, small_batches
+from .common import id_and_text, small_batches, stored
 
 #: Common words that may come to the driver and be broadcast.
 MAX_COMMON = 1 << 17
-#: Training documents (those with the smallest hashed keys) that the network starts from, and rounds over them.
-START_DOCS, START_ROUNDS = 1_500, 3
-#: Of the tokens of each document that the network starts from, the start trains on one in so many, and one place at least.
-TRAIN_SHARE = 8
-#: Texts that one training step takes at once, and texts that are scored in step.
-BATCH, GROUP_TEXTS, GROUP_TOKENS = 256, 4096, 3_000_000
+#: Tokens of a shard, and rounds in which all shards are trained on, each once.
+SHARD_TOKENS, ROUNDS = 5_000_000, 4
+#: Texts, and tokens of them, that are scored together.
+GROUP_TEXTS, GROUP_TOKENS = 8192, 3_000_000
 #: Words that one task counts before it passes counts on, and that it remembers.
 MAX_COUNTED, MAX_WORDS = 400_000, 200_000
 #: Pieces in which networks are averaged.
@@ -143,59 +144,39 @@ def gather(docs: DataFrame, counts: DataFrame) -> Statistics:
     return Statistics(common, tokens, words, ends, int(tokens.sum()) + ends, int(words.sum()) + (ends > 0))
 
 
-def _spans(stats: Statistics, text: str, seed: int) -> list[np.ndarray]:
-    """Places of a text that the start trains on, as symbols, each with the symbol before it."""
-    words, size = split_words(text), gru.WINDOW * gru.SPAN
-    n = len(words) + 1
-    rng = np.random.default_rng(seed & (1 << 63) - 1)
-    out = []
-    for _ in range(max(1, round(n / size / TRAIN_SHARE))):
-        at = int(rng.integers(0, n - size + 1)) if n > size else 0
-        part = stats.symbol[stats.find(words[max(0, at - 1) : at + size])]
-        out.append(np.concatenate(([0] * (not at), part, [0] * (at + size >= n))))
-    return out
+ENCODED = "id long, name long, held boolean, n_tokens long, common_known long, common_log double, symbol_log double, bucket_log double, symbols binary, rare string"
 
 
-def _sequence(stats: Statistics, text: str) -> np.ndarray:
-    """A whole text as symbols, with the symbol before it and its end."""
-    return np.concatenate(([0], stats.symbol[stats.find(split_words(text))], [0]))
-
-
-def _start(docs: DataFrame, stats: Statistics) -> np.ndarray:
-    """A network trained on a bounded sample of training documents, on the driver."""
-    key = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    keys = docs.where((F.pmod(F.crc32(key), F.lit(7)) != 2) & F.col("id").isNotNull()).select("id").orderBy(F.xxhash64("id"), "id").limit(START_DOCS)
-    picked = sorted({r.id for r in keys.collect()})
-    model = gru.Model(stats.vocabulary)
-    if not picked:
-        return model.vector()
-    shared = docs.sparkSession.sparkContext.broadcast(stats)
+def _encoded(shared) -> Callable:
+    """(id, text) to ENCODED: symbols and their end as 16-bit numbers, sums over the common words, and the other words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = shared.value
+        common, end = len(s.words), np.log10(s.ends + 1.0)
+        symbols = min(gru.WORDS, common)
         for batch in batches:
-            keys, spans = [], []
+            rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                name = row_key(key, text)
-                for s in _spans(shared.value, text, name)[:8]:
-                    keys.append(name)
-                    spans.append(s.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(spans, pa.list_(pa.int32()))], ["k", "span"])
-
-    rows = docs.where(F.col("id").isin(picked)).mapInArrow(run, "k long, span array<int>").collect()
-    spans = [np.array(r.span) for r in sorted(rows, key=lambda r: (r.k, r.span))]
-    rng = np.random.default_rng(1)
-    for _ in range(START_ROUNDS):
-        order = rng.permutation(len(spans))
-        for at in range(0, len(order), BATCH // 4):
-            model.train([spans[i] for i in order[at : at + BATCH // 4]])
-    return model.vector()
+                words = split_words(text)
+                f = s.find(words)
+                own = s.log_count[f]
+                q = np.append(s.symbol[f], np.int32(0))
+                rare = np.flatnonzero(f >= common)
+                rows.append((
+                    key, row_key(key, text), held_out(key), len(q), len(f) - len(rare) + (s.ends > 0), float(own.sum()) + end, float(own[f < symbols].sum()) + end,
+                    float(s.log_bucket[q].sum()), q.astype("<i2").tobytes(), b" ".join(words[i] for i in rare.tolist()).decode() if len(rare) else None,
+                ))
+            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), *[pa.float64()] * 3, pa.binary(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [c.split()[0] for c in ENCODED.split(", ")]) if rows else pa.RecordBatch.from_arrays([pa.array([], t) for t in types], [c.split()[0] for c in ENCODED.split(", ")])
+
+    return run
 
 
 def _average(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(piece, weight, values) of many partitions to one weighted sum for each piece."""
+    """(piece, shard, weight, values), sorted, to one weighted sum for each piece."""
     sums: dict[int, tuple[float, np.ndarray]] = {}
     for batch in batches:
-        for piece, weight, values in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        for piece, weight, values in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
             w, v = sums.get(piece, (0.0, 0.0))
             sums[piece] = (w + weight, v + weight * np.frombuffer(values, np.float32).astype(np.float64))
     pieces = list(sums)
@@ -203,32 +184,35 @@ def _average(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _trained(shared) -> Callable:
-    """(id, text) to (piece, weight, values) of the network after a partition's training documents, all their tokens."""
+    """(shard, symbols), sorted by shard, to (piece, shard, weight, values) of each shard's network."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats, start = shared.value
-        texts = (text for batch in batches for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if not held_out(key))
-        first = next(texts, None)
-        if first is None:
-            return
-        model = _loaded(stats, start)
-        seen = model.train_texts((_sequence(stats, t) for t in chain([first], texts)), BATCH)
-        pieces = [p.astype(np.float32).tobytes() for p in np.array_split(model.vector(), PIECES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([float(seen)] * PIECES), pa.array(pieces, pa.binary())], ["piece", "weight", "v"])
+        rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        for shard, members in groupby(rows, key=lambda r: r[0]):
+            model = _loaded(stats, start)
+            seen = model.train([np.frombuffer(s, "<i2") for _, s in members])
+            pieces = [p.tobytes() for p in np.array_split(model.vector(), PIECES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([shard] * PIECES, pa.int64()), pa.array([float(seen)] * PIECES), pa.array(pieces, pa.binary())], ["piece", "shard", "weight", "v"])
 
     return run
 
 
-def fit(docs: DataFrame, stats: Statistics) -> np.ndarray:
-    """The network's parameters after every training document has been trained on."""
-    start = _start(docs, stats)
-    shared = docs.sparkSession.sparkContext.broadcast((stats, start))
-
-    parts = docs.mapInArrow(_trained(shared), "piece int, weight double, v binary")
-    rows = parts.repartition("piece").mapInArrow(_average, "piece int, weight double, v binary").collect()
-    if not rows:
-        return start
-    return np.concatenate([np.frombuffer(r.v, np.float64) / r.weight for r in sorted(rows, key=lambda r: r.piece)])
+def fit(encoded: DataFrame, stats: Statistics) -> np.ndarray:
+    """The network's parameters after every training document has been trained on; the same for any partitioning."""
+    flat = gru.Model(stats.vocabulary).vector()
+    shards = max(1, math.ceil(stats.total / SHARD_TOKENS))
+    rounds = min(ROUNDS, shards)
+    dealt = encoded.where("not held").select(F.pmod(F.xxhash64("name"), F.lit(shards)).alias("shard"), "symbols", "name")
+    for k in range(rounds):
+        shared = encoded.sparkSession.sparkContext.broadcast((stats, flat))
+        part = dealt.where(F.pmod("shard", F.lit(rounds)) == k).repartition(4 * math.ceil(shards / rounds), "shard").sortWithinPartitions("shard", "name", "symbols")
+        nets = part.select("shard", "symbols").mapInArrow(_trained(shared), "piece int, shard long, weight double, v binary")
+        rows = nets.repartition("piece").sortWithinPartitions("piece", "shard").mapInArrow(_average, "piece int, weight double, v binary").collect()
+        if rows:
+            flat = np.concatenate([np.frombuffer(r.v, np.float64) / r.weight for r in sorted(rows, key=lambda r: r.piece)]).astype(np.float32)
+        shared.unpersist()
+    return flat
 
 
 def _loaded(stats: Statistics, flat: np.ndarray) -> gru.Model:
@@ -237,63 +221,31 @@ def _loaded(stats: Statistics, flat: np.ndarray) -> gru.Model:
     return model
 
 
-def _scored(stats: Statistics, flat: np.ndarray) -> Callable:
-    names = ["id", "row", "n_tokens", "common_known", "common_log", "symbol_log", "bucket_log", "network"]
+def _scored(shared) -> Callable:
+    """Rows whose last column holds symbols, to the same with the network's score in its place."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared_stats, shared_flat = stats.value, flat.value
-        model = _loaded(shared_stats, shared_flat)
-        keys, rows, found = [], [], []
-
-        def flush() -> pa.RecordBatch:
-            s = shared_stats
-            sequences = [np.append(s.symbol[f], np.int32(0)) for f in found]
-            network = model.score(sequences)
-            common = len(s.words)
-            end = np.log10(s.ends + 1.0)
-            known = [int((f < common).sum()) + (s.ends > 0) for f in found]
-            common_log = [float(s.log_count[f].sum()) + end for f in found]
-            symbol_log = [float(s.log_count[f[f < min(gru.WORDS, common)]].sum()) + end for f in found]
-            bucket_log = [float(s.log_bucket[q].sum()) for q in sequences]
-            cols = [pa.array(keys, pa.int64()), pa.array(rows, pa.int64()), pa.array([len(q) for q in sequences], pa.int64()), pa.array(known, pa.int64()), *(pa.array(c, pa.float64()) for c in (common_log, symbol_log, bucket_log, network))]
-            out = pa.RecordBatch.from_arrays(cols, names)
-            for x in (keys, rows, found):
-                x.clear()
-            return out
-
-        size = 0
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                f = shared_stats.find(split_words(text))
-                keys.append(key)
-                rows.append(row_key(key, text))
-                found.append(f)
-                size += len(f) + 1
-                if len(found) >= GROUP_TEXTS or size >= GROUP_TOKENS:
-                    yield flush()
-                    size = 0
-        if found:
-            yield flush()
+        model = _loaded(*shared.value)
+        held: list[pa.RecordBatch] = []
+        texts: list[np.ndarray] = []
 
-    return run
-
-
-def _rare(stats) -> Callable:
-    """(id, text) to (row, word, n) of the words that aren't common."""
+        def flush() -> Iterator[pa.RecordBatch]:
+            network, at = model.score(texts), 0
+            for b in held:
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(network[at : at + b.num_rows], pa.float64())], [*b.schema.names[:-1], "network"])
+                at += b.num_rows
+            held.clear()
+            texts.clear()
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = stats.value
-        common = len(s.words)
+        size = 0
         for batch in batches:
-            rows, words, times = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = split_words(text)
-                rare = Counter(own[i] for i in np.flatnonzero(s.find(own) >= common).tolist())
-                if rare:
-                    rows += [row_key(key, text)] * len(rare)
-                    words += rare.keys()
-                    times += rare.values()
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["row", "word", "tf"])
+            held.append(batch)
+            texts += [np.frombuffer(s, "<i2") for s in batch.column(batch.num_columns - 1).to_pylist()]
+            size += sum(len(t) for t in texts[-batch.num_rows :])
+            if len(texts) >= GROUP_TEXTS or size >= GROUP_TOKENS:
+                yield from flush()
+                size = 0
+        yield from flush()
 
     return run
 
@@ -312,16 +264,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spark = docs.sparkSession
     small_batches(spark)
     read = id_and_text(docs, id_col, text_col)
-    counts = cut(count_words(read))
+    counts = stored(count_words(read))
     stats = gather(read, counts)
-    flat = fit(read, stats)
-    shared, shared_flat = spark.sparkContext.broadcast(stats), spark.sparkContext.broadcast(flat)
-    schema = "id long, row long, n_tokens long, common_known long, common_log double, symbol_log double, bucket_log double, network double"
-    scored = cut(read.mapInArrow(_scored(shared, shared_flat), schema))
-    rare = read.mapInArrow(_rare(shared), "row long, word binary, tf long")
-    known = rare.join(counts.select("word", "n"), "word").groupBy("row").agg(F.sum("tf").alias("rare_known"), F.sum(F.col("tf") * F.log10(F.col("n") + 1.0)).alias("rare_log"))
-    times = scored.groupBy("row").agg(F.count("*").alias("times"))
-    known = known.join(times, "row").select("row", (F.col("rare_known") / F.col("times")).cast("long").alias("rare_known"), (F.col("rare_log") / F.col("times")).alias("rare_log"))
+    encoded = stored(read.mapInArrow(_encoded(spark.sparkContext.broadcast(stats)), ENCODED).withColumn("row", F.monotonically_increasing_id()))
+    flat = fit(encoded, stats)
+    kept = ["id", "row", "n_tokens", "common_known", "common_log", "symbol_log", "bucket_log"]
+    shared = spark.sparkContext.broadcast((stats, flat))
+    scored = encoded.select(*kept, "symbols").mapInArrow(_scored(shared), "id long, row long, n_tokens long, common_known long, common_log double, symbol_log double, bucket_log double, network double")
+    rare = encoded.where("rare is not null").select("row", F.explode(F.split("rare", " ")).alias("word")).withColumn("word", F.col("word").cast("binary"))
+    known = rare.join(counts.select("word", "n"), "word").groupBy("row").agg(F.count("*").alias("rare_known"), F.sum(F.log10(F.col("n") + 1.0)).alias("rare_log"))
     out = scored.join(known, "row", "left")
     logs = F.col("common_log") + F.coalesce("rare_log", F.lit(0.0))
     return out.select(

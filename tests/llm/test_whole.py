@@ -5,7 +5,8 @@ from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
-import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillstream.llm import gru, lmscore, neardup
@@ -23,15 +24,33 @@ def statistics(texts):
     return lmscore.Statistics(list(words.items()), tokens, distinct, len(texts), sum(words.values()) + len(texts), len(words) + 1)
 
 
-def test_all_tokens_are_trained_on():
-    """Every token of short and long training documents counts, and none of those held out."""
+def test_all_tokens_are_trained_on(spark, monkeypatch):
+    """Every token of short and long training documents counts, in shards and rounds alike, and none of those held out."""
     texts = [" ".join(f"w{(k * j) % 50}" for j in range(n)) for k, n in enumerate([1, 0, 63, 65, 300, 767, 2000, 16, 15, 17])]
-    stats = statistics(texts)
-    start = gru.Model(stats.vocabulary).vector()
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
-    out = list(lmscore._trained(SimpleNamespace(value=(stats, start)))([batch.slice(0, 4), batch.slice(4)]))
     wanted = sum(len(t.split()) + 1 for k, t in enumerate(texts) if not lmscore.held_out(k))
-    assert {w for b in out for w in b.column(1).to_pylist()} == {float(wanted)}
+    docs = documents(spark, list(enumerate(texts))).selectExpr("doc_id id", "text")
+    shared = SimpleNamespace(value=statistics(texts))
+    encoded = docs.mapInArrow(lmscore._encoded(shared), lmscore.ENCODED)
+    start = gru.Model(shared.value.vocabulary).vector()
+    part = encoded.where("not held").selectExpr("pmod(id, 3) shard", "symbols").repartition(2, "shard").sortWithinPartitions("shard")
+    rows = part.mapInArrow(lmscore._trained(SimpleNamespace(value=(shared.value, start))), "piece int, shard long, weight double, v binary").collect()
+    assert {r.shard for r in rows} == {0, 1, 2} and len(rows) == 3 * lmscore.PIECES
+    assert sum(r.weight for r in rows if r.piece == 0) == wanted
+    trained = []
+    real = lmscore._trained
+    monkeypatch.setattr(lmscore, "SHARD_TOKENS", 600)
+    monkeypatch.setattr(lmscore, "_trained", lambda shared: trained.append(1) or real(shared))
+    lmscore.fit(encoded, shared.value)
+    assert len(trained) == lmscore.ROUNDS
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    """The same table in 2 and in 8 partitions, in other orders, dealt into several shards: the same scores."""
+    monkeypatch.setattr(lmscore, "SHARD_TOKENS", 20_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    a, b = ({r.doc_id: r for r in lmscore.score(docs.repartition(n, F.xxhash64("text", F.lit(n)))).collect()} for n in (2, 8))
+    assert a.keys() == b.keys()
+    assert all(abs(a[k].score - b[k].score) <= 1e-5 * abs(a[k].score) and a[k].base_score == pytest.approx(b[k].base_score) for k in a)
 
 
 def test_state_goes_from_window_to_window(monkeypatch):
@@ -47,14 +66,24 @@ def test_state_goes_from_window_to_window(monkeypatch):
 
     monkeypatch.setattr(gru.Model, "_window", window)
     rng = np.random.default_rng(3)
-    texts = [np.concatenate(([0], rng.integers(0, 130, n), [0])) for n in (40, 0, 15, 16, 100)]
-    assert model.train_texts(texts, 2) == sum(len(t) - 1 for t in texts)
-    assert Counter(seen) == Counter(p for t in texts for p in zip(t[:-1].tolist(), t[1:].tolist()))
+    texts = [np.append(rng.integers(1, 130, n), 0) for n in (40, 0, 15, 16, 100)]
+    assert model.train(texts, 2) == sum(map(len, texts))
+    assert Counter(seen) == Counter(p for t in texts for p in zip([0, *t[:-1].tolist()], t.tolist()))
     seen.clear(), calls.clear()
-    model.train_texts(texts[:1], 1)
+    model.train(texts[:1], 1)
     assert not calls[0][0].any() and all((a[1] == b[0]).all() and b[0].any() for a, b in zip(calls, calls[1:]))
 
 
+def test_states_end_with_their_text():
+    """A text after another one in a lane is read as it would be alone."""
+    model = gru.Model(statistics(["a b c d e"]).vocabulary)
+    rng = np.random.default_rng(4)
+    texts = [np.append(rng.integers(1, 130, n), 0) for n in (9, 0, 30, 5)]
+    together = model._forward(np.concatenate([[0], *texts])[:-1, None].astype(np.intp), np.ones((1, gru.UNITS), np.float32))
+    alone = [model._forward(np.concatenate(([0], t))[:-1, None].astype(np.intp), np.zeros((1, gru.UNITS), np.float32)) for t in texts]
+    assert np.allclose(together, np.concatenate(alone))
+
+
 def plain_shingles(text):
     words = text.lower().split()
     return {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else {""}
