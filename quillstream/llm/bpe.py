@@ -4,16 +4,19 @@ Two adjacent tokens are *compatible* if merging their joined bytes gives the
 same two tokens back.  A token sequence is the BPE encoding of its bytes
 exactly if all its neighbours are compatible (the first merge across a
 boundary would also happen with the two tokens alone), and so every prefix of
-an input has one last token.  The transducer reads bytes and guesses where
-tokens start; its nondeterministic configurations (tokens so far, place in the
-vocabulary trie) are determinised on demand, and what all live configurations
-agree on is emitted.  None can stay open longer than the longest token, which
+an input has one last token.  The transducer reads bytes and guesses where the
+next token starts.  What later bytes can still depend on makes a state: the
+place in the vocabulary's automaton, for each live guess what of the token
+before it matters, and how the guesses' paths join.  States and transitions are
+made as inputs need them; tokens before the place where all paths join are
+emitted at once.  No guess stays open longer than the longest token, which
 bounds the lookahead.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -26,9 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import blocks, id_and_text, small_batches
 
-#: States, pairs of tokens and words that one process keeps: states beyond the bound are worked out
-#: anew each time, the other two start afresh.
+#: States, pairs of tokens and words that one process keeps; each of these tables starts afresh when it is full.
 MAX_STATES, MAX_PAIRS, MAX_WORDS = 150_000, 500_000, 350_000
+#: Before a guess with at most so many tokens to come, left tokens that go with the same of them are the same to a state.
+FEW = 12
 #: The same for executors that have little memory beside the JVM.
 SMALL = (40_000, 150_000, 80_000)
 #: Tokens that the decoder joins at a time.
@@ -41,10 +45,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def merge_plain(ranks: dict[bytes, int], piece: bytes) -> list[int]:
-    """The textbook merge loop: join the lowest-ranked, leftmost pair until none is left."""
+def merge_plain(ranks: dict[bytes, int], piece: bytes, stop: int = 1) -> list[bytes]:
+    """The textbook merge loop: join the lowest-ranked, leftmost pair until none, or no more than stop parts, are left."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
+    while len(parts) > stop:
         best, at = None, -1
         for i in range(len(parts) - 1):
             r = ranks.get(parts[i] + parts[i + 1])
@@ -53,16 +57,17 @@ def merge_plain(ranks: dict[bytes, int], piece: bytes) -> list[int]:
         if best is None:
             break
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return [ranks[p] for p in parts]
+    return parts
 
 
 class Transducer:
     """Encodes one pre-token at a time; states and transitions appear as inputs need them.
 
-    Which guesses are alive after some bytes follows from the longest suffix
-    that begins a token, so a state is that place in the vocabulary's
-    Aho-Corasick automaton and, for each position where a live guess started,
-    the tokens up to there that aren't emitted yet.
+    The live guesses after some bytes are the places from where these bytes
+    begin a longer token: the suffixes on the failure path of the place in the
+    vocabulary's Aho-Corasick automaton, and the empty one.  Which last token a
+    prefix has follows from the state and the next byte; the tokens before the
+    place where the live guesses' paths join are certain.
     """
 
     def __init__(self, ranks: dict[bytes, int], bounds: tuple[int, int, int] | None = None):
@@ -83,21 +88,39 @@ class Transducer:
                     parents.append((node, byte))
                 node = nxt
             at_node[node] = rank
-        self.depth, self.fail = depth, [0] * len(depth)
+        self.depth, self.fail, self.at_node = depth, [0] * len(depth), at_node
         #: Tokens that end at a node, longest first, with their lengths.
         self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(depth)
-        for node in sorted(range(1, len(depth)), key=depth.__getitem__):
+        #: Suffixes of a node that begin longer tokens: nodes, longest first.
+        self.open: list[tuple[int, ...]] = [()] * len(depth)
+        #: Tokens that begin with a node and are longer.
+        self.longer = [0] * len(depth)
+        order = sorted(range(1, len(depth)), key=depth.__getitem__)
+        #: Nodes that follow a node.
+        self.after: dict[int, list[int]] = {}
+        for node in reversed(order):
+            self.after.setdefault(parents[node][0], []).append(node)
+            self.longer[parents[node][0]] += self.longer[node] + (at_node[node] >= 0)
+        for node in order:
             up, byte = parents[node]
             if up:
                 self.fail[node] = self._goto(self.fail[up], byte)
             own = ((at_node[node], depth[node]),) if at_node[node] >= 0 else ()
             self.ends[node] = own + self.ends[self.fail[node]] if own else self.ends[self.fail[node]]
+            self.open[node] = (node, *self.open[self.fail[node]]) if self.longer[node] else self.open[self.fail[node]]
+        self.below: dict[int, list[int]] = {}
         self.pairs: dict[int, bool] = {}
-        start = (-1, 0, ((),))
-        self.ids = {start: 0}
-        self.states = [start]
-        self.final: list[tuple[int, ...]] = [()]
-        self.moves: dict[int, tuple[tuple[int, ...], int]] = {}
+        self.edges: tuple[dict, dict] = ({}, {})
+        self.kinds: dict[int, int] = {}
+        #: Transitions that had to be made, and states that were dropped because there were too many.
+        self.made = self.dropped = 0
+        self._clear()
+
+    def _clear(self) -> None:
+        self.ids: dict[tuple, int] = {}
+        #: Of each state: node, last token, its length, and how far behind the live paths join.
+        self.node, self.last, self.size, self.behind = [0], [-1], [0], [0]
+        self.moves: dict[int, int] = {}
 
     def _goto(self, node: int, byte: int) -> int:
         while True:
@@ -108,93 +131,148 @@ class Transducer:
                 return 0
             node = self.fail[node]
 
+    def _edge(self, token: int, last: bool) -> list[tuple[bytes, float]]:
+        """Parts that stand at the end (or start) of a token while it is merged, each with the rank of the merge that uses it up.
+
+        Empty if its own bytes don't merge to the token.
+        """
+        known = self.edges[last].get(token)
+        if known is None:
+            whole, until, known = self.token[token], math.inf, []
+            while True:
+                known.append((whole, until))
+                if len(whole) == 1:
+                    break
+                parts = merge_plain(self.ranks, whole, 2)
+                if len(parts) != 2:
+                    known = []
+                    break
+                until = self.ranks[whole]
+                whole = parts[last]
+            known.reverse()
+            self.edges[last][token] = known
+        return known
+
     def _compatible(self, left: int, right: int) -> bool:
+        """Whether no merge across the border of two tokens comes before those inside them; left -1: nothing."""
         key = left + 1 << 32 | right
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= self.max_pairs:
                 self.pairs.clear()
-            if left < 0:
-                known = merge_plain(self.ranks, self.token[right]) == [right]
+            known = self.pairs[key] = self._apart(left, right)
+        return known
+
+    def _apart(self, left: int, right: int) -> bool:
+        starts = self._edge(right, False)
+        if left < 0 or not starts:
+            return bool(starts)
+        ends = self._edge(left, True)
+        if not ends:
+            return False
+        i = j = 0
+        while True:
+            (a, a_until), (b, b_until) = ends[i], starts[j]
+            across = self.ranks.get(a + b)
+            if across is not None and across < a_until and across <= b_until:
+                return False
+            if a_until <= b_until:  # of equal merges the left one comes first
+                if a_until == math.inf:
+                    return True
+                i += 1
             else:
-                known = merge_plain(self.ranks, self.token[left] + self.token[right]) == [left, right]
-            self.pairs[key] = known
+                j += 1
+
+    def _tokens_below(self, node: int) -> list[int]:
+        """The tokens that begin with a node and are longer."""
+        found = self.below.get(node)
+        if found is None:
+            found = []
+            for nxt in self.after.get(node, ()):
+                if self.at_node[nxt] >= 0:
+                    found.append(self.at_node[nxt])
+                found += self._tokens_below(nxt)
+            self.below[node] = found
+        return found
+
+    def _kind(self, left: int, node: int) -> int:
+        """What matters of the token before a guess that has come to node: which of the tokens to come may follow it."""
+        if self.longer[node] > FEW:
+            return left
+        key = left + 1 << 32 | node
+        known = self.kinds.get(key)
+        if known is None:
+            if len(self.kinds) >= self.max_pairs:
+                self.kinds.clear()
+            known = -2 - sum(1 << k for k, right in enumerate(self._tokens_below(node)) if self._compatible(left, right))
+            self.kinds[key] = known
         return known
 
-    def _step(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
-        last, node, outs = self.states[state]
-        node = self._goto(node, byte)
+    def _step(self, state: int, byte: int, path: list[int]) -> int:
+        """The state after one more byte; path holds the states after each prefix read so far."""
+        self.made += 1
+        ranks, sizes, depth = self.last, self.size, self.depth
+        node = self._goto(self.node[state], byte)
         for rank, size in self.ends[node]:
-            before = outs[-size]
-            if self._compatible(before[-1] if before else last, rank):
+            if self._compatible(ranks[path[-size]], rank):
                 break
         else:
             raise ValueError(f"the vocabulary can't spell byte {byte}")
-        done = (*before, rank)
-        alive = self.depth[node]
-        outs = (*outs[len(outs) - alive :], done)
-        emit = ()
-        if outs[0]:  # else the oldest guess has nothing that could be agreed on
-            agreed = 0
-            for tokens in zip(*outs):
-                if len({*tokens}) > 1:
-                    break
-                agreed += 1
-            if agreed:
-                emit, outs = done[:agreed], tuple([x[agreed:] for x in outs])
-                last = emit[-1]
-        key = (last, node, outs)
+        at = len(path)  # prefixes are named by their lengths; this byte makes the one of length at
+        guesses = tuple([(depth[f], self._kind(ranks[path[at - depth[f]]], f)) for f in self.open[node]])
+        live, paths, here, back = {at - d for d, _ in guesses}, [], at, size
+        while live:  # from the end back along the paths to where they join
+            paths.append(back)
+            live.add(here - back)
+            here = max(live)
+            live.discard(here)
+            back = sizes[path[here]]
+        key = (node, rank, guesses, tuple(paths))
         to = self.ids.get(key)
         if to is None:
-            to = self.ids[key] = len(self.states)
-            self.states.append(key)
-            self.final.append(outs[-1])
-        move = self.moves[state << 8 | byte] = emit, to
-        return move
+            to = self.ids[key] = len(self.node)
+            self.node.append(node)
+            ranks.append(rank)
+            sizes.append(size)
+            self.behind.append(at - here)
+        self.moves[state << 8 | byte] = to
+        return to
 
     def encode(self, piece: bytes) -> list[int]:
         """Token ids of one pre-token; a pre-token that is itself a token stays whole."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        state, out, moves = 0, [], self.moves
-        for at, byte in enumerate(piece):
-            move = moves.get(state << 8 | byte)
-            if move is None:
-                if len(self.states) >= self.max_states:
-                    return self._rest(state, piece[at:], out)
-                move = self._step(state, byte)
-            emit, state = move
-            if emit:
-                out.extend(emit)
-        out.extend(self.final[state])
+        if len(self.node) >= self.max_states:
+            self.dropped += len(self.node)
+            self._clear()
+        find, behind, last, size = self.moves.get, self.behind, self.last, self.size
+        path, out, state, done = [0], [], 0, 0
+        for at, byte in enumerate(piece, 1):
+            to = find(state << 8 | byte)
+            if to is None:
+                to = self._step(state, byte, path)
+            path.append(to)
+            state = to
+            sure = at - behind[to]
+            if sure > done:
+                if sure - size[path[sure]] == done:
+                    out.append(last[path[sure]])
+                else:
+                    self._emit(done, sure, path, out)
+                done = sure
+        if done < at:
+            self._emit(done, at, path, out)
         return out
 
-    def _rest(self, state: int, piece: bytes, out: list[int]) -> list[int]:
-        """The same transitions without keeping the states: of each position only its last token."""
-        last, node, outs = self.states[state]
-        trie, ends, pairs, compatible = self.trie, self.ends, self.pairs, self._compatible
-        lasts = [x[-1] if x else last for x in outs]
-        sizes = []
-        for byte in piece:
-            down = trie.get(node << 8 | byte)
-            node = self._goto(node, byte) if down is None else down
-            for rank, size in ends[node]:
-                before = lasts[-size]
-                known = pairs.get(before + 1 << 32 | rank)
-                if known or known is None and compatible(before, rank):
-                    break
-            else:
-                raise ValueError(f"the vocabulary can't spell byte {byte}")
-            lasts.append(rank)
-            sizes.append(size)
-        back, at = [], len(sizes)
-        while at > 0:
-            back.append(lasts[at - len(sizes) - 1])
-            at -= sizes[at - 1]
-        out.extend(outs[len(outs) - 1 + at])
+    def _emit(self, done: int, to: int, path: list[int], out: list[int]) -> None:
+        """The tokens between two places that are certain; no more of them than the lookahead."""
+        back = []
+        while to > done:
+            state = path[to]
+            back.append(self.last[state])
+            to -= self.size[state]
         out.extend(reversed(back))
-        return out
 
 
 class _Irregular(Exception):

@@ -25,7 +25,7 @@ def ids(encoder, text):
 
 @pytest.mark.parametrize("states", [50, 120_000])
 def test_encoder_agrees(reference, monkeypatch, states):
-    """With few kept states most transitions are worked out without storing them."""
+    """Also where states are dropped all the time because few are kept."""
     monkeypatch.setattr(bpe, "MAX_STATES", states)
     encoder = bpe.Encoder(RANKS, P.PATTERN)
     rng = random.Random(1)
@@ -38,6 +38,30 @@ def test_encoder_agrees(reference, monkeypatch, states):
         assert "".join(encoder.decode(encoder.encode(text))) == text
 
 
+def test_lookahead_is_bounded(spark, reference):
+    """All pre-tokens of the driver's texts go through the states, and what is certain is emitted after few bytes."""
+    machine = bpe.Transducer(bpe.load_ranks(RANKS))
+    pattern, pieces = bpe.regex.compile(P.PATTERN), set()
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        pieces.update(pattern.findall(r.text or ""))
+    pieces = sorted(p.encode() for p in pieces if p.encode() not in machine.ranks)
+    for p in pieces:
+        assert machine.encode(p) == reference._encode_bytes(p)
+    assert not machine.dropped and max(machine.behind) <= max(map(len, machine.ranks))
+    before = machine.made
+    assert all(machine.encode(p) == reference._encode_bytes(p) for p in pieces) and machine.made == before  # every transition was kept
+
+
+def test_border_rule_is_that_of_the_merges():
+    ranks = bpe.load_ranks(RANKS)
+    machine, rng = bpe.Transducer(ranks), random.Random(3)
+    short = [i for i, b in machine.token.items() if len(b) < 4]
+    for k in range(6000):
+        left, right = rng.choice(short if k % 2 else list(machine.token)), rng.choice(short)
+        pair = [machine.token[left], machine.token[right]]
+        assert machine._compatible(left, right) == (bpe.merge_plain(ranks, b"".join(pair)) == pair)
+
+
 def test_words_are_bounded(reference, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_WORDS", 5)
     monkeypatch.setattr(bpe, "MAX_PAIRS", 5)
