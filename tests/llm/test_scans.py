@@ -174,6 +174,7 @@ def test_personal_is_native(spark, trees):
 
 
 def plain_overlaps(docs, items):
+    """Every diagonal of every document and item; a stretch counts if it is similar enough, whatever seeds it holds."""
     cut = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     out = {}
     for d, text in docs:
@@ -181,15 +182,11 @@ def plain_overlaps(docs, items):
         for i, item in items:
             v = cut(item)
             size = min(len(v), decontaminate.WINDOW)
-            if len(v) < decontaminate.LEAST_WORDS:
-                continue
-            for shift in range(-len(v), len(w)):
+            for shift in range(-len(v), len(w)) if v else ():
                 same = [0 <= shift + k < len(w) and w[shift + k] == v[k] for k in range(len(v))]
-                for s in range(len(v) - size + 1):
-                    n = sum(same[s : s + size])
-                    seeded = any(all(s <= q + o < s + size and same[q + o] for o in m) for m in (decontaminate.MASKS if len(v) >= 8 else [tuple(range(len(v)))]) for q in range(s, s + size) if q + (max(m) if len(v) >= 8 else 0) < len(v))
-                    if n >= decontaminate.SIMILARITY * size and seeded:
-                        out[d, i] = max(out.get((d, i), 0), n)
+                n = max(sum(same[s : s + size]) for s in range(len(v) - size + 1))
+                if n >= decontaminate.SIMILARITY * size and (size > 4 or n == size):
+                    out[d, i] = max(out.get((d, i), 0), n)
     return out
 
 
@@ -198,7 +195,7 @@ def test_overlaps(spark):
 
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdefgh", k=3))
-    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([20, 30, 13, 8, 9, 5, 6, 7, 3, 45])]
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([20, 30, 13, 8, 9, 5, 6, 7, 3, 45, 10, 11, 12, 2, 1])]
     docs = []
     for k, text in items:
         for change in (0, 1, 2, 3):
@@ -213,6 +210,27 @@ def test_overlaps(spark):
     assert not re.search("Python|Arrow|Pandas", found._jdf.queryExecution().toString())
 
 
+def test_all_allowed_replacements_are_caught(spark):
+    """Items of every length up to 14, with every choice of as many replaced words as the similarity allows."""
+    from itertools import combinations
+
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in range(1, 15)]
+    docs, want = [], set()
+    for n, text in items:
+        allowed = max(c for c in range(n) if n - c >= decontaminate.SIMILARITY * n) if n < 14 else 2
+        for places in combinations(range(n), allowed):
+            words = text.split()
+            for at in places:
+                words[at] = "other"
+            docs.append((len(docs), "some words before " + " ".join(words) + " and some after"))
+            want.add((len(docs) - 1, n))
+    bench = spark.createDataFrame([*items, *items], "item_id long, text string")
+    found = decontaminate.overlaps(documents(spark, docs + docs), bench)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+    once = decontaminate.overlaps(documents(spark, docs), bench.distinct())
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, once.collect()))  # repeated rows change nothing
+
+
 def test_overlaps_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 1)
     docs = spark.read.parquet(f"{D}/documents.parquet")
