@@ -1,4 +1,8 @@
-"""Stories: fingerprints, similarity, best earlier match and greedy removal."""
+"""Stories: fingerprints, similarity, best earlier match and greedy removal.
+
+Stories that are alike in all that is compared form a class.  Only one story of
+each class takes part in joins, so n copies of a story make n rows and not n².
+"""
 
 from __future__ import annotations
 
@@ -103,65 +107,116 @@ def _keys(df: DataFrame, id_col: str) -> DataFrame:
     return rare.union(whole.where("w.v <> ''").select(id_col, F.concat("w.k", "w.v").alias("key"))).distinct()
 
 
+def classes(stories: DataFrame, id_col: str = "telegram_id") -> DataFrame:
+    """(id_col, class_id, story): the smallest id with the same story; expects with_story.
+
+    Stories without anything to compare resemble nothing, not even each other,
+    and are classes of their own.
+    """
+    s = F.col("story")
+    whole = F.struct(s["url"], s["fingerprint"], F.unix_micros(s["at"]), *[F.array_sort(s[k]) for k in ("entities", "numbers", "main", "facts")])
+    named = stories.select(id_col, "story", F.sha2(F.to_json(whole, {"ignoreNullFields": "false"}).cast("binary"), 256).alias("__class"))
+    least = named.groupBy("__class").agg(F.min(id_col).alias("class_id"))
+    alike = similarity(s, s)["reason"].isin(*DUPLICATE_REASONS)
+    return named.join(least, "__class").select(id_col, F.when(alike, F.col("class_id")).otherwise(F.col(id_col)).alias("class_id"), "story")
+
+
+def _class_pairs(keyed: DataFrame, stories: DataFrame) -> DataFrame:
+    """(a, b, score, reason) of the duplicates with a > b among rows (item, key); stories: (item, story)."""
+    pairs = keyed.select(F.col("item").alias("a"), "key").join(keyed.select(F.col("item").alias("b"), "key"), "key").where("a > b").select("a", "b").distinct()
+    left, right = stories.select(F.col("item").alias("a"), F.col("story").alias("__a")), stories.select(F.col("item").alias("b"), F.col("story").alias("__b"))
+    scored = pairs.join(left, "a").join(right, "b").withColumn("m", similarity(F.col("__a"), F.col("__b")))
+    return scored.where(F.col("m.reason").isin(*DUPLICATE_REASONS)).select("a", "b", F.round("m.score", 4).alias("score"), F.col("m.reason").alias("reason"))
+
+
+def _members(grouped: DataFrame, id_col: str) -> DataFrame:
+    """(a, b, score, reason) of every member of a class that isn't its representative b."""
+    m = similarity(F.col("story"), F.col("story"))
+    return grouped.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("a"), F.col("class_id").alias("b"), F.round(m["score"], 4).alias("score"), m["reason"].alias("reason"))
+
+
 def duplicate_pairs(stories: DataFrame, id_col: str = "telegram_id") -> DataFrame:
-    """(later, earlier, score, reason) of all pairs that some rule calls duplicates; expects with_story, distinct ids."""
-    keyed = _keys(stories, id_col)
-    a, b = keyed.select(F.col(id_col).alias("later"), "key"), keyed.select(F.col(id_col).alias("earlier"), "key")
-    pairs = a.join(b, "key").where("later > earlier").select("later", "earlier").distinct()
-    left, right = stories.select(F.col(id_col).alias("later"), F.col("story").alias("__a")), stories.select(F.col(id_col).alias("earlier"), F.col("story").alias("__b"))
-    scored = pairs.join(left, "later").join(right, "earlier").withColumn("m", similarity(F.col("__a"), F.col("__b")))
-    return scored.where(F.col("m.reason").isin(*DUPLICATE_REASONS)).select("later", "earlier", F.round("m.score", 4).alias("score"), F.col("m.reason").alias("reason"))
+    """(later, earlier, score, reason): all pairs of class representatives that some rule calls duplicates, and each copy with its representative.
+
+    Expects with_story and distinct ids.  No link between different stories is lost.
+    """
+    grouped = classes(stories, id_col)
+    reps = grouped.where(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("item"), "story")
+    found = _class_pairs(_keys(reps, "item"), reps).unionByName(_members(grouped, id_col))
+    return found.select(F.col("a").alias("later"), F.col("b").alias("earlier"), "score", "reason")
 
 
 def best_match(candidates: DataFrame, history: DataFrame, id_col: str = "telegram_id", seq: str = "ingest_seq") -> DataFrame:
     """Per candidate with a duplicate in history: its id, that of the best match, score and reason.
 
     History rows without an id, the candidate itself, and rows that were set
-    aside are no targets; of equal scores the earliest line wins.
+    aside are no targets; of equal scores the earliest line wins.  Classes of
+    alike stories are matched with each other; of each class of history its two
+    first items are enough, since only the candidate itself is left out.
     """
     usable = history.where((F.coalesce(id_col, F.lit(0)) != 0) & ~X.or_empty(F.col("status")).isin(*P.NO_TARGET_STATUSES))
-    ours = with_story(candidates).select(F.concat(F.lit("c"), F.col(id_col).cast("string")).alias("row"), F.col(id_col).alias("item"), F.lit(None).cast("long").alias("line"), "story")
-    theirs = with_story(usable).select(F.concat(F.lit("h"), F.col(seq).cast("string")).alias("row"), F.col(id_col).alias("item"), F.col(seq).alias("line"), "story")
-    both = ours.unionByName(theirs)
-    keyed = _keys(both, "row")
-    a = keyed.where(F.col("row").startswith("c")).withColumnRenamed("row", "ours")
-    b = keyed.where(F.col("row").startswith("h")).withColumnRenamed("row", "theirs")
-    pairs = a.join(b, "key").select("ours", "theirs").distinct()
-    scored = (
-        pairs.join(ours.select(F.col("row").alias("ours"), F.col("item").alias("item"), F.col("story").alias("__a")), "ours")
-        .join(theirs.select(F.col("row").alias("theirs"), F.col("item").alias("other"), "line", F.col("story").alias("__b")), "theirs")
-        .where(F.col("item") != F.col("other"))
-        .withColumn("m", similarity(F.col("__a"), F.col("__b")))
-        .where(F.col("m.reason").isin(*DUPLICATE_REASONS))
-        .withColumn("score", F.round("m.score", 4))
-    )
-    best = scored.groupBy("item").agg(F.max_by(F.struct("other", F.col("m.reason").alias("reason"), "score"), F.struct("score", -F.col("line"))).alias("b"))
-    return best.select(F.col("item").alias(id_col), F.col("b.other").alias("duplicate_of"), F.col("b.reason").alias("reason"), F.col("b.score").alias("score"))
+    ours = with_story(candidates).select(F.col(id_col).alias("item"), F.lit(None).cast("long").alias("line"), "story")
+    theirs = with_story(usable).select(F.col(id_col).alias("item"), F.col(seq).alias("line"), "story")
+    # a number for each row, the same whenever it is worked out
+    every = ours.unionByName(theirs).withColumn("row", F.xxhash64("item", "line", F.to_json("story")))
+    grouped = checkpointed(classes(every.select("row", "story").dropDuplicates(["row"]), "row").join(every.select("row", "item", "line").distinct(), "row"))
+    reps = grouped.where("row = class_id").select(F.col("row").alias("item"), "story").dropDuplicates(["item"])
+    pairs = _class_pairs(_keys(reps, "item"), reps)
+    m = similarity(F.col("story"), F.col("story"))
+    own = reps.select(F.col("item").alias("a"), F.col("item").alias("b"), F.round(m["score"], 4).alias("score"), m["reason"].alias("reason")).where(F.col("reason").isin(*DUPLICATE_REASONS))
+    links = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score", "reason")).unionByName(own)
+    targets = _two_first(grouped.where("line is not null").select(F.col("class_id").alias("b"), F.struct(F.col("line").alias("order"), "item", F.lit(None).cast("string").alias("reason"), F.lit(None).cast("double").alias("score")).alias("x")), "b")
+    found = links.join(targets.select("b", F.explode(F.array_compact(F.array("first", "second"))).alias("x")), "b")
+    ranked = found.select("a", F.struct(F.struct((-F.col("score")).alias("score"), F.col("x.order").alias("line")).alias("order"), F.col("x.item").alias("item"), "reason", "score").alias("x"))
+    best = _two_first(ranked, "a")
+    chosen = grouped.where("line is null").select("item", F.col("class_id").alias("a")).distinct().join(best, "a")
+    pick = F.when(F.col("first.item") != F.col("item"), F.col("first")).otherwise(F.col("second"))
+    return chosen.select(F.col("item").alias(id_col), pick.alias("x")).where("x is not null").select(id_col, F.col("x.item").alias("duplicate_of"), F.col("x.reason").alias("reason"), F.col("x.score").alias("score"))
+
+
+def _two_first(rows: DataFrame, key: str) -> DataFrame:
+    """(key, x) to (key, first, second): the x of least order, and that of another item, of each key."""
+    first = rows.groupBy(key).agg(F.min_by("x", "x.order").alias("first"))
+    others = rows.join(first, key).where("x.item <> first.item").groupBy(key).agg(F.min_by("x", "x.order").alias("second"))
+    return first.join(others, key, "left")
 
 
 def greedy_duplicates(stories: DataFrame, id_col: str = "telegram_id", max_rounds: int = 1000) -> DataFrame:
     """Going through the items by id, each is kept unless it duplicates one kept before.
 
-    An item is decided once all its earlier duplicates are, so the walk becomes
-    rounds over the duplicate pairs: kept where all earlier ones are dropped (or
-    there are none), dropped where one is kept.  Returns ``id_col``,
-    ``duplicate_of``, ``reason``, ``score`` (null for kept items).
+    A class is decided by its first item; the others duplicate it, or what it
+    duplicates.  A first item is decided once all its earlier duplicates are, so
+    the walk becomes rounds over the pairs of classes: kept where all earlier
+    ones are dropped (or there are none), dropped where one is kept.  Returns
+    ``id_col``, ``duplicate_of``, ``reason``, ``score`` (null for kept items);
+    an error if max_rounds don't decide every item.
     """
-    pairs = checkpointed(duplicate_pairs(stories, id_col))
-    open_pairs = pairs.select("later", "earlier")
-    decided = checkpointed(stories.select(F.col(id_col).alias("item")).distinct().join(open_pairs.select(F.col("later").alias("item")).distinct(), "item", "left_anti").withColumn("kept", F.lit(True)))
+    grouped = checkpointed(classes(stories, id_col))
+    reps = grouped.where(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("item"), "story")
+    pairs = checkpointed(_class_pairs(_keys(reps, "item"), reps))
+    open_pairs = pairs.select("a", "b")
+    decided = checkpointed(reps.select("item").distinct().join(open_pairs.select(F.col("a").alias("item")).distinct(), "item", "left_anti").withColumn("kept", F.lit(True)))
     for _ in range(max_rounds):
-        known = open_pairs.join(decided.select(F.col("item").alias("earlier"), "kept"), "earlier", "left")
-        by_item = known.groupBy("later").agg(F.max(F.coalesce(F.col("kept"), F.lit(False))).alias("hit"), F.count_if(F.col("kept").isNull()).alias("waiting"))
-        new = checkpointed(by_item.where("hit or waiting = 0").select(F.col("later").alias("item"), (~F.col("hit")).alias("kept")))
-        if new.isEmpty():
+        if open_pairs.isEmpty():
             break
+        known = open_pairs.join(decided.select(F.col("item").alias("b"), "kept"), "b", "left")
+        by_item = known.groupBy("a").agg(F.max(F.coalesce(F.col("kept"), F.lit(False))).alias("hit"), F.count_if(F.col("kept").isNull()).alias("waiting"))
+        new = checkpointed(by_item.where("hit or waiting = 0").select(F.col("a").alias("item"), (~F.col("hit")).alias("kept")))
         decided = checkpointed(decided.unionByName(new))
-        open_pairs = checkpointed(open_pairs.join(new.select(F.col("item").alias("later")), "later", "left_anti"))
-    targets = decided.where("kept").select(F.col("item").alias("earlier"))
-    best = pairs.join(targets, "earlier").groupBy("later").agg(F.max_by(F.struct("earlier", "reason", "score"), F.struct("score", -F.col("earlier"))).alias("b"))
-    out = decided.join(best, F.col("item") == F.col("later"), "left")
-    return out.select(F.col("item").alias(id_col), F.col("b.earlier").alias("duplicate_of"), F.col("b.reason").alias("reason"), F.col("b.score").alias("score"))
+        open_pairs = checkpointed(open_pairs.join(new.select(F.col("item").alias("a")), "a", "left_anti"))
+    else:
+        if not open_pairs.isEmpty():
+            raise RuntimeError(f"stories are still undecided after {max_rounds} rounds")
+    kept = decided.where("kept").select(F.col("item").alias("target"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score", "reason"))
+    # kept representatives that are like a class, the class's own among them
+    m = similarity(F.col("story"), F.col("story"))
+    own = reps.select(F.col("item").alias("a"), F.col("item").alias("b"), F.round(m["score"], 4).alias("score"), m["reason"].alias("reason"))
+    near = both.unionByName(own).join(kept, F.col("b") == F.col("target")).select("a", "target", "score", "reason")
+    items = grouped.select(F.col(id_col).alias("item"), F.col("class_id").alias("a"))
+    best = items.join(near, "a").where("target < item").groupBy("item").agg(F.max_by(F.struct("target", "reason", "score"), F.struct("score", -F.col("target"))).alias("b"))
+    out = items.select("item").join(best, "item", "left")
+    return out.select(F.col("item").alias(id_col), F.col("b.target").alias("duplicate_of"), F.col("b.reason").alias("reason"), F.col("b.score").alias("score"))
 
 
 def annotate(df: DataFrame) -> DataFrame:
