@@ -268,6 +268,31 @@ def test_layouts(spark):
     assert r.c == "⁧⁨Use OpenAI API⁩ على https://x.example/a⁩"
 
 
+def test_paragraphs_are_split_between_sentences_or_words(spark):
+    sentences = ["S" * 100 + ".", "T" * 150 + "?", "U" * 90 + "!", "V" * 300 + ".", "W."]
+    words = " ".join(["ab" * 20] * 14)
+    rows = [(0, " ".join(sentences)), (1, words), (2, "x" * 500 + " " + "y" * 300), (3, None), (4, " \t "), (5, "short  one"), (6, "z" * 100 + " " + "w" * 400)]
+    got = {r.k: r.p for r in spark.createDataFrame(rows, "k int, a string").select("k", X.split_paragraph(F.col("a")).alias("p")).collect()}
+    assert got[0] == [sentences[0], f"{sentences[1]}", sentences[2], sentences[3], sentences[4]] or got[0] == [sentences[0], " ".join(sentences[1:3]), *sentences[3:]]
+    assert " ".join(got[1]) == words and [len(p) for p in got[1]] == [204, 204, 163]
+    assert got[2] == ["x" * 500, "y" * 300] and got[3] == got[4] == [] and got[5] == ["short one"] and got[6] == [f"{'z' * 100} {'w' * 400}"]
+
+
+def test_layout_of_lines(spark):
+    rows = {
+        0: ("a\r\nb\n\n\n\nc\n- one\n2) two\nd", "a b\n\nc\n- one\n2) two\n\nd"), 1: (None, ""), 2: ("\n\n x \n", "x"), 3: ("• a\n\n• b\ntail", "• a\n\n• b\n\ntail"),
+        4: ("Word. " * 50 + "\n- item", " ".join(["Word."] * 40) + "\n\n" + " ".join(["Word."] * 10) + "\n- item"),
+    }
+    df = spark.createDataFrame([(k, v[0]) for k, v in rows.items()], "k int, a string")
+    assert {r.k: r.t for r in df.select("k", X.reading_layout(F.col("a")).alias("t")).collect()} == {k: v[1] for k, v in rows.items()}
+    assert not any(x in df.select(X.reading_layout(F.col("a")))._jdf.queryExecution().toString() for x in ("Python", "Arrow"))
+
+
+def test_parentheses_of_any_depth(spark):
+    deep = "a " + "(b " * 9 + "c" + ")" * 9 + " d (دبي) e"
+    assert one(spark, X.unwrap_latin_parentheses(F.lit(deep))).c0 == "a " + "b " * 9 + "c d (دبي) e"
+
+
 def test_signals_and_rejects(spark):
     t = F.lit
     r = one(
