@@ -81,8 +81,8 @@ def _item_seeds(items: DataFrame, numbers: dict[tuple[int, ...], int]) -> DataFr
     return spots.select("item", n.alias("len"), "q", F.explode(F.array_compact(F.array(*seeds))).alias("seed")).select("item", "len", "q", "seed.*")
 
 
-def _doc_seeds(df: DataFrame, numbers: dict[tuple[int, ...], int], known: Column | None) -> DataFrame:
-    """(id, w) to (id, w, p, mask, hash); known: whether each word is one of the benchmark's, as all of a seed's must be."""
+def _doc_seeds(df: DataFrame, numbers: dict[tuple[int, ...], int], known: Column | None, more: list[Column]) -> DataFrame:
+    """(id, w) to (id, p, mask, hash) and more columns of w and p; known: whether each word is one of the benchmark's, as all of a seed's must be."""
     if known is None:
         places = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))
     else:
@@ -92,7 +92,8 @@ def _doc_seeds(df: DataFrame, numbers: dict[tuple[int, ...], int], known: Column
         places = F.when(F.size("w") > 0, F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda at: F.get("known", at) & rest(at)))
     df = df.select("id", "w", F.explode(places).alias("p"))
     seeds = [F.when(F.col("p") + max(m) < F.size("w"), F.struct(F.lit(k).alias("mask"), _seed(F.col("w"), F.col("p"), k, m).alias("hash"))) for m, k in numbers.items()]
-    return df.withColumn("seed", F.explode(F.array_compact(F.array(*seeds)))).select("id", "w", "p", "seed.*")
+    # whole texts don't go further than this
+    return df.select("id", "p", *more, F.explode(F.array_compact(F.array(*seeds))).alias("seed")).select("*", "seed.*").drop("seed")
 
 
 def _bits(seeds: DataFrame, n: int) -> tuple[DataFrame, int]:
@@ -110,14 +111,14 @@ def _few_hits(df: DataFrame, items: DataFrame, seeds: DataFrame, numbers: dict[t
     vocabulary = [r.w for r in items.select(F.explode("iw").alias("w")).distinct().limit(MAX_WORDS + 1).collect()]
     known = F.transform("w", lambda w: w.isin(vocabulary)) if 0 < len(vocabulary) <= MAX_WORDS else None
     around = items.select("item", "iw").join(seeds, "item").select("item", "len", "q", "mask", "span", "hash", _around(F.col("iw"), F.col("q")).alias("ia"))
-    found = _doc_seeds(df, numbers, known).select("id", "p", "mask", "hash", _around(F.col("w"), F.col("p")).alias("da"))
+    found = _doc_seeds(df, numbers, known, [_around(F.col("w"), F.col("p")).alias("da")])
     return found.join(F.broadcast(around), ["mask", "hash"])
 
 
 def _many_hits(df: DataFrame, items: DataFrame, seeds: DataFrame, numbers: dict[tuple[int, ...], int], n: int) -> DataFrame:
     """Hits of any benchmark: only keys of seeds that pass a bit filter are shuffled, then the texts of documents with hits."""
     bits, size = _bits(seeds, n)
-    passed = _doc_seeds(df, numbers, None).select("id", "p", "mask", "hash").crossJoin(F.broadcast(bits))
+    passed = _doc_seeds(df, numbers, None, []).crossJoin(F.broadcast(bits))
     bit = F.pmod("hash", F.lit(size).cast("long"))
     word = F.get("bits", F.shiftright(bit, 6).cast("int"))
     passed = passed.where(word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))) != 0).select("id", "p", "mask", "hash")
