@@ -1,14 +1,20 @@
 """Quality by importance resampling over hashed n-grams.
 
 Generative models over hashed unigrams and bigrams are fitted for target text
-(labelled good and not toxic), for the raw text of all documents, and for the
-two labelled kinds that raw text also holds (low quality, toxic).  A document's
-importance is the ratio of its target likelihood to its raw likelihood, raw
-text being the mixture of the kinds in the shares they have among labelled rows.
-Gumbel noise on the log ratio makes the k largest keys a sample without
-replacement in proportion to importance (Xie et al., "Data Selection for
-Language Models via Importance Resampling", 2023); k is the number of target
-documents that the mixture finds more likely target than not.
+(labelled good and not toxic) and for raw text.  Raw text is modelled as what it
+is, a mixture of documents of several kinds: target, low quality, toxic.  Each
+kind has an n-gram model of its own, smoothed by the counts of all documents,
+and the share that it has among labelled rows.  A document's importance is the
+ratio of its target likelihood to its raw likelihood.  Both are likelihoods of
+the whole document, and the ratio never exceeds one over the share of target
+text, so long documents can't outweigh others.  Gumbel noise on the log ratio
+makes the k largest keys a sample without replacement in proportion to
+importance (Xie et al., "Data Selection for Language Models via Importance
+Resampling", 2023).
+
+k is a parameter.  If it isn't given, it is the number of documents that the
+mixture finds more likely target than not: as many as there is target text.  A
+smaller k takes a random sample of them.
 """
 
 from __future__ import annotations
@@ -194,34 +200,38 @@ class Selection:
     seed: int
 
 
-def select(docs: DataFrame, labels: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Selection:
-    """Fit, count the documents that are target rather than not, and find the cut of the Gumbel top-k."""
+def select(docs: DataFrame, labels: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> Selection:
+    """Fit, and find the cut of the Gumbel top-k; k: documents to keep, by default as many as are target rather than not."""
     models = fit(docs, labels, id_col, text_col)
     ll = cut(_likelihoods(docs, models, id_col, text_col))
     n = ll.count()
     mixed, posterior = _mixture(models.shares)
-    k = ll.agg(F.count_if(posterior[TARGET] >= 0.5)).first()[0]
+    if k is None:
+        k = ll.agg(F.count_if(posterior[TARGET] >= 0.5)).first()[0]
     keys = ll.select("id", (F.col("l0") - mixed).alias("log_ratio")).withColumn("key", F.col("log_ratio") + _gumbel(seed, "id"))
     if not 0 < k < n:
         return Selection(models, keys, float("-inf") if k else float("inf"), seed)
     return Selection(models, keys, _kth(keys, k), seed)
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> DataFrame:
     """The documents that the Gumbel top-k keeps: ``id_col``, ``log_ratio``, ``gumbel_key``, ``kept`` (true).
 
+    ``k`` is the number of documents to keep; by default that of the documents
+    that are target text rather than not.
+
     Null and blank texts have no n-gram and so the ratio 1; rows with the same
     key column share their noise, and rows that tie with the last kept one are
     all kept; a null key is a value like any other; without labelled target
     documents, or for an empty table, every row is kept; other columns are not read.
     """
-    found = select(docs, labels, seed, id_col, text_col)
+    found = select(docs, labels, seed, id_col, text_col, k)
     return found.keys.where(F.col("key") >= found.cut_off).select(F.col("id").alias(id_col), "log_ratio", F.col("key").alias("gumbel_key"), F.lit(True).alias("kept"))
 
 
-def keep_selected(docs: DataFrame, labels: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_selected(docs: DataFrame, labels: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> DataFrame:
     """The rows of docs, whole, that resample keeps; texts are scored again rather than shuffled."""
-    found = select(docs, labels, seed, id_col, text_col)
+    found = select(docs, labels, seed, id_col, text_col, k)
     shared, cut_off = docs.sparkSession.sparkContext.broadcast(found.models), found.cut_off
     kept = docs.select("*", F.coalesce(F.col(text_col), F.lit("")).alias("__scored"), _gumbel(seed, id_col).alias("__noise"))
 

@@ -55,6 +55,33 @@ def test_cut_is_the_kth_key(spark, monkeypatch):
         assert quality._kth(df, k) == order[k - 1]
 
 
+def test_other_seeds_give_other_samples(spark):
+    """With k below the number of target documents the noise decides among them: a brute-force top-k, and two seeds far apart."""
+    docs, labels = (spark.read.parquet(f"{D}/{t}.parquet") for t in ("documents", "labels"))
+    k = docs.count() // 4
+    samples = []
+    for seed in (1, 2):
+        rows = {r.doc_id: r for r in quality.resample(docs, labels, seed=seed, k=k).collect()}
+        samples.append(set(rows))
+        models = quality.select(docs, labels, seed=seed, k=k).models
+        noise = {r.doc_id: r.g for r in docs.select("doc_id", quality._gumbel(seed, "doc_id").alias("g")).collect()}
+        ratio = {r.doc_id: float(models.log_ratio(models.log_likelihoods(r.text or "")[None])[0]) for r in docs.collect()}
+        top = sorted(ratio, key=lambda i: -(ratio[i] + noise[i]))[:k]
+        assert set(rows) == set(top)
+        assert all(abs(rows[i].log_ratio - ratio[i]) < 1e-6 for i in rows)
+    target = sum(r > -1 for r in ratio.values())
+    assert len(samples[0]) == len(samples[1]) == k and abs(len(samples[0] & samples[1]) - k * k / target) < 0.5 * k
+
+
+def test_gumbel_draws_in_proportion(spark):
+    """Of three weights, which comes first over many seeds."""
+    log_w = {1: 0.0, 2: math.log(2), 3: math.log(5)}
+    noise = spark.createDataFrame([(i,) for i in log_w], "doc_id long")
+    rows = noise.select("doc_id", *[quality._gumbel(s, "doc_id").alias(f"g{s}") for s in range(1500)]).collect()
+    first = collections.Counter(max(rows, key=lambda r: r[f"g{s}"] + log_w[r.doc_id]).doc_id for s in range(1500))
+    assert all(abs(first[i] / 1500 - math.exp(w) / 8) < 0.04 for i, w in log_w.items())
+
+
 def test_quality_rows(spark, corpus):
     docs, labels = corpus
     rows = docs.unionByName(odd_documents(spark).withColumn("doc_id", F.col("doc_id") + 5000))
