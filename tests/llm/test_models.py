@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillstream.llm import gru, lmscore, pii, quality, queries, simhash
+from quillstream.llm import gru, lmscore, neardup, pii, quality, queries
 
 from .tables import clashing, documents, empty_documents, odd_documents
 
@@ -222,7 +222,7 @@ def test_pipeline(spark):
         if number < 4:
             assert out.columns == columns
         if name == "near_duplicates":
-            found = simhash.near_duplicates(docs).collect()
+            found = neardup.near_duplicates(docs).collect()
             assert after == {r.component_id for r in found}
         if name == "personal_data":
             assert after == before
