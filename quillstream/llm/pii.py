@@ -4,16 +4,16 @@ Four fixed formats give the base spans.  Besides, high-recall generators propose
 overlapping candidates (anything around an at sign, written out at signs, long
 digit chains); boosted trees score each from its format and its context, and
 those that reach the threshold calibrated for their generator are added where
-no base span lies.  The trees are fitted on a fixed labelled sample and become
+no base span lies, or where an address goes on beyond one.  The trees are fitted on a fixed labelled sample and become
 CASE expressions, so scoring stays in the JVM.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import random
 from dataclasses import dataclass
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +30,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 #: Generators of candidates; {0,64} and the like bound what is looked at around an at sign.
 AT = r"[^\s@<>()\[\]{},;:\"|]{1,64}+@[^\s@<>()\[\]{},;:\"|]{1,255}"
-SPELLED = r"[A-Za-z0-9._%+-]{1,64}\x20?[\[({]at[\])}]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[\[({]dot[\])}]|\.)\x20?[A-Za-z0-9-]{1,63}){1,5}"
+SPELLED = r"[A-Za-z0-9._%+-]{1,64}\x20?[\[({][aA][tT][\])}]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[\[({][dD][oO][tT][\])}]|\.)\x20?[A-Za-z0-9-]{1,63}){1,5}"
 DIGITS = r"(?<![0-9])[(]?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,}+"
 GENERATORS = (AT, SPELLED, DIGITS)
 
@@ -239,7 +239,8 @@ def _boost(rows: list[tuple[tuple[int, ...], int, int]]) -> Trees:
 def _pairs_of(text: Column, has_digit: Column) -> dict[str, Column]:
     none = F.array().cast("array<struct<m:string,g:bigint>>")
     at = F.contains(text, F.lit("@"))
-    spelled = F.contains(text, F.lit("at)")) | F.contains(text, F.lit("at]")) | F.contains(text, F.lit("at}"))
+    small = F.lower(text)
+    spelled = F.contains(small, F.lit("at)")) | F.contains(small, F.lit("at]")) | F.contains(small, F.lit("at}"))
     when = {"p0": (EMAIL, at), "p1": (IP, has_digit), "p2": (CARD, has_digit), "p3": (PHONE, F.contains(text, F.lit("+")) & has_digit), "c0": (AT, at), "c1": (SPELLED, spelled), "c2": (DIGITS, has_digit)}
     return {k: F.when(cond, _locate(text, pattern)).otherwise(none) for k, (pattern, cond) in when.items()}
 
@@ -254,19 +255,22 @@ def _with_candidates(df: DataFrame) -> DataFrame:
     return df.withColumn("cand", F.transform("cand", features)).drop("__digit", "c0", "c1", "c2")
 
 
-@lru_cache(maxsize=1)
-def _fitted(seed: int, rows: tuple) -> Trees:
-    return _boost(list(rows))
+#: Fitted trees by seed: the sample is fixed, so a process fits them once.
+_fitted: dict[int, Trees] = {}
 
 
 def train(spark: SparkSession, seed: int = 5) -> Trees:
     """Boosted trees from the labelled sample, whose features the same expressions compute; every fourth text is held out."""
+    if seed in _fitted:
+        return _fitted[seed]
     sample = labelled_sample(seed)
-    texts = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("text"), F.lit(y).alias("y")) for k, (t, y) in enumerate(sample)])
-    df = spark.range(1).select(F.inline(texts))
+    # one literal for the whole sample: an expression for each text would take seconds to build
+    listed = F.lit(json.dumps([{"k": k, "text": t, "y": y} for k, (t, y) in enumerate(sample)]))
+    df = spark.range(1).select(F.inline(F.from_json(listed, "array<struct<k:int,text:string,y:int>>")))
     found = _with_candidates(df).select("k", "y", F.explode("cand").alias("c")).select("k", "y", *[F.col("c")[f"f{i}"].alias(f"f{i}") for i in range(N_FEATURES)])
     rows = sorted((tuple(r[f"f{i}"] for i in range(N_FEATURES)), r.y, r.k % 4) for r in found.collect())
-    return _fitted(seed, tuple(rows))
+    _fitted[seed] = _boost(rows)
+    return _fitted[seed]
 
 
 def find_personal(docs: DataFrame, model: Trees | None = None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -286,10 +290,12 @@ def find_personal(docs: DataFrame, model: Trees | None = None, id_col: str = "do
     span = lambda k: lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"))
     base = F.array_sort(F.concat(*[F.transform(F.filter(f"p{k}", rule), span(k)) for k, rule in enumerate(rules)]))
     df = df.withColumn("base", base)
-    df = df.withColumn("scored", F.transform("cand", lambda c: F.struct(model.column(c).alias("score"), c["s"].alias("s"), c["e"].alias("e"), c["f0"].alias("g"))))
+    df = df.withColumn("scored", F.transform("cand", lambda c: F.struct(model.column(c).alias("score"), c["s"].alias("s"), c["e"].alias("e"), c["f0"].alias("g"), ((c["f0"] == 0) & c["m"].rlike(r"^[\p{L}\p{N}](?s:.*)[\p{L}\p{N}]$")).alias("word"))))
     limits = F.array(*[F.lit(t if math.isfinite(t) else 1e300) for t in model.thresholds])
     apart = lambda x, y: (x["e"] <= y["s"]) | (y["e"] <= x["s"])
-    good = F.filter("scored", lambda c: (c["score"] >= F.element_at(limits, c["g"] + 1)) & F.forall("base", lambda b: apart(b, c)))
+    # an address with letters that the plain format stops at holds a base span and more: it is added beside that
+    wider = lambda b, c: c["word"] & (c["s"] <= b["s"]) & (b["e"] <= c["e"]) & (c["e"] - c["s"] > b["e"] - b["s"])
+    good = F.filter("scored", lambda c: (c["score"] >= F.element_at(limits, c["g"] + 1)) & F.forall("base", lambda b: apart(b, c) | wider(b, c)))
     # of candidates that overlap, the leftmost, then the longest
     ordered = F.array_sort(F.transform(good, lambda c: F.struct(c["s"].alias("s"), (-c["e"]).alias("n"))))
     df = df.withColumn("good", ordered)

@@ -136,6 +136,16 @@ def test_added_personal(spark, trees):
     assert rows[2] == rows[3] == rows[4] == ""
 
 
+def test_added_spans_beside_base_spans(spark, trees):
+    """An address that the plain format cuts short is added whole; spelled-out addresses in either case."""
+    texts = ["mail jörg.meyer@firma.de please", "write to ann [AT] firma [DOT] de now", "plain a.b@c.org. end"]
+    found = pii.find_personal(documents(spark, list(enumerate(texts))), trees)
+    rows = {r.doc_id: r for r in pii.digests(found).collect()}
+    assert rows[0].spans == "other:5:24,email:7:24" and rows[0].n_email == 1
+    assert rows[1].spans.startswith("other:9:") and rows[2].spans == "email:6:15"
+    assert pii.redact(documents(spark, [(0, texts[0])]), trees).first().text == "mail [OTHER] please"
+
+
 def test_tree_columns_equal_trees(spark, trees):
     from pyspark.sql import functions as F
 
