@@ -52,6 +52,11 @@ def is_external(url: Column, own_hosts: list[str], own_path: str = "") -> Column
     return is_http(url) & (host(url) != "") & ~is_own(url, own_hosts, own_path)
 
 
+def leaves_messenger(url: Column) -> Column:
+    """An http link to any host but the messenger's."""
+    return is_http(url) & ~host(url).isin(*P.MESSENGER_SITES)
+
+
 def is_primary(url: Column) -> Column:
     """https, a reviewed host, no other port, nobody's name."""
     bare = (F.regexp_extract(or_empty(url), r"^[A-Za-z]+://[^/?#]*@", 0) == "") | (part(url, 2) == "")
