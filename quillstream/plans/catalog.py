@@ -12,6 +12,7 @@ from ..functions import patterns as P
 from ..functions import text as X
 from ..functions import tokens as K
 from ..functions import urls as U
+from ..functions import times as T
 from ..functions.times import timestamp
 from ..operators import dedupe, events, gates, merge, queue, rights, threads
 from ..sources import html
@@ -437,6 +438,53 @@ def video_rights(spark, d):
     return out.select("telegram_id", F.col("rights.status").alias("status"), F.col("rights.reupload_allowed").alias("allowed"), F.col("rights.basis").alias("basis"), F.col("rights.max_clip_seconds").alias("most"))
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 OR user_id % 5 = 0 THEN 'raw' ELSE 'event:' || CASE event_type WHEN 'purchase' THEN 'published' WHEN 'click' THEN 'comment_posted' WHEN 'signup' THEN 'meta_cooldown' ELSE event_type END || ':' || user_id END AS key FROM events""")
+def event_keys(spark, d):
+    """Keys that events are merged by: event and id, or the whole row where one of them is missing."""
+    log = A.delivery_log(spark, d).withColumn("event", F.when(F.col("ingest_seq") % 4 != 0, F.col("event"))).withColumn("telegram_id", F.when((F.col("telegram_id") - 1) % 5 != 0, F.col("telegram_id") - 1).otherwise(0))
+    key = merge.event_key(log)
+    return log.select(F.col("ingest_seq").alias("event_id"), F.when(key.startswith("raw:"), "raw").otherwise(key).alias("key"))
+
+
+OPENING_SQL = r"list_filter(string_split(lower(trim(regexp_replace({0}, '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))), ' '), lambda x: x <> '')"
+
+
+@query(f"""SELECT doc_id, array_to_string(list_slice({OPENING_SQL.format("text")}, 1, 3), ' ') AS opening,
+len({OPENING_SQL.format("split_part(text, chr(10), 1)")}) >= 2 AS repeats FROM documents""")
+def openings(spark, d):
+    """The first words of each text, and whether its first paragraph begins like its first line."""
+    text = F.coalesce("text", F.lit(""))
+    title = F.element_at(F.split(text, "\n"), 1)
+    return A.table(spark, d, "documents").select("doc_id", F.array_join(X.opening_words(text), " ").alias("opening"), X.repeats_opening(title, text).alias("repeats"))
+
+
+LINK_SQL = "CASE page_id % 4 WHEN 0 THEN 'https://t.me/c/' || page_id WHEN 1 THEN 'ftp://files.example/' || page_id WHEN 2 THEN 'https://telegram.org/' || page_id ELSE url END"
+
+
+@query(f"""WITH l AS (SELECT page_id, {LINK_SQL} AS link FROM pages), h AS (SELECT *, lower(regexp_extract(link, '^[a-z]+://([^/?#]+)', 1)) AS host, starts_with(link, 'http') AS web FROM l),
+o AS (SELECT *, host IN ('t.me', 'www.t.me', 'telegram.me', 'www.telegram.me', 'therha.example.com') AS own FROM h)
+SELECT page_id, own, web AND host <> '' AND NOT own AS external, web AND host NOT IN ('t.me', 'telegram.me', 'telegram.org', 'www.telegram.org') AS leaves FROM o""")
+def link_owners(spark, d):
+    """Own links, links to other publishers, and links out of the messenger."""
+    k, own = F.col("page_id"), ["therha.example.com"]
+    link = F.when(k % 4 == 0, F.concat(F.lit("https://t.me/c/"), k.cast("string"))).when(k % 4 == 1, F.concat(F.lit("ftp://files.example/"), k.cast("string"))).when(k % 4 == 2, F.concat(F.lit("https://telegram.org/"), k.cast("string"))).otherwise(F.col("url"))
+    return A.table(spark, d, "pages").select("page_id", U.is_own(link, own).alias("own"), U.is_external(link, own).alias("external"), U.leaves_messenger(link).alias("leaves"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso, CAST(date_diff('minute', TIMESTAMP '1992-01-01', o_orderdate) AS BIGINT) AS age FROM orders")
+def iso_times(spark, d):
+    """Times as ISO text, read back, and whole minutes since a fixed one."""
+    at = F.col("o_orderdate").cast("timestamp")
+    back = T.timestamp(T.iso(at))
+    return A.table(spark, d, "orders").select("o_orderkey", T.iso(back).alias("iso"), T.minutes_between(back, A.at("1992-01-01 00:00:00")).alias("age"))
+
+
+@query("SELECT p_partkey, array_to_string(list_slice(string_split(p_name, ' '), 1, 1), ' ') || '|' || array_to_string(list_slice(string_split(p_name, ' '), 2, 100), ' ') AS lines FROM part")
+def name_lines(spark, d):
+    """Part names cut into lines after the first word."""
+    return A.table(spark, d, "part").select("p_partkey", F.array_join(X.lines_at(F.split("p_name", " "), F.array(F.lit(1))), "|").alias("lines"))
+
+
 # --- stories -------------------------------------------------------------------
 
 WORDS_SQL = r"""list_distinct(list_filter(list_transform(regexp_extract_all(lower(text), '[A-Za-zÀ-ÖØ-öø-ÿ0-9][A-Za-zÀ-ÖØ-öø-ÿ0-9._+/#:&''’\-]*'), lambda t: trim(t, '._+/#:&''’-')),
