@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import media as M
-from ..functions import patterns as P
 from ..functions import text as X
 from ..functions import tokens as K
 from ..functions import urls as U
