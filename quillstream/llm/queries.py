@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, capfilters, decontaminate, lmscore, maintext, pii, quality, secrets, simhash, tokencount
+from . import bpe, capfilters, decontaminate, exacthash, importance, lmscore, maintext, pii, quality, secrets, simhash, tokencount, trie
 from .common import read_table
 
 #: Rank file, pattern and model that the queries use; the operators take any.
@@ -66,6 +66,21 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(read_table(spark, sf_dir, "documents"))
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts among the documents."""
+    return exacthash.exact_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and draw of every document, towards the benchmark."""
+    return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of conversations."""
+    return trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_byte_bpe": op2_byte_bpe,
@@ -77,7 +92,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal": op8_personal,
     "op9_cap_filters": op9_cap_filters,
     "op10_lm_score": op10_lm_score,
+    "op11_exact": op11_exact,
+    "op12_importance": op12_importance,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: Only where SQL can express the query.
-ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontaminate": decontaminate.ORACLE,
+    "op11_exact": exacthash.ORACLE,
+    "op12_importance": importance.ORACLE,
+    "op13_prefix_trie": trie.ORACLE,
+}
