@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import math
 import random
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,8 +37,8 @@ GENERATORS = (AT, SPELLED, DIGITS)
 
 #: Code points before a candidate that count as its context.
 CONTEXT = 24
-#: Matches whose places are summed in one inner fold.
-BLOCK = 256
+#: Items that one inner fold walks, and code points of a block that pieces are cut from.
+BLOCK, CUT = 256, 1024
 #: Boosting: trees of two levels, shrinkage, and the share of right ones that a threshold must have on held-out samples.
 TREES, RATE, PRECISION = 40, 0.3, 0.995
 
@@ -47,28 +48,61 @@ ID_WORDS = "order|invoice|isbn|issue|ticket|serial|build|version|ref|no|nr|numbe
 
 
 def _locate(text: Column, pattern: str) -> Column:
-    """All matches: array of struct m (the match), g (code points between it and the one before)."""
+    """All matches: array of struct m (the match), g (code points between it and the one before), b and a (context before and after).
+
+    The context is taken from the parts between matches and the matches beside
+    them, so that no match costs a walk through the whole text.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p).cast("long"))
-    return F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    parts = F.split(text, pattern, -1)
+    n = F.size(found)
+    rows = F.arrays_zip(
+        found.alias("m"),
+        F.slice(parts, 1, n).alias("gap"),
+        F.slice(F.concat(F.array(F.lit("")), found), 1, n).alias("last"),
+        F.slice(parts, 2, n).alias("next"),
+        F.concat(F.slice(found, 2, n), F.array(F.lit(""))).alias("then"),
+    )
+    return F.transform(
+        rows,
+        lambda x: F.struct(
+            x["m"].alias("m"),
+            F.length(x["gap"]).cast("long").alias("g"),
+            F.right(F.concat(F.right(x["last"], F.lit(CONTEXT)), F.right(x["gap"], F.lit(CONTEXT))), F.lit(CONTEXT)).alias("b"),
+            F.left(F.concat(F.left(x["next"], F.lit(1)), F.left(x["then"], F.lit(1))), F.lit(1)).alias("a"),
+        ),
+    )
 
 
-def _places(pairs: Column) -> Column:
-    """(m, g) with the gap before each match, to struct s, e, m: a fold in blocks, so appending stays cheap."""
-    item = "array<struct<s:bigint,e:bigint,m:string>>"
+def _fold(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], out: str) -> Column:
+    """An array with a value of type out for each item; step takes the state and an item, and gives the next state and the value.
+
+    The walk goes in blocks, so appending to the values stays cheap.
+    """
+    none = F.array().cast(f"array<{out}>")
 
     def add(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + x["g"]
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m")))).alias("out"))
+        state, value = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(value.cast(out))).alias("out"))
 
     def block(acc: Column, at: Column) -> Column:
-        inner = F.aggregate(F.slice(pairs, at + 1, BLOCK), F.struct(acc["pos"].alias("pos"), F.array().cast(item).alias("out")), add)
-        return F.struct(inner["pos"].alias("pos"), F.concat(acc["outs"], F.array(inner["out"])).alias("outs"))
+        inner = F.aggregate(F.slice(items, at + 1, BLOCK), F.struct(acc["state"].alias("state"), none.alias("out")), add)
+        return F.struct(inner["state"].alias("state"), F.concat(acc["outs"], F.array(inner["out"])).alias("outs"))
+
+    starts = F.sequence(F.lit(0), F.size(items) - 1, F.lit(BLOCK))
+    whole = F.aggregate(starts, F.struct(start.alias("state"), F.array().cast(f"array<array<{out}>>").alias("outs")), block)
+    return F.when(F.size(items) > 0, F.flatten(whole["outs"])).otherwise(none)
 
-    starts = F.sequence(F.lit(0), F.size(pairs) - 1, F.lit(BLOCK))
-    whole = F.aggregate(starts, F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(f"array<{item}>").alias("outs")), block)
-    return F.when(F.size(pairs) > 0, F.flatten(whole["outs"])).otherwise(F.array().cast(item))
+
+def _places(pairs: Column) -> Column:
+    """(m, g, b, a) with the gap before each match, to struct s, e, m, b, a."""
+
+    def step(pos: Column, x: Column) -> tuple[Column, Column]:
+        start = pos + x["g"]
+        end = start + F.length(x["m"])
+        return end, F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m"), x["b"].alias("b"), x["a"].alias("a"))
+
+    return _fold(pairs, F.lit(0).cast("long"), step, "struct<s:bigint,e:bigint,m:string,b:string,a:string>")
 
 
 def _luhn(digits: Column) -> Column:
@@ -147,16 +181,9 @@ def labelled_sample(seed: int = 5) -> list[tuple[str, int]]:
     return out
 
 
-def _candidates(text: Column, places: list[Column]) -> Column:
+def _candidates(places: list[Column]) -> Column:
     """All generators' candidates with the context before and after."""
-    item = lambda g: lambda x: F.struct(
-        x["s"].alias("s"),
-        x["e"].alias("e"),
-        F.lit(g).alias("g"),
-        x["m"].alias("m"),
-        F.substring(text, F.greatest(x["s"] - CONTEXT, F.lit(0)).cast("int") + 1, F.least(x["s"], F.lit(CONTEXT)).cast("int")).alias("b"),
-        F.substring(text, x["e"].cast("int") + 1, 1).alias("a"),
-    )
+    item = lambda g: lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(g).alias("g"), x["m"].alias("m"), x["b"].alias("b"), x["a"].alias("a"))
     return F.concat(*[F.transform(p, item(g)) for g, p in enumerate(places)])
 
 
@@ -237,7 +264,7 @@ def _boost(rows: list[tuple[tuple[int, ...], int, int]]) -> Trees:
 
 
 def _pairs_of(text: Column, has_digit: Column) -> dict[str, Column]:
-    none = F.array().cast("array<struct<m:string,g:bigint>>")
+    none = F.array().cast("array<struct<m:string,g:bigint,b:string,a:string>>")
     at = F.contains(text, F.lit("@"))
     small = F.lower(text)
     spelled = F.contains(small, F.lit("at)")) | F.contains(small, F.lit("at]")) | F.contains(small, F.lit("at}"))
@@ -250,7 +277,7 @@ def _with_candidates(df: DataFrame) -> DataFrame:
     df = df.withColumn("__digit", F.col("text").rlike("[0-9]"))
     df = df.withColumns(_pairs_of(F.col("text"), F.col("__digit")))
     df = df.withColumns({k: _places(F.col(k)) for k in ("p0", "p1", "p2", "p3", "c0", "c1", "c2")})
-    df = df.withColumn("cand", _candidates(F.col("text"), [F.col(f"c{k}") for k in range(3)]))
+    df = df.withColumn("cand", _candidates([F.col(f"c{k}") for k in range(3)]))
     features = lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["m"].alias("m"), *[x.cast("int").alias(f"f{k}") for k, x in enumerate(_features(c))])
     return df.withColumn("cand", F.transform("cand", features)).drop("__digit", "c0", "c1", "c2")
 
@@ -273,13 +300,51 @@ def train(spark: SparkSession, seed: int = 5) -> Trees:
     return _fitted[seed]
 
 
+def _with_clear(df: DataFrame) -> DataFrame:
+    """Adds good: the candidates of high (sorted; s, n: end as a negative number, word) that overlap no span of base, or are words that hold all they meet and more.
+
+    One walk over all starts of base spans and both ends of all candidates, with
+    the number of base spans begun before and their furthest end: an end lies
+    inside a base span if that end is beyond it, and no number changes between
+    the ends of a candidate that holds none.
+    """
+    point = "struct<at:bigint,kind:int,id:int,e:bigint>"
+    at = lambda p, kind, k, e: F.struct(p.alias("at"), F.lit(kind).alias("kind"), k.alias("id"), e.alias("e")).cast(point)
+    none = F.lit(0).cast("long")
+    both = (F.size("high") > 0) & (F.size("base") > 0)
+    # kinds at one place in order: both ends before the base spans that start there, the start again after them
+    points = F.array_sort(
+        F.concat(
+            F.transform("base", lambda b: at(b["s"], 2, F.lit(-1), b["e"])),
+            F.transform("high", lambda c, k: at(c["s"], 0, k, none)),
+            F.transform("high", lambda c, k: at(-c["n"], 1, k, none)),
+            F.transform("high", lambda c, k: at(c["s"], 3, k, none)),
+        )
+    )
+
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        new = x["kind"] == 2
+        after = F.struct((state["n"] + new.cast("int")).alias("n"), F.when(new, F.greatest(state["end"], x["e"])).otherwise(state["end"]).alias("end"))
+        return after, F.struct(x["kind"].alias("kind"), x["id"].alias("id"), x["at"].alias("at"), state["n"].alias("n"), state["end"].alias("end"))
+
+    df = df.withColumn("__points", F.when(both, points))
+    seen = _fold(F.col("__points"), F.struct(F.lit(0).alias("n"), F.lit(-1).cast("long").alias("end")), step, "struct<kind:int,id:int,at:bigint,n:int,end:bigint>")
+    df = df.withColumn("__seen", F.when(both, F.array_sort(F.filter(seen, lambda x: x["kind"] != 2))))
+    of = lambda k: F.slice("__seen", F.size("high") * k + 1, F.size("high"))
+    facts = F.arrays_zip(F.col("high").alias("c"), of(0).alias("x"), of(1).alias("y"), of(2).alias("z"))
+    clear = lambda f: (f["x"]["end"] <= f["x"]["at"]) & (f["y"]["end"] <= f["y"]["at"]) & ((f["x"]["n"] == f["y"]["n"]) | (f["c"]["word"] & (f["z"]["end"] < f["y"]["at"])))
+    return df.withColumn("good", F.when(both, F.transform(F.filter(facts, clear), lambda f: f["c"])).otherwise(F.col("high"))).drop("__points", "__seen")
+
+
 def find_personal(docs: DataFrame, model: Trees | None = None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Spans of personal data in every whole text.
 
     Returns ``id_col``, ``base`` and ``every`` (arrays of struct s, k, e: start,
     number of the kind, end; code points, end exclusive; sorted), the latter
     with what the trees add, and the columns of docs named in ``keep``.  A row
-    for each row; a null text counts as empty; a null key stays null; repeated
+    for each row; a null text counts as empty; a null key stays null; the
+    generators see 64 characters before an at sign, 255 after it, and six parts
+    of a written-out address: of longer ones that part is the candidate; repeated
     rows stay; an empty table gives an empty table; other columns are not read.
     """
     model = model or train(docs.sparkSession)
@@ -292,20 +357,12 @@ def find_personal(docs: DataFrame, model: Trees | None = None, id_col: str = "do
     df = df.withColumn("base", base)
     df = df.withColumn("scored", F.transform("cand", lambda c: F.struct(model.column(c).alias("score"), c["s"].alias("s"), c["e"].alias("e"), c["f0"].alias("g"), ((c["f0"] == 0) & c["m"].rlike(r"^[\p{L}\p{N}](?s:.*)[\p{L}\p{N}]$")).alias("word"))))
     limits = F.array(*[F.lit(t if math.isfinite(t) else 1e300) for t in model.thresholds])
-    apart = lambda x, y: (x["e"] <= y["s"]) | (y["e"] <= x["s"])
-    # an address with letters that the plain format stops at holds a base span and more: it is added beside that
-    wider = lambda b, c: c["word"] & (c["s"] <= b["s"]) & (b["e"] <= c["e"]) & (c["e"] - c["s"] > b["e"] - b["s"])
-    good = F.filter("scored", lambda c: (c["score"] >= F.element_at(limits, c["g"] + 1)) & F.forall("base", lambda b: apart(b, c) | wider(b, c)))
+    df = df.withColumn("high", F.array_sort(F.transform(F.filter("scored", lambda c: c["score"] >= F.element_at(limits, c["g"] + 1)), lambda c: F.struct(c["s"].alias("s"), (-c["e"]).alias("n"), c["word"].alias("word")))))
+    df = _with_clear(df)
     # of candidates that overlap, the leftmost, then the longest
-    ordered = F.array_sort(F.transform(good, lambda c: F.struct(c["s"].alias("s"), (-c["e"]).alias("n"))))
-    df = df.withColumn("good", ordered)
-    item = "array<struct<s:bigint,k:int,e:bigint>>"
-    chosen = F.aggregate(
-        "good",
-        F.struct(F.lit(-1).cast("long").alias("end"), F.array().cast(item).alias("out")),
-        lambda acc, c: F.when(c["s"] >= acc["end"], F.struct((-c["n"]).alias("end"), F.concat(acc["out"], F.array(F.struct(c["s"].alias("s"), F.lit(len(KINDS) - 1).alias("k"), (-c["n"]).alias("e")))).alias("out"))).otherwise(acc),
-    )["out"]
-    added = F.when(F.size("good") > 0, chosen).otherwise(F.array().cast(item))
+    first = _fold(F.col("good"), F.lit(-1).cast("long"), lambda end, c: (F.when(c["s"] >= end, -c["n"]).otherwise(end), c["s"] >= end), "boolean")
+    df = df.withColumn("taken", F.filter(F.zip_with("good", first, lambda c, k: F.struct(c["s"].alias("s"), F.lit(len(KINDS) - 1).alias("k"), (-c["n"]).alias("e"), k.alias("first"))), lambda x: x["first"]))
+    added = F.transform("taken", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     return df.select(F.col("id").alias(id_col), "base", F.array_sort(F.concat("base", added)).alias("every"), *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep or [])])
 
 
@@ -336,22 +393,20 @@ def redact(docs: DataFrame, model: Trees | None = None, id_col: str = "doc_id",
     found = find_personal(rows, model, "__id", "__text", keep=["__row"])
     text = F.col("__row")[text_col]
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    item = "array<struct<s:bigint,e:bigint,k:int>>"
-    merged = F.aggregate(
-        "every",
-        F.array().cast(item),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1))["e"], F.lit(-1)) > x["s"]),
-            F.concat(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(F.struct(F.try_element_at(acc, F.lit(-1))["s"].alias("s"), F.greatest(F.try_element_at(acc, F.lit(-1))["e"], x["e"]).alias("e"), F.try_element_at(acc, F.lit(-1))["k"].alias("k"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))),
-    )
+    step = lambda end, x: (F.greatest(end, x["e"]), F.struct(x["s"].alias("s"), x["k"].alias("k"), (x["s"] >= end).alias("new"), F.greatest(end, x["e"]).alias("e")))
+    walked = _fold(F.col("every"), F.lit(0).cast("long"), step, "struct<s:bigint,k:int,new:boolean,e:bigint>")
+    found = found.withColumn("__walked", walked)
+    # a span that overlaps none before it begins a merged one, which ends where the next such span's forerunner does
+    lasts = F.zip_with("__walked", F.slice("__walked", 2, F.size("__walked")), lambda x, y: F.struct(x["e"].alias("e"), F.coalesce(y["new"], F.lit(True)).alias("last")))
+    merged = F.zip_with(F.filter("__walked", lambda x: x["new"]), F.filter(lasts, lambda x: x["last"]), lambda x, y: F.struct(x["s"].alias("s"), y["e"].alias("e"), x["k"].alias("k")))
     found = found.withColumn("__spans", F.when(F.size("every") > 0, merged))
+    # pieces between spans are cut from the blocks that they touch, never from the whole text
+    found = found.withColumn("__blocks", F.when(F.size("every") > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))))
+    block = lambda p: F.floor(p / CUT).cast("int")
+    cut = lambda a, b: F.substring(F.array_join(F.slice("__blocks", block(a) + 1, block(b) - block(a) + 1), ""), (a % CUT).cast("int") + 1, (b - a).cast("int"))
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("__spans", lambda x: x["e"]))
-    pieces = F.zip_with("__spans", F.slice(starts, 1, F.size("__spans")), lambda x, a: F.concat(F.substring(text, a.cast("int") + 1, (x["s"] - a).cast("int")), F.element_at(names, x["k"] + 1)))
-    tail = F.substring(text, F.element_at(starts, -1).cast("int") + 1, F.length(text))
+    pieces = F.zip_with("__spans", F.slice(starts, 1, F.size("__spans")), lambda x, a: F.concat(cut(a, x["s"]), F.element_at(names, x["k"] + 1)))
+    tail = cut(F.element_at(starts, -1), F.length(text).cast("long"))
     changed = F.col("__spans").isNotNull()
     put = {text_col: F.when(changed, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)}
     if "n_chars" in columns:
