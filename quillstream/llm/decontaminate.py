@@ -37,6 +37,8 @@ MAX_BROADCAST, MAX_WORDS = 50_000, 20_000
 BITS_PER_SEED, MAX_BITS = 16, 1 << 25
 #: Places before and after a seed's first word that a stretch with it can reach.
 BEFORE, AFTER = WINDOW - 5, WINDOW
+#: Places of a document that are worked on together: rows of places carry the words of their piece, not of the whole text.
+PIECE = 1024
 
 
 def words_of(text: Column) -> Column:
@@ -81,19 +83,27 @@ def _item_seeds(items: DataFrame, numbers: dict[tuple[int, ...], int]) -> DataFr
     return spots.select("item", n.alias("len"), "q", F.explode(F.array_compact(F.array(*seeds))).alias("seed")).select("item", "len", "q", "seed.*")
 
 
-def _doc_seeds(df: DataFrame, numbers: dict[tuple[int, ...], int], known: Column | None, more: list[Column]) -> DataFrame:
-    """(id, w) to (id, p, mask, hash) and more columns of w and p; known: whether each word is one of the benchmark's, as all of a seed's must be."""
-    if known is None:
-        places = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))
-    else:
+def _pieces(df: DataFrame) -> DataFrame:
+    """(id, w) to (id, piece, w, skip): overlapping pieces of PIECE places, each with the words that its seeds and their stretches reach; the first skip words belong to the piece before."""
+    start = lambda k: k * PIECE
+    piece = lambda k: F.struct(k.alias("piece"), F.slice("w", F.greatest(start(k) - BEFORE, F.lit(0)) + 1, F.least(start(k), F.lit(BEFORE)) + PIECE + AFTER).alias("w"))
+    whole = F.array(F.struct(F.lit(0).alias("piece"), F.col("w").alias("w")))
+    pieces = F.when(F.size("w").between(1, PIECE), whole).when(F.size("w") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / PIECE).cast("int")), piece))
+    return df.select("id", F.explode(pieces).alias("x")).select("id", "x.piece", "x.w", F.least(start(F.col("x.piece")), F.lit(BEFORE)).alias("skip"))
+
+
+def _doc_seeds(pieces: DataFrame, numbers: dict[tuple[int, ...], int], known: Column | None, more: list[Column]) -> DataFrame:
+    """Pieces to (id, p, mask, hash) and more columns of w and at, p's place in the piece; known: whether each word is one of the benchmark's, as all of a seed's must be."""
+    places = F.sequence(F.col("skip"), F.least(F.col("skip") + PIECE, F.size("w")) - 1)
+    if known is not None:
         rests = {m[1:] for m in numbers}
         rest = lambda at: reduce(or_, [reduce(and_, [F.get("known", at + k) for k in m], F.lit(True)) for m in sorted(rests)])
-        df = df.withColumn("known", known)
-        places = F.when(F.size("w") > 0, F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda at: F.get("known", at) & rest(at)))
-    df = df.select("id", "w", F.explode(places).alias("p"))
-    seeds = [F.when(F.col("p") + max(m) < F.size("w"), F.struct(F.lit(k).alias("mask"), _seed(F.col("w"), F.col("p"), k, m).alias("hash"))) for m, k in numbers.items()]
+        pieces = pieces.withColumn("known", known)
+        places = F.filter(places, lambda at: F.get("known", at) & rest(at))
+    rows = pieces.select("id", "w", (F.col("piece") * PIECE - F.col("skip")).alias("before"), F.explode(places).alias("at"))
+    seeds = [F.when(F.col("at") + max(m) < F.size("w"), F.struct(F.lit(k).alias("mask"), _seed(F.col("w"), F.col("at"), k, m).alias("hash"))) for m, k in numbers.items()]
     # whole texts don't go further than this
-    return df.select("id", "p", *more, F.explode(F.array_compact(F.array(*seeds))).alias("seed")).select("*", "seed.*").drop("seed")
+    return rows.select("id", (F.col("before") + F.col("at")).alias("p"), *more, F.explode(F.array_compact(F.array(*seeds))).alias("seed")).select("*", "seed.*").drop("seed")
 
 
 def _bits(seeds: DataFrame, n: int) -> tuple[DataFrame, int]:
@@ -111,20 +121,22 @@ def _few_hits(df: DataFrame, items: DataFrame, seeds: DataFrame, numbers: dict[t
     vocabulary = [r.w for r in items.select(F.explode("iw").alias("w")).distinct().limit(MAX_WORDS + 1).collect()]
     known = F.transform("w", lambda w: w.isin(vocabulary)) if 0 < len(vocabulary) <= MAX_WORDS else None
     around = items.select("item", "iw").join(seeds, "item").select("item", "len", "q", "mask", "span", "hash", _around(F.col("iw"), F.col("q")).alias("ia"))
-    found = _doc_seeds(df, numbers, known, [_around(F.col("w"), F.col("p")).alias("da")])
+    found = _doc_seeds(_pieces(df), numbers, known, [_around(F.col("w"), F.col("at")).alias("da")])
     return found.join(F.broadcast(around), ["mask", "hash"])
 
 
 def _many_hits(df: DataFrame, items: DataFrame, seeds: DataFrame, numbers: dict[tuple[int, ...], int], n: int) -> DataFrame:
-    """Hits of any benchmark: only keys of seeds that pass a bit filter are shuffled, then the texts of documents with hits."""
+    """Hits of any benchmark: only keys of seeds that pass a bit filter are shuffled, then the pieces of texts."""
     bits, size = _bits(seeds, n)
-    passed = _doc_seeds(df, numbers, None, []).crossJoin(F.broadcast(bits))
+    pieces = _pieces(df)
+    passed = _doc_seeds(pieces, numbers, None, []).crossJoin(F.broadcast(bits))
     bit = F.pmod("hash", F.lit(size).cast("long"))
     word = F.get("bits", F.shiftright(bit, 6).cast("int"))
     passed = passed.where(word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))) != 0).select("id", "p", "mask", "hash")
-    hits = passed.join(seeds, ["mask", "hash"]).withColumnRenamed("id", "hit")
-    with_items = hits.join(items.select("item", "iw"), "item").select("hit", "item", "len", "p", "q", "mask", "span", _around(F.col("iw"), F.col("q")).alias("ia"))
-    return df.join(with_items, F.col("id").eqNullSafe(F.col("hit"))).select("id", "item", "len", "p", "q", "mask", "span", "ia", _around(F.col("w"), F.col("p")).alias("da"))
+    hits = passed.join(seeds, ["mask", "hash"]).select(F.col("id").alias("hit"), F.floor(F.col("p") / PIECE).cast("int").alias("part"), "p", "mask", "item", "len", "q", "span")
+    with_items = hits.join(items.select("item", "iw"), "item").select("hit", "part", "item", "len", "p", "q", "mask", "span", _around(F.col("iw"), F.col("q")).alias("ia"))
+    at = F.col("p") - F.col("piece") * PIECE + F.col("skip")
+    return pieces.join(with_items, F.col("id").eqNullSafe(F.col("hit")) & (F.col("piece") == F.col("part"))).select("id", "item", "len", "p", "q", "mask", "span", "ia", _around(F.col("w"), at).alias("da"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
