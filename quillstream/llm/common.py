@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch may hold on its way to Python; texts are long.
@@ -31,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
-        if named is None and not sc.master.startswith("local"):
+        if named is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillstream-checkpoint-"))
     return sc.getCheckpointDir()
@@ -63,3 +63,32 @@ def blocks(values: list, size: int) -> Iterator[list]:
     """Consecutive slices of at most size values."""
     for at in range(0, len(values), size):
         yield values[at : at + size]
+
+
+#: Bits of a key filter: so many for each key, and at most.
+BITS_PER_KEY, MAX_BITS = 16, 1 << 25
+
+
+def key_filter(keys: DataFrame) -> tuple[DataFrame, int]:
+    """(key) to one row with an array ``bits`` in which a bit is set for every key, and the number of its bits.
+
+    The row has MAX_BITS bits at most, so it may be broadcast whatever the
+    number of keys; the fuller it is, the fewer other keys it rules out.
+    """
+    n = keys.count()
+    size = 1 << min(max(n * BITS_PER_KEY, 64).bit_length(), MAX_BITS.bit_length() - 1)
+    bit = F.pmod("key", F.lit(size).cast("long"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
+    parts = keys.select(F.shiftright(bit, 6).alias("at"), one.alias("v")).groupBy("at").agg(F.bit_or("v").alias("v"))
+    every = keys.sparkSession.range(size // 64).join(parts, F.col("id") == F.col("at"), "left")
+    row = every.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("v", F.lit(0).cast("long")).alias("v")))).alias("a"))
+    return row.select(F.transform("a", lambda x: x["v"]).alias("bits")), size
+
+
+def may_have(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows of df whose key is in the table keys (key), and a few others."""
+    row, size = key_filter(keys)
+    bit = F.pmod(key, F.lit(size).cast("long"))
+    word = F.get("bits", F.shiftright(bit, 6).cast("int"))
+    hit = word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))) != 0
+    return df.crossJoin(F.broadcast(row)).where(hit).select(*df.columns)

@@ -23,13 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import may_have, small_batches, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Keys that a bucket holds before it splits, and the most bits that the directory uses; a bucket at that depth grows beyond CAPACITY.
 CAPACITY, FINEST = 4096, 16
-#: Bits of the filter for keys of several rows: so many for each key, and at most.
-BITS_PER_KEY, MAX_BITS = 16, 1 << 25
 
 
 def normalised(text: Column) -> Column:
@@ -88,24 +86,6 @@ def grow(counts: dict[int, int], finest: int, capacity: int) -> Directory:
     return Directory(depth, tuple(number[b] for b in slots), tuple(b[1] for b in buckets), tuple(size(*b) for b in buckets))
 
 
-def _filter(keys: DataFrame) -> tuple[DataFrame, int]:
-    """One row with a bit array in which the bit of every key is set, and the number of its bits."""
-    n = keys.count()
-    size = 1 << min(max(n * BITS_PER_KEY, 64).bit_length(), MAX_BITS.bit_length() - 1)
-    bit = F.pmod("key", F.lit(size).cast("long"))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
-    parts = keys.select(F.shiftright(bit, 6).alias("at"), one.alias("v")).groupBy("at").agg(F.bit_or("v").alias("v"))
-    every = keys.sparkSession.range(size // 64).join(parts, F.col("id") == F.col("at"), "left")
-    row = every.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("v", F.lit(0).cast("long")).alias("v")))).alias("a"))
-    return row.select(F.transform("a", lambda x: x["v"]).alias("bits")), size
-
-
-def _passes(size: int) -> Column:
-    bit = F.pmod("key", F.lit(size).cast("long"))
-    word = F.get("bits", F.shiftright(bit, 6).cast("int"))
-    return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))) != 0
-
-
 _MET = "owner int, bucket int, key long, text binary, keep_id long, n long"
 
 
@@ -179,8 +159,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capac
     directory = grow(counts, finest, capacity)
 
     alone = keys.where("n = 1").select(directory.bucket(F.col("key")).alias("bucket"), "key", F.lit(0).alias("chain"), "digest", "keep_id", F.col("n").alias("group_size"))
-    bit_row, size = _filter(keys.where("n > 1").select("key"))
-    several = read.crossJoin(F.broadcast(bit_row)).where(_passes(size))
+    several = may_have(read, F.col("key"), keys.where("n > 1").select("key"))
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     owner = F.get(_numbers(directory.owners(tasks)), F.col("bucket"))
     placed = several.withColumn("bucket", directory.bucket(F.col("key"))).select(owner.alias("owner"), "bucket", "key", F.col("text").cast("binary").alias("text"), "id")
