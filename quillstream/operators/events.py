@@ -75,10 +75,11 @@ def match_remote(messages: DataFrame, remote: DataFrame, message: str = "message
 
 
 def published_event(rows: DataFrame, now: Column) -> DataFrame:
-    """Log lines for posts that a sink acknowledged (post_id, media_mode)."""
+    """Log lines for posts that a sink acknowledged (post_id, media_mode), with delivery, media_errors and media_diagnostics where rows have them."""
+    more = [c for c in ("delivery", "media_errors", "media_diagnostics") if c in rows.columns]
     return rows.select(
         F.lit("published").alias("event"), "telegram_id", F.col("post_id").alias("facebook_post_id"), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ssXXX").alias("published_at"),
-        "first_comment", "source_url", "media_mode", "story_fingerprint",
+        "first_comment", "source_url", "media_mode", "story_fingerprint", *more,
     )
 
 

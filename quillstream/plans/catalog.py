@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import media as M
+from ..functions import patterns as P
 from ..functions import text as X
 from ..functions import tokens as K
 from ..functions import urls as U
 from ..functions import times as T
 from ..functions.times import timestamp
-from ..operators import dedupe, events, gates, merge, queue, rights, threads
-from ..sources import html
+from ..operators import attempts, dedupe, events, gates, merge, queue, rights, threads
+from ..sources import html, pictures
 from . import adapters as A
 
 #: Name of the query that ``entry`` runs.
@@ -543,3 +544,76 @@ def ext_sessions(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts")
     new = F.coalesce((F.col("ts") > F.lag("ts").over(w) + F.expr("INTERVAL '12' HOUR")).cast("int"), F.lit(1))
     return rows.withColumn("new", new).groupBy("user_id").agg(F.sum("new").alias("sessions"), F.count("*").alias("n"))
+
+
+# --- pictures and answers from outside ---------------------------------------------
+
+BAD_PICTURE_SQL = "'" + "|".join(P.BAD_IMAGE_HINTS) + "'"
+RESOLVED_SQL = "CASE WHEN raw LIKE 'http%' THEN raw WHEN raw LIKE '//%' THEN regexp_extract(url, '^https?:') || raw ELSE regexp_extract(url, '^https?://[^/?#]+') || raw END"
+#: Structured data put on every page, pictures at several depths and things that are none; {} is the page's key.
+STRUCTURED = (
+    '{"@type":"NewsArticle","name":"image","image":["/i/{}.jpg",{"contentUrl":"https://cdn.example/{}/a.png"},7],"parts":[[{"thumbnailUrl":"//cdn.example/t{}.jpg"}],5,null,{"image":{"image":"/deep/{}","width":9}}],'
+    '"video":{"contentUrl":"/v{}.mp4?a=1&b=2","thumbnailUrl":["/i/{}.jpg","https://cdn.example/logo{}.png"]},"image2":"/no/{}"}'
+)
+STRUCTURED_SQL = "replace('" + STRUCTURED + "', '{}', page_id::VARCHAR)"
+FOUND_SQL = f"""p AS (SELECT page_id, url, {STRUCTURED_SQL} AS j FROM pages),
+e AS (SELECT page_id, url, t.id AS k, t.parent AS up, t.key AS key, t.type AS type, t.value AS v FROM p, json_tree(p.j) t),
+found AS (SELECT e.page_id, e.url, e.k, json_extract_string(e.v, '$') AS raw FROM e LEFT JOIN e o ON o.page_id = e.page_id AND o.k = e.up
+  WHERE e.type = 'VARCHAR' AND (CASE WHEN o.type = 'ARRAY' THEN o.key ELSE e.key END) IN ('image', 'thumbnailUrl', 'contentUrl'))"""
+
+
+def _with_structured(pages: DataFrame) -> DataFrame:
+    """pages whose html begins with structured data made from their keys."""
+    data = F.replace(F.lit(STRUCTURED), F.lit("{}"), F.col("page_id").cast("string"))
+    return pages.withColumn("html", F.concat(F.lit('<script type="application/ld+json">'), data, F.lit("</script>"), F.col("html")))
+
+
+@query(f"WITH {FOUND_SQL} SELECT page_id, count(*) AS n, string_agg({RESOLVED_SQL}, chr(10) ORDER BY k) AS links FROM found GROUP BY page_id")
+def structured_pictures(spark, d):
+    """Every picture in the structured data of each page, in order."""
+    pages = _with_structured(A.table(spark, d, "pages")).select("page_id", pictures.offered(F.col("url"), F.col("html")).alias("all"))
+    links = F.transform(F.filter("all", lambda x: x["origin"] == "structured"), lambda x: x["url"])
+    return pages.select("page_id", F.size(links).cast("long").alias("n"), F.array_join(links, "\n").alias("links"))
+
+
+@query(f"""WITH {FOUND_SQL},
+planted AS (SELECT page_id, url, unnest([0, 10, 20, 30, 1000, 1010, 1020, 1030, 1040]) AS k,
+  unnest(['https://cdn.example/s' || page_id || '.png', '/og/' || page_id || '.jpg', 'https://cdn.example/t' || page_id || '.png', '//cdn.example/l' || page_id || '.jpg',
+    '/a' || page_id || '-800.jpg', '/a' || page_id || '-400.jpg', '/icon' || page_id || '.png', '/a' || page_id || '.jpg', '/og/' || page_id || '.jpg']) AS raw FROM pages),
+every AS (SELECT page_id, k, {RESOLVED_SQL} AS u FROM (SELECT page_id, url, k + 100 AS k, raw FROM found UNION ALL SELECT page_id, url, k, raw FROM planted)),
+once AS (SELECT page_id, u, min(k) AS k FROM every WHERE NOT regexp_matches(lower(u), {BAD_PICTURE_SQL}) GROUP BY ALL)
+SELECT page_id, count(*) AS n, string_agg(u, chr(10) ORDER BY k) AS links FROM once GROUP BY page_id""")
+def ranked_pictures(spark, d):
+    """Candidates of each page by origin: head, structured data, then the article's own by size."""
+    key = F.col("page_id").cast("string")
+    put = lambda text: F.replace(F.lit(text), F.lit("{}"), key)
+    head = put('<link rel="image_src" href="//cdn.example/l{}.jpg"><meta name="twitter:image" content="https://cdn.example/t{}.png"><meta property="og:image" content="/og/{}.jpg"><meta property="og:image:secure_url" content="https://cdn.example/s{}.png">')
+    body = put('<figure><img srcset="/a{}-400.jpg 400w, /a{}-800.jpg 800w" src="/a{}.jpg" data-src="/icon{}.png"></figure><img src="/og/{}.jpg">')
+    pages = _with_structured(A.table(spark, d, "pages"))
+    whole = F.concat(head, F.regexp_replace("html", F.lit("(<article[^>]*>)"), F.concat(F.lit("$1"), body)))
+    found = pages.select("page_id", pictures.offered(F.col("url"), whole).alias("all")).select("page_id", pictures.candidates(F.col("all")).alias("c"))
+    return found.select("page_id", F.size("c").cast("long").alias("n"), F.array_join(F.transform("c", lambda x: x["url"]), "\n").alias("links"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2),
+t AS (SELECT l_orderkey, l_linenumber AS place, 'm' || l_suppkey % 4 AS model, l_partkey % 5 AS kind, l_suppkey % 2 = 0 AS mends,
+    CASE l_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'numbers_omitted' WHEN 2 THEN 'title_jargon' ELSE 'timeout ' || l_quantity::BIGINT END AS error FROM l),
+s AS (SELECT *, kind = 0 OR (kind IN (1, 2) AND mends) AS won FROM t),
+f AS (SELECT l_orderkey, min(place) FILTER (won) AS first FROM s GROUP BY 1)
+SELECT l_orderkey, max(model) FILTER (place = first) AS model, max(CASE WHEN kind = 0 THEN 'answer ' ELSE 'mended ' END || place) FILTER (place = first) AS data,
+  coalesce(max(CASE kind WHEN 1 THEN 'fidelity' WHEN 2 THEN 'reader' ELSE '' END) FILTER (place = first), '') AS repair, count(*) FILTER (first IS NULL OR place < first) AS failures,
+  CASE WHEN max(first) IS NULL THEN string_agg(model || ': ' || error || CASE WHEN kind IN (1, 2) THEN ' | repair: again' ELSE '' END, chr(10) ORDER BY place) END AS errors
+FROM s JOIN f USING (l_orderkey) GROUP BY l_orderkey""")
+def chosen_answers(spark, d):
+    """Order lines as attempts in turn, lines of one number as one: the first valid one of each order, or the one that its repair mends."""
+    kind = F.col("l_partkey") % 5
+    error = F.when(kind == 0, "").when(kind == 1, "numbers_omitted").when(kind == 2, "title_jargon").otherwise(F.concat(F.lit("timeout "), F.col("l_quantity").cast("bigint").cast("string")))
+    each = A.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_quantity")])
+    lines = each.select(
+        "l_orderkey", F.col("l_linenumber").alias("place"), F.concat(F.lit("m"), (F.col("l_suppkey") % 4).cast("string")).alias("model"), error.alias("error"),
+        F.concat(F.lit("answer "), F.col("l_linenumber").cast("string")).alias("data"), (F.col("l_suppkey") % 2 == 0).alias("mends"),
+    )
+    wanted = attempts.repairs_wanted(lines, "l_orderkey")
+    repairs = wanted.join(lines.select("l_orderkey", "place", "mends"), ["l_orderkey", "place"]).select("l_orderkey", "place", F.when(F.col("mends"), "").otherwise("again").alias("error"), F.concat(F.lit("mended "), F.col("place").cast("string")).alias("data"))
+    found = attempts.choose_answers(lines.drop("mends"), repairs, "l_orderkey")
+    return found.withColumn("errors", F.array_join("errors", "\n"))
