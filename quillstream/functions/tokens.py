@@ -28,10 +28,15 @@ def canonical_number(c: Column) -> Column:
     return F.when(core == "", "").otherwise(F.concat(core, percent))
 
 
+def _if_digits(c: Column, found: Column) -> Column:
+    """What is found in a text with a digit; none in others, which most are, so that they aren't searched."""
+    return F.when(or_empty(c).rlike(r"\p{Nd}"), found).otherwise(F.array().cast("array<string>"))
+
+
 def numbers(c: Column) -> Column:
     """Distinct standalone numbers, canonical, links left aside."""
     found = F.regexp_extract_all(F.regexp_replace(or_empty(c), P.URL, ""), F.lit("(?U)" + P.NUMBER), F.lit(0))
-    return F.array_distinct(F.filter(F.transform(found, canonical_number), lambda n: n != ""))
+    return _if_digits(c, F.array_distinct(F.filter(F.transform(found, canonical_number), lambda n: n != "")))
 
 
 def identifier_numbers(c: Column) -> Column:
@@ -39,7 +44,7 @@ def identifier_numbers(c: Column) -> Column:
     found = F.regexp_extract_all(F.regexp_replace(or_empty(c), P.URL, ""), F.lit("(?U)" + P.IDENTIFIER), F.lit(0))
     mixed = F.filter(found, lambda t: t.rlike("[A-Za-z]") & t.rlike("[0-9]"))
     inner = F.flatten(F.transform(mixed, lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0)), canonical_number)))
-    return F.array_distinct(F.filter(inner, lambda n: n != ""))
+    return _if_digits(c, F.array_distinct(F.filter(inner, lambda n: n != "")))
 
 
 def all_numbers(c: Column) -> Column:
@@ -51,9 +56,14 @@ def cves(c: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(or_empty(c), F.lit(P.CVE), F.lit(0)), F.upper))
 
 
+#: Behind a token's first letter: somewhere in the rest of the token is a digit or a capital.
+STRICT_AHEAD = r"(?=[a-z._+/#:&()'’\\-]*+[0-9A-Z])"
+
+
 def strict_tokens(entity: Column) -> Column:
     """Tokens of a name that must be kept as written: with digits, or capitals inside."""
-    found = F.regexp_extract_all(or_empty(entity), F.lit(P.ENTITY_TOKEN), F.lit(0))
+    # only tokens with a digit or a capital behind their first letter are taken out and looked at
+    found = F.regexp_extract_all(or_empty(entity), F.lit(P.ENTITY_TOKEN.replace("]", "]" + STRICT_AHEAD, 1)), F.lit(0))
 
     def strict(t: Column) -> Column:
         letters = F.regexp_replace(t, "[^A-Za-z]", "")

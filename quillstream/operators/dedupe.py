@@ -47,23 +47,17 @@ def fingerprint(url: Column, main: Column, entities: Column, numbers: Column) ->
 def with_story(df: DataFrame) -> DataFrame:
     """Adds ``story``: what two items are compared by; a stored fingerprint wins over a computed one."""
     e = "editorial"
-    ents, nums = entity_set(F.col(f"{e}.protected_entities")), number_set(F.col(f"{e}.protected_numbers"))
-    main = main_text(F.col(f"{e}.main_fact"), F.col("card_title"))
+    # names, numbers and main text are used several times each: columns of their own, so that each text is searched once
+    parts = df.withColumns({
+        "__ents": entity_set(F.col(f"{e}.protected_entities")), "__nums": number_set(F.col(f"{e}.protected_numbers")), "__main": main_text(F.col(f"{e}.main_fact"), F.col("card_title")),
+        "__all": fact_text(F.col(f"{e}.main_fact"), F.col("card_title"), F.col(f"{e}.supporting_facts")), "__url": U.canonical(F.col("source_url")),
+    })
+    ents, nums, main = F.col("__ents"), F.col("__nums"), F.col("__main")
     times = [F.col(c) for c in ("source_published_at", "prepared_at", "published_at") if c in df.columns]
     own = fingerprint(F.col("source_url"), main, ents, nums)
     stored = X.first_filled(F.col("story_fingerprint"), own) if "story_fingerprint" in df.columns else own
-    return df.withColumn(
-        "story",
-        F.struct(
-            U.canonical(F.col("source_url")).alias("url"),
-            stored.alias("fingerprint"),
-            first_time(*times).alias("at"),
-            ents.alias("entities"),
-            nums.alias("numbers"),
-            K.tokens(main).alias("main"),
-            K.tokens(fact_text(F.col(f"{e}.main_fact"), F.col("card_title"), F.col(f"{e}.supporting_facts"))).alias("facts"),
-        ),
-    )
+    told = F.struct(F.col("__url").alias("url"), stored.alias("fingerprint"), first_time(*times).alias("at"), ents.alias("entities"), nums.alias("numbers"), K.tokens(main).alias("main"), K.tokens(F.col("__all")).alias("facts"))
+    return parts.withColumn("story", told).drop("__ents", "__nums", "__main", "__all", "__url")
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -140,7 +134,7 @@ def duplicate_pairs(stories: DataFrame, id_col: str = "telegram_id") -> DataFram
 
     Expects with_story and distinct ids.  No link between different stories is lost.
     """
-    grouped = classes(stories, id_col)
+    grouped = checkpointed(classes(checkpointed(stories.select(id_col, "story")), id_col))
     reps = grouped.where(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("item"), "story")
     found = _class_pairs(_keys(reps, "item"), reps).unionByName(_members(grouped, id_col))
     return found.select(F.col("a").alias("later"), F.col("b").alias("earlier"), "score", "reason")
@@ -158,7 +152,7 @@ def best_match(candidates: DataFrame, history: DataFrame, id_col: str = "telegra
     ours = with_story(candidates).select(F.col(id_col).alias("item"), F.lit(None).cast("long").alias("line"), "story")
     theirs = with_story(usable).select(F.col(id_col).alias("item"), F.col(seq).alias("line"), "story")
     # a number for each row, the same whenever it is worked out
-    every = ours.unionByName(theirs).withColumn("row", F.xxhash64("item", "line", F.to_json("story")))
+    every = checkpointed(ours.unionByName(theirs).withColumn("row", F.xxhash64("item", "line", F.to_json("story"))))
     grouped = checkpointed(classes(every.select("row", "story").dropDuplicates(["row"]), "row").join(every.select("row", "item", "line").distinct(), "row"))
     reps = grouped.where("row = class_id").select(F.col("row").alias("item"), "story").dropDuplicates(["item"])
     pairs = _class_pairs(_keys(reps, "item"), reps)
@@ -191,7 +185,7 @@ def greedy_duplicates(stories: DataFrame, id_col: str = "telegram_id", max_round
     ``id_col``, ``duplicate_of``, ``reason``, ``score`` (null for kept items);
     an error if max_rounds don't decide every item.
     """
-    grouped = checkpointed(classes(stories, id_col))
+    grouped = checkpointed(classes(checkpointed(stories.select(id_col, "story")), id_col))
     reps = grouped.where(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("item"), "story")
     pairs = checkpointed(_class_pairs(_keys(reps, "item"), reps))
     open_pairs = pairs.select("a", "b")

@@ -496,28 +496,73 @@ def story_tokens(spark, d):
     return rows.where(F.size("w") > 0).select("doc_id", F.array_join(F.array_sort("w"), " ").alias("words"))
 
 
-# SQL has no look-around for the names and numbers of whole texts; these four are held against plain versions over all pairs (tests/core/test_whole.py)
-@query()
+#: SQL has no look-around: characters that end a number are doubled first, so that each may be used up by its neighbours.
+WORD_SQL = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+PLAIN_SQL = "regexp_replace(x, '" + P.URL.replace("'", "''") + "', '', 'g')"
+
+
+def _canonical_sql(n: str) -> str:
+    """A number as it is compared, from an SQL expression."""
+    core = f"regexp_replace(regexp_replace({n}, '%$', ''), '[.,:/-]+$', '')"
+    for _ in range(4):
+        core = rf"regexp_replace({core}, '(\d),(\d\d\d)(\D|$)', '\1\2\3')"
+    return f"CASE WHEN {core} = '' THEN '' ELSE {core} || CASE WHEN ends_with({n}, '%') THEN '%' ELSE '' END END"
+
+
+LOWER_SQL = r"regexp_replace(lower(x), 'https?://\S+', ' ', 'g')"
+STORY_SQL = rf"""d AS (SELECT doc_id + 1 AS id, coalesce(text, '') AS x FROM documents),
+f AS (SELECT id, x, trim(regexp_replace(lower(split_part(x, chr(10), 1)), '\s+', ' ', 'g')) AS m, regexp_replace({PLAIN_SQL}, '([^{WORD_SQL}.,:/%-])', '\1\1', 'g') AS y FROM d),
+raw AS (SELECT *, list_concat(regexp_extract_all(y, '(?:^|[^{WORD_SQL}])(\d[\d.,:/-]*%?)(?:[^{WORD_SQL}]|$)', 1),
+  flatten(list_transform(list_filter(regexp_extract_all({PLAIN_SQL}, '(?:^|[^{WORD_SQL}])([A-Za-z0-9](?:[A-Za-z0-9._+/#:&()''’\\-]*[A-Za-z0-9_])?)', 1), lambda t: regexp_matches(t, '[A-Za-z]') AND regexp_matches(t, '[0-9]')), lambda t: regexp_extract_all(t, '\d+(?:[.,]\d+)?')))) AS ns,
+  list_filter(regexp_extract_all(x, '[A-Za-z][A-Za-z0-9._+/#:&()''’\-]*'), lambda t: regexp_matches(t, '[0-9]') OR regexp_matches(regexp_replace(t, '[^A-Za-z]', '', 'g'), '^.+[A-Z]') AND regexp_matches(t, '[a-z]')) AS es FROM f),
+s AS (SELECT id, m, list_sort(list_distinct(list_filter(list_transform(es, lambda e: trim(regexp_replace(lower(e), 'https?://\S+', ' ', 'g'))), lambda e: length(e) >= 3))) AS es,
+  list_sort(list_distinct(list_filter(list_transform(ns, lambda n: {_canonical_sql('n')}), lambda n: n <> ''))) AS ns, list_sort({WORDS_SQL.replace('lower(text)', 'm')}) AS ms, list_sort({WORDS_SQL.replace('lower(text)', LOWER_SQL)}) AS fs FROM raw),
+p AS (SELECT *, CASE WHEN m = '' AND len(es) = 0 AND len(ns) = 0 THEN '' ELSE sha256(CAST(to_json({{'entities': es, 'main': m, 'numbers': ns, 'url': ''}}) AS VARCHAR)) END AS fp FROM s)"""
+#: Classes of alike stories, links (a > b) between their representatives, and links both ways with each class's own.
+LINKS_SQL = f"""{STORY_SQL},
+cls AS (SELECT id, CASE WHEN fp <> '' THEN min(id) OVER (PARTITION BY fp, ms, fs) ELSE id END AS c, fp FROM p),
+r AS (SELECT p.* FROM p JOIN cls USING (id) WHERE id = c),
+tok AS (SELECT 'f' AS k, id, unnest(fs) AS t FROM r UNION ALL SELECT 'm', id, unnest(ms) FROM r UNION ALL SELECT 'e', id, unnest(es) FROM r UNION ALL SELECT 'n', id, unnest(ns) FROM r),
+met AS (SELECT x.id AS a, y.id AS b, count(*) FILTER (x.k = 'f') AS kf, count(*) FILTER (x.k = 'm') AS km, count(*) FILTER (x.k = 'e') AS ke, count(*) FILTER (x.k = 'n') AS kn FROM tok x JOIN tok y ON x.k = y.k AND x.t = y.t AND x.id > y.id GROUP BY ALL
+  UNION SELECT x.id, y.id, 0, 0, 0, 0 FROM r x JOIN r y ON x.fp = y.fp AND x.fp <> '' AND x.id > y.id AND len(list_intersect(x.fs, y.fs)) = 0 AND len(x.es) = 0 AND len(x.ns) = 0),
+j AS (SELECT a, b, x.fp = y.fp AND x.fp <> '' AS same, ke AS shared, len(x.ns) = 0 OR len(y.ns) = 0 OR kn > 0 AS agree, kf / greatest(len(x.fs) + len(y.fs) - kf, 1)::DOUBLE AS fj, km / greatest(len(x.ms) + len(y.ms) - km, 1)::DOUBLE AS mj,
+  ke / greatest(len(x.es) + len(y.es) - ke, 1)::DOUBLE AS ej FROM met JOIN r x ON x.id = a JOIN r y ON y.id = b),
+link AS (SELECT a, b, v.score AS score, v.reason AS reason FROM (SELECT a, b, CASE WHEN same THEN {{'score': 1.0::DOUBLE, 'reason': 'same_story_fingerprint'}} WHEN agree AND fj >= 0.68 THEN {{'score': round(fj, 4), 'reason': 'high_fact_overlap'}}
+  WHEN agree AND mj >= 0.6 THEN {{'score': round(mj, 4), 'reason': 'high_main_fact_overlap'}} WHEN agree AND shared >= 2 AND ej >= 0.45 AND greatest(mj, fj) >= 0.18 THEN {{'score': round(greatest(mj, fj, ej), 4), 'reason': 'same_entities_and_story'}}
+  WHEN agree AND shared >= 3 AND ej >= 0.6 THEN {{'score': round(ej, 4), 'reason': 'same_distinctive_entities'}} END AS v FROM j) WHERE v IS NOT NULL),
+own AS (SELECT id AS a, id AS b, 1.0::DOUBLE AS score, 'same_story_fingerprint' AS reason FROM r WHERE fp <> ''),
+near AS (SELECT * FROM link UNION ALL SELECT b, a, score, reason FROM link UNION ALL SELECT * FROM own)"""
+
+
+@query(f"WITH {STORY_SQL} SELECT id - 1 AS doc_id, fp AS fingerprint FROM p")
 def story_fingerprints(spark, d):
+    """The fingerprint of every document as a story."""
     return dedupe.with_story(A.stories(spark, d)).select((F.col("telegram_id") - 1).alias("doc_id"), F.col("story.fingerprint").alias("fingerprint"))
 
 
-@query()
+@query(f"WITH {LINKS_SQL} SELECT a AS later, b AS earlier, score, reason FROM link UNION ALL SELECT id, c, 1.0::DOUBLE, 'same_story_fingerprint' FROM cls WHERE id <> c")
 def duplicate_stories(spark, d):
     """All pairs of different duplicate stories, by keys that lose none, and copies with the first of them."""
     return dedupe.duplicate_pairs(dedupe.with_story(A.stories(spark, d)))
 
 
-@query()
+@query(f"""WITH {LINKS_SQL},
+k AS (SELECT x.id, y.id AS other, score, reason, row_number() OVER (PARTITION BY x.id ORDER BY score DESC, y.id) AS n FROM cls x JOIN near ON near.a = x.c JOIN cls y ON y.c = near.b AND y.id <> x.id)
+SELECT id AS telegram_id, other AS duplicate_of, reason, score FROM k WHERE n = 1""")
 def best_matches(spark, d):
     """Per story its best match among all others."""
     rows = A.stories(spark, d)
     return dedupe.best_match(rows, rows)
 
 
-@query()
+@query(f"""WITH RECURSIVE {LINKS_SQL},
+adj AS (SELECT a, list(b) AS bs, row_number() OVER (ORDER BY a) AS n FROM link GROUP BY a),
+walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS gone UNION ALL SELECT adj.n, CASE WHEN len(list_filter(adj.bs, lambda b: NOT list_contains(walk.gone, b))) > 0 THEN list_append(walk.gone, adj.a) ELSE walk.gone END FROM walk JOIN adj ON adj.n = walk.n + 1),
+gone AS (SELECT unnest(gone) AS id FROM walk WHERE n = (SELECT max(n) FROM walk)),
+k AS (SELECT x.id, near.b, score, reason, row_number() OVER (PARTITION BY x.id ORDER BY score DESC, near.b) AS n FROM cls x JOIN near ON near.a = x.c WHERE near.b < x.id AND near.b NOT IN (SELECT id FROM gone))
+SELECT cls.id AS telegram_id, k.b AS duplicate_of, k.reason, k.score FROM cls LEFT JOIN k ON k.id = cls.id AND k.n = 1""")
 def greedy_stories(spark, d):
-    """Stories kept and dropped by a walk in order of id; tested against the plain walk."""
+    """Stories kept and dropped by a walk in order of id."""
     return dedupe.greedy_duplicates(dedupe.with_story(A.stories(spark, d)))
 
 
