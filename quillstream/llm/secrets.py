@@ -187,11 +187,12 @@ def find_secrets(docs: DataFrame, detector: Detector | None = None, id_col: str
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts by kind, the digest of the base spans, and all spans."""
+    """Counts by kind of the base spans, their digest, all spans, and the count of those that the models add."""
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
     return found.select(
         id_col,
-        *[count(k).alias(f"n_{k}") for k in KINDS],
+        *[count(k).alias(f"n_{k}") for k in KINDS[:-1]],
         F.sha2(F.encode("base", "UTF-8"), 256).alias("base_sha256"),
         "spans",
+        count(KINDS[-1]).alias(f"n_{KINDS[-1]}"),
     )
