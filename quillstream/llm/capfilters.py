@@ -5,9 +5,11 @@ with its own small random code, and every combination of code words is one
 direction.  A vector belongs to all directions whose inner product with it
 exceeds the cap's height; because a direction's product is a sum over blocks,
 these are listed by expanding block by block and dropping what can't reach the
-height any more.  Vectors that share a filter are compared exactly, each pair in
-the smallest filter that both share (Becker, Ducas, Gama and Laarhoven, "New
-directions in nearest neighbor searching", 2016).
+height any more.  Filters that differ in the last code word only make one cell,
+and a vector travels once to each cell that it has filters in.  Vectors that
+share a filter are compared exactly, each pair in the cell of the smallest filter
+that both share (Becker, Ducas, Gama and Laarhoven, "New directions in nearest
+neighbor searching", 2016).
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from .components import connected_components
 LIST_LENGTH, LEAST_LISTED = 24, 20
 #: Vectors that a filter should hold on average.
 FILL = 8
-#: Larger buckets are dealt out as pairs of chunks of this size.
-CHUNK = 1024
+#: Larger cells are dealt out as pairs of chunks of this size.
+CHUNK = 2048
 
 
 class ProductCode:
@@ -82,12 +84,22 @@ class ProductCode:
         return row, name
 
 
+def _filter_type(directions: float) -> str:
+    """The packed type of filter names; a product code has few more directions than asked for."""
+    return "<i4" if directions < 1 << 30 else "<i8"
+
+
 def _lists(batches: Iterable[pa.RecordBatch], directions: float) -> Iterator[pa.RecordBatch]:
-    """(rep, label, size, vec) to the same with the sorted list of the vector's filters."""
+    """(rep, label, size, vec) to (rep, label, size, dims, vec, filters, cells).
+
+    ``vec`` is packed, as floats where these hold the same numbers, else as
+    doubles; ``filters`` is the packed sorted list of the vector's filters, and
+    ``cells`` has their names without the last code word.
+    """
     codes: dict[int, ProductCode] = {}
     for batch in batches:
-        lists: list[list[int]] = [[] for _ in range(batch.num_rows)]
-        vectors = batch.column(3).to_pylist()
+        n, vectors = batch.num_rows, batch.column(3).to_pylist()
+        packed, lists, cells = [b""] * n, [b""] * n, [[]] * n
         by_dims: dict[int, list[int]] = {}
         for i, v in enumerate(vectors):
             by_dims.setdefault(len(v), []).append(i)
@@ -96,61 +108,86 @@ def _lists(batches: Iterable[pa.RecordBatch], directions: float) -> Iterator[pa.
             for at in range(0, len(members), 256):
                 part = members[at : at + 256]
                 x = np.array([vectors[i] for i in part], np.float64)
+                with np.errstate(over="ignore"):
+                    short = x.astype("<f4")
+                exact = (short == x).all(1)
                 row, name = code.decode(x / np.linalg.norm(x, axis=1, keepdims=True))
-                for i, found in zip(part, np.split(name, np.searchsorted(row, np.arange(1, len(part))))):
-                    lists[i] = np.sort(found).tolist()
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int64()))], ["rep", "label", "size", "vec", "filters"])
-
-
-def _compare(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket, to link counts (rep, n, null) and edges of a forest (rep, null, to)."""
-    left = None
-
-    def bucket(f: int, chunks: tuple[int, int], rep, size, chunk, x, lists) -> list[tuple]:
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        n, found_a, found_b = len(rep), [], []
-        for at in range(0, n, CHUNK):
-            a, b = np.nonzero(x[at : at + CHUNK] @ x.T >= threshold)
-            a = a + at
-            ok = (a < b) & ((chunk[a] != chunk[b]) if chunks[0] != chunks[1] else True)
-            found_a.append(a[ok])
-            found_b.append(b[ok])
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        if len(a):  # only in the smallest filter that both have
-            first = np.fromiter((not any(v in lists[j] for v in lists[i] if v < f) for i, j in zip(a.tolist(), b.tolist())), bool, len(a))
-            a, b = a[first], b[first]
-        if not len(a):
-            return []
-        n_links = np.bincount(a, size[b], n) + np.bincount(b, size[a], n)
-        out = [(int(rep[i]), int(n_links[i]), None) for i in np.flatnonzero(n_links)]
-        up = list(range(n))
-
-        def root(i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        for i, j in zip(a.tolist(), b.tolist()):
-            p, q = root(i), root(j)
-            if p != q:
-                up[max(p, q)] = min(p, q)
-                out.append((int(rep[i]), None, int(rep[j])))
-        return out
+                for k, (i, found) in enumerate(zip(part, np.split(name, np.searchsorted(row, np.arange(1, len(part)))))):
+                    found = np.sort(found)
+                    packed[i] = short[k].tobytes() if exact[k] else x[k].astype("<f8").tobytes()
+                    lists[i] = found.astype(_filter_type(directions)).tobytes()
+                    cells[i] = np.unique(found // code.words).tolist()
+        dims = pa.array([len(v) for v in vectors], pa.int32())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], dims, pa.array(packed, pa.binary()), pa.array(lists, pa.binary()), pa.array(cells, pa.list_(pa.int64()))], ["rep", "label", "size", "dims", "vec", "filters", "cells"])
+
+
+def _first_shared(lists: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest filter that the vectors of each pair share, -1 if none; rows of lists are sorted and end in -1."""
+    out = np.full(len(a), -1, np.int64)
+    for at in range(0, len(a), 4096):
+        x, y = lists[a[at : at + 4096]], lists[b[at : at + 4096]]
+        shared = ((x[:, :, None] == y[:, None, :]) & (x >= 0)[:, :, None]).any(2)
+        out[at : at + 4096] = np.where(shared.any(1), x[np.arange(len(x)), shared.argmax(1)], -1)
+    return out
+
+
+def _joined(up: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """up (the smallest known member of each one's component) with the links a to b."""
+    while True:
+        p, q = up[a], up[b]
+        apart = p != q
+        if not apart.any():
+            return up
+        np.minimum.at(up, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while (up[up] != up).any():
+            up = up[up]
+
+
+def _compare(batches: Iterable[pa.RecordBatch], threshold: float, directions: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by cell, to link counts (rep, n, null) and edges of a forest (rep, null, to)."""
+    left, words = None, {}
+
+    def cell(dims: int, name: int, two: bool, rep, size, chunk, vectors, packed) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        n = len(rep)
+        x = np.array([np.frombuffer(v, "<f4" if len(v) == 4 * dims else "<f8") for v in vectors], np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        names = [np.frombuffer(v, _filter_type(directions)) for v in packed]
+        lists = np.full((n, max(map(len, names))), -1, np.int64)
+        for i, v in enumerate(names):
+            lists[i, : len(v)] = v
+        if dims not in words:
+            words[dims] = ProductCode(dims, directions).words
+        n_links, up = np.zeros(n), np.arange(n)
+        for at in range(0, n, 256):
+            a, b = np.nonzero(x[at : at + 256] @ x[at:].T >= threshold)
+            ok = a < b
+            a, b = a[ok] + at, b[ok] + at
+            if two:
+                ok = chunk[a] != chunk[b]
+                a, b = a[ok], b[ok]
+            first = _first_shared(lists, a, b)  # each pair once: where the smallest filter of both is
+            ok = (first >= 0) & (first // words[dims] == name)
+            a, b = a[ok], b[ok]
+            n_links += np.bincount(a, size[b], n) + np.bincount(b, size[a], n)
+            up = _joined(up, a, b)
+        some, hung = np.flatnonzero(n_links), np.flatnonzero(up != np.arange(n))
+        return [(rep[some], n_links[some].astype(np.int64), None), (rep[hung], None, rep[up[hung]])]
 
     def run(t: pa.Table) -> pa.RecordBatch:
         cols = [t.column(k).combine_chunks() for k in range(t.num_columns)]
-        key = list(zip(*(cols[k].to_pylist() for k in range(5))))  # label, dims, filter, i, j
+        key = list(zip(*(cols[k].to_pylist() for k in range(5))))  # label, dims, cell, i, j
         rep, size, chunk = (cols[k].to_numpy(zero_copy_only=False) for k in (5, 6, 7))
         vectors, lists = cols[8].to_pylist(), cols[9].to_pylist()
         out, start = [], 0
         for end in range(1, len(key) + 1):
             if end == len(key) or key[end] != key[start]:
                 if end - start > 1:
-                    out += bucket(key[start][2], key[start][3:5], rep[start:end], size[start:end], chunk[start:end], np.array(vectors[start:end], np.float64), [set(v) for v in lists[start:end]])
+                    _, dims, name, i, j = key[start]
+                    out += cell(dims, name, i != j, rep[start:end], size[start:end], chunk[start:end], vectors[start:end], lists[start:end])
                 start = end
-        cols = list(zip(*out)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rep", "n", "to"])
+        parts = [[pa.nulls(len(r), pa.int64()) if c is None else pa.array(c, pa.int64()) for c in (r, m, to)] for r, m, to in out]
+        cols = [pa.concat_arrays([p[k] for p in parts]) if parts else pa.array([], pa.int64()) for k in range(3)]
+        return pa.RecordBatch.from_arrays(cols, ["rep", "n", "to"])
 
     for batch in batches:
         t = pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
@@ -185,17 +222,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     largest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     directions = max(256.0, LIST_LENGTH * largest / FILL)
 
-    listed = cut(classes.select("rep", F.col("label").cast("string").alias("label"), "size", "vec").mapInArrow(lambda it: _lists(it, directions), "rep long, label string, size long, vec array<double>, filters array<long>"))
-    dealt = listed.select("label", F.size("vec").alias("dims"), F.explode("filters").alias("f"), "rep", "size", "vec", "filters")
-    counts = listed.select("label", F.size("vec").alias("dims"), F.explode("filters").alias("f")).groupBy("label", "dims", "f").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = dealt.join(counts, ["label", "dims", "f"])
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    own = F.when(F.col("n") > CHUNK, F.pmod(F.xxhash64("rep"), chunks)).otherwise(0).cast("int")
-    dealt = dealt.withColumn("chunks", chunks).withColumn("chunk", own)
+    listed = cut(classes.select("rep", F.col("label").cast("string").alias("label"), "size", "vec").mapInArrow(
+        lambda it: _lists(it, directions), "rep long, label string, size long, dims int, vec binary, filters binary, cells array<long>"
+    ))
+    held = listed.select("rep", "label", "dims", F.explode("cells").alias("cell"))
+    counts = held.groupBy("label", "dims", "cell").agg(F.count("*").alias("n")).where("n > 1")
+    # Keys alone learn how full their cells are; a vector then goes once to each cell, or to each pair of chunks of a full one.
+    shared = held.join(counts, ["label", "dims", "cell"]).groupBy("rep").agg(F.collect_list(F.struct("cell", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))).alias("shared"))
+    dealt = listed.drop("cells").join(shared, "rep").select("*", F.inline("shared")).drop("shared")
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("chunk")).alias("i"), F.greatest(c, F.col("chunk")).alias("j")))
-    dealt = dealt.select("label", "dims", "f", F.inline(meets), "rep", "size", "chunk", "vec", "filters")
-    place = ["label", "dims", "f", "i", "j"]
-    found = cut(dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(lambda it: _compare(it, threshold), "rep long, n long, to long"))
+    dealt = dealt.select("label", "dims", "cell", F.inline(meets), "rep", "size", "chunk", "vec", "filters")
+    place = ["label", "dims", "cell", "i", "j"]
+    found = cut(dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(lambda it: _compare(it, threshold, directions), "rep long, n long, to long"))
 
     links = found.where("n is not null").groupBy("rep").agg(F.sum("n").alias("n"))
     joined = connected_components(found.where("to is not null").select(F.col("rep").alias("a"), F.col("to").alias("b")))
