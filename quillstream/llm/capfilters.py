@@ -122,12 +122,19 @@ def _lists(batches: Iterable[pa.RecordBatch], directions: float) -> Iterator[pa.
 
 
 def _first_shared(lists: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest filter that the vectors of each pair share, -1 if none; rows of lists are sorted and end in -1."""
-    out = np.full(len(a), -1, np.int64)
-    for at in range(0, len(a), 4096):
-        x, y = lists[a[at : at + 4096]], lists[b[at : at + 4096]]
-        shared = ((x[:, :, None] == y[:, None, :]) & (x >= 0)[:, :, None]).any(2)
-        out[at : at + 4096] = np.where(shared.any(1), x[np.arange(len(x)), shared.argmax(1)], -1)
+    """The smallest filter that the vectors of each pair share, -1 if none; rows of lists are sorted and end in -1.
+
+    All pairs' lists are merged side by side; alike vectors meet after a few steps.
+    """
+    out, todo = np.full(len(a), -1, np.int64), np.arange(len(a))
+    i, j = np.zeros((2, len(a)), np.int64)
+    while len(todo):
+        x, y = lists[a, i], lists[b, j]
+        met = x == y
+        out[todo[met]] = x[met]
+        on = ~met & (x >= 0) & (y >= 0)
+        less = (x < y)[on]
+        todo, a, b, i, j = todo[on], a[on], b[on], i[on] + less, j[on] + ~less
     return out
 
 
@@ -152,7 +159,7 @@ def _compare(batches: Iterable[pa.RecordBatch], threshold: float, directions: fl
         x = np.array([np.frombuffer(v, "<f4" if len(v) == 4 * dims else "<f8") for v in vectors], np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         names = [np.frombuffer(v, _filter_type(directions)) for v in packed]
-        lists = np.full((n, max(map(len, names))), -1, np.int64)
+        lists = np.full((n, max(map(len, names)) + 1), -1, np.int64)
         for i, v in enumerate(names):
             lists[i, : len(v)] = v
         if dims not in words:
