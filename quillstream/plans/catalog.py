@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import lines as L
 from ..functions import media as M
 from ..functions import patterns as P
 from ..functions import text as X
@@ -14,7 +15,7 @@ from ..functions import tokens as K
 from ..functions import urls as U
 from ..functions import times as T
 from ..functions.times import timestamp
-from ..operators import attempts, dedupe, events, gates, merge, queue, rights, threads
+from ..operators import attempts, counters, dedupe, events, gates, merge, queue, responses, rights, threads
 from ..sources import html, pictures
 from . import adapters as A
 
@@ -662,3 +663,58 @@ def chosen_answers(spark, d):
     repairs = wanted.join(lines.select("l_orderkey", "place", "mends"), ["l_orderkey", "place"]).select("l_orderkey", "place", F.when(F.col("mends"), "").otherwise("again").alias("error"), F.concat(F.lit("mended "), F.col("place").cast("string")).alias("data"))
     found = attempts.choose_answers(lines.drop("mends"), repairs, "l_orderkey")
     return found.withColumn("errors", F.array_join("errors", "\n"))
+
+
+# --- answers of a site, counters, lines ---------------------------------------------
+
+#: Events as answers of a site: rate limits, results, errors of several shapes, and one that isn't JSON.
+ANSWERS_SQL = """a AS (SELECT event_id, ts, event_id % 7 AS kind, CASE event_id % 3 WHEN 0 THEN '30' WHEN 1 THEN '120' ELSE 'soon' END AS wait, user_id FROM events),
+j AS (SELECT event_id, CASE kind WHEN 0 THEN 'cooldown' WHEN 1 THEN 'sent' WHEN 6 THEN 'sent' ELSE 'failed' END AS outcome,
+  CASE kind WHEN 0 THEN 'rate limited' WHEN 2 THEN 'not for user ' || user_id || ' (code=190, subcode=5)' WHEN 3 THEN '200 (code=None, subcode=None)' WHEN 4 THEN 'no JSON in answer 502' WHEN 5 THEN '500 (code=1, subcode=None)' END AS error,
+  CASE WHEN kind = 0 THEN CASE wait WHEN '30' THEN date_trunc('second', ts) + INTERVAL 60 SECOND WHEN '120' THEN date_trunc('second', ts) + INTERVAL 120 SECOND ELSE ts + INTERVAL 15 MINUTE END END AS retry_at FROM a)"""
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    kind, wait, user = F.col("event_id") % 7, F.col("event_id") % 3, F.col("user_id").cast("string")
+    status = F.when(kind == 0, 429).when(kind == 2, 400).when(kind == 4, 502).when(kind == 5, 500).otherwise(200)
+    body = (
+        F.when(kind == 1, F.concat(F.lit('{"id":"'), user, F.lit('"}'))).when(kind == 2, F.concat(F.lit('{"error":{"message":"not for user '), user, F.lit('","code":190,"error_subcode":5}}')))
+        .when(kind == 3, '{"error":null}').when(kind == 4, "<html>Bad Gateway</html>").when(kind == 5, '{"error":{"code":1}}').otherwise(F.col("props"))
+    )
+    rows = A.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), status.alias("status"), F.when(wait == 0, "30").when(wait == 1, " 120 ").otherwise("soon").alias("retry_after"), body.alias("body"))
+    return responses.judged(rows, F.col("ts"))
+
+
+@query(f"WITH {ANSWERS_SQL} SELECT event_id, outcome, error, epoch_us(retry_at) AS retry_us FROM j")
+def delivery_answers(spark, d):
+    """What each answer means, with the reason of a failure and the end of a pause."""
+    return _answers(spark, d).select("event_id", "outcome", "error", F.unix_micros("retry_at").alias("retry_us"))
+
+
+@query(f"WITH {ANSWERS_SQL} SELECT epoch_us(max(date_trunc('second', retry_at))) AS until_us FROM j WHERE date_trunc('second', retry_at) > TIMESTAMP '{A.NOW_EVENTS}'")
+def cooldown_from_answers(spark, d):
+    """Until when the pauses that answers asked for last."""
+    log = responses.cooldown_events(_answers(spark, d), F.col("ts"))
+    return events.cooling_until(log, A.at(A.NOW_EVENTS)).select(F.unix_micros("cooling_until").alias("until_us"))
+
+
+@query("""WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS rows, max(user_id + 1) AS last_id FROM events GROUP BY 1)
+SELECT day, rows, last_id, CAST(sum(rows) OVER w AS BIGINT) AS total, max(last_id) OVER w AS largest_id FROM e WINDOW w AS (ORDER BY day)""")
+def run_totals(spark, d):
+    """Rows and largest id of each day's run, and of all runs so far."""
+    log = A.table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.col("user_id") + 1).alias("telegram_id"))
+    return counters.processed_so_far(log, "day")
+
+
+@query("""WITH w AS (SELECT item_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM benchmark),
+c AS (SELECT item_id, ws, i, unnest(range(i + 1, len(ws))) AS j FROM (SELECT item_id, ws, unnest(range(1, len(ws))) AS i FROM w)),
+t AS (SELECT item_id, i, j, array_to_string(ws[:i], ' ') AS a, array_to_string(ws[i + 1:j], ' ') AS b, array_to_string(ws[j + 1:], ' ') AS c FROM c),
+m AS (SELECT *, (length(a) + length(b) + length(c)) / 3 AS mean FROM t WHERE greatest(length(a), length(b), length(c)) <= 95),
+s AS (SELECT *, abs(length(a) - mean) + abs(length(b) - mean) + abs(length(c) - mean) + greatest(0, mean * 0.58 - length(c)) * 1.7 AS score FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6), i, j) AS n FROM s)
+SELECT w.item_id, CASE WHEN r.item_id IS NOT NULL THEN concat_ws(chr(10), a, b, c) END AS lines FROM w LEFT JOIN r ON r.item_id = w.item_id AND n = 1""")
+def balanced_titles(spark, d):
+    """Every benchmark text as three lines of the most even number of characters, 95 at most."""
+    words = F.filter(F.split("text", " "), lambda x: x != "")
+    lines = L.balanced_lines(words, F.transform(words, F.length), 3, 95)
+    return A.table(spark, d, "benchmark").select("item_id", F.array_join(lines, "\n").alias("lines"))

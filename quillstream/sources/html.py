@@ -169,9 +169,12 @@ def page_fields(html: Column) -> Column:
     return run(html)
 
 
-def read_messages(pages: DataFrame, html_col: str = "html", css: str = "tgme_widget_message", own_hosts: list[str] | None = None, own_names: list[str] | None = None, post_base: str = "", now: Column | None = None) -> DataFrame:
+def read_messages(pages: DataFrame, html_col: str = "html", css: str = "tgme_widget_message", own_hosts: list[str] | None = None, own_names: list[str] | None = None, post_base: str = "", now: Column | None = None, order: Column | None = None) -> DataFrame:
     """Messages of channel pages as rows of the inbox; of a message on several pages the last counts.
 
+    ``order`` tells which page is last; without it, it is the place in the table,
+    which depends on how its files are split.
+
     ``own_hosts`` and ``own_names`` are the collected channel's own, which its
     texts lose; ``post_base`` precedes a message's number in its address.
     """
@@ -182,7 +185,7 @@ def read_messages(pages: DataFrame, html_col: str = "html", css: str = "tgme_wid
             yield s.map(lambda x: _messages(x, css))
 
     hosts = own_hosts or []
-    found = pages.select(F.monotonically_increasing_id().alias("page"), run(html_col).alias("m")).select("page", F.inline("m"))
+    found = pages.select((F.monotonically_increasing_id() if order is None else order).alias("page"), run(html_col).alias("m")).select("page", F.inline("m"))
     latest = found.groupBy("telegram_id").agg(F.max_by(F.struct(*found.columns[2:]), "page").alias("m")).select("telegram_id", "m.*")
     first = lambda c: F.get(c, F.lit(0))
     has_images = F.size("image_urls") > 0

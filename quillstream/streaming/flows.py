@@ -68,24 +68,39 @@ def hourly_counts(events: DataFrame, time_col: str = "at") -> DataFrame:
     return distinct_posts(events, time_col).groupBy(F.window(time_col, "1 hour", "5 minutes")).agg(F.count("*").alias("posts"))
 
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    published, commented, post = state.get if state.exists else (-1, -1, None)
+def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, keep_ms: int) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
+    published, commented, post, latest = state.get if state.exists else (-1, -1, None, 0)
     for rows in batches:
-        for r in rows.sort_values("ingest_seq").itertuples():
-            if r.event == "published" and r.ingest_seq > published:
-                published, post = r.ingest_seq, r.facebook_post_id
-            elif r.event == "comment_posted" and r.ingest_seq > commented:
-                commented = r.ingest_seq
-    state.update((int(published), int(commented), post))
+        latest = max(latest, int(rows["ms"].max()))
+        out = rows[rows["event"] == "published"]
+        if len(out) and out["ingest_seq"].max() > published:
+            top = out.loc[out["ingest_seq"].idxmax()]
+            published, post = int(top["ingest_seq"]), top["facebook_post_id"]
+        commented = max(commented, int(rows.loc[rows["event"] == "comment_posted", "ingest_seq"].max() if (rows["event"] == "comment_posted").any() else -1))
+    state.update((published, commented, post, latest))
+    state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + keep_ms)
     if published >= 0:
         yield pd.DataFrame({"telegram_id": [key[0]], "post_id": [post], "comment_posted": [commented > published]})
 
 
-def delivery_state(events: DataFrame) -> DataFrame:
-    """Per id the latest publication and whether a comment followed it, updated as events come in any order."""
-    return events.groupBy("telegram_id").applyInPandasWithState(
-        _fold, "telegram_id bigint, post_id string, comment_posted boolean", "published bigint, commented bigint, post string", "update", GroupStateTimeout.NoTimeout
-    )
+def delivery_state(events: DataFrame, time_col: str = "at", keep_days: float = 30) -> DataFrame:
+    """Per id the latest publication and whether a comment followed it, updated as events come in any order.
+
+    Equal to the batch fold while an item's events are at most ``keep_days``
+    apart: its state goes once the watermark is that far behind its last event,
+    and an event after that starts it afresh.  Events later than LATENESS, and
+    those without a time, are not read.
+    """
+    keep_ms = int(keep_days * 86_400_000)
+    timed = events.where(F.col(time_col).isNotNull()).withWatermark(time_col, LATENESS)
+    rows = timed.select("telegram_id", "event", "facebook_post_id", "ingest_seq", time_col, F.unix_millis(time_col).alias("ms"))
+    return rows.groupBy("telegram_id").applyInPandasWithState(
+        lambda key, batches, state: _fold(key, batches, state, keep_ms),
+        "telegram_id bigint, post_id string, comment_posted boolean", "published bigint, commented bigint, post string, latest bigint", "update", GroupStateTimeout.EventTimeTimeout,
+    )
 
 
 def append_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):
