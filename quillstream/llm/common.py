@@ -9,8 +9,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch may hold on its way to Python; texts are long.
-ARROW_ROWS = 1024
+#: Rows and bytes that one Arrow batch may hold on its way to Python; texts are long.
+ARROW_ROWS, ARROW_BYTES = 1024, 16 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +19,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to ARROW_ROWS if it is larger."""
+    """Lower the session's Arrow batch size to ARROW_ROWS and ARROW_BYTES if it is larger."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
