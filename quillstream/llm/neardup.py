@@ -1,11 +1,16 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash and exact Jaccard similarity of word shingles.
+
+SimHash fingerprints of the shingles meet in the tables of covering LSH (simhash);
+what they link is verified on the whole sets.  Similar sets may differ in more
+bits than any covering reaches, so what is left apart is looked for by prefixes:
 
 Two sets whose similarity is 0.8 or more share one of their first n - ceil(0.8 n)
 + 1 members in any common order (prefix filtering, Bayardo et al., 2007), so
 those are the keys and no pair is missed.  The order is that of the hashes, with
 the most frequent keys last.  Documents with the same shingles are one node.  In
-each bucket of a key, nodes first try one hub; only what these links leave in
-different components is then compared pair by pair.  Candidates are sifted by
+each bucket of a key, nodes try one hub; only what these links leave in
+different components is then compared pair by pair, by the number of keys that
+two nodes share, which bounds the members that they share.  Candidates are sifted by
 small parity bitmaps, which bound the members in which sets differ (the bitmap
 filter of Sandes et al., 2017), and those left are verified on the whole sets.  Tables between the steps hold keys and never texts.
 """
@@ -22,16 +27,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import cut, id_and_text, may_have, small_batches, stored
 from .components import connected_components
 
-WIDTH, SEED = 5, 42
+WIDTH = 5
 #: Least similarity of near-duplicates, as a fraction.
 LEAST, OF = 4, 5
 #: Keys of more documents than this go last, and so many of them at most (they are broadcast).
 LARGE, MAX_LARGE = 32, 100_000
-#: Rounds in which the nodes of a bucket try a hub before all pairs that are left are compared.
-HUB_ROUNDS = 2
+#: Rounds in which the nodes of a bucket try a hub, after SimHash and before all pairs that are left are compared.
+HUB_ROUNDS = 1
 #: Bits that stand for a set where texts would be too heavy; they rule out no pair that is similar.
 MARKS = 1024
 #: Members of all the sets that a verifying task remembers, and names of sets that a naming task remembers.
@@ -40,12 +46,7 @@ MAX_MEMBERS, MAX_SEEN = 1 << 21, 100_000
 
 def shingles(text: str) -> np.ndarray:
     """Distinct hashes, in order, of all runs of five lower-cased (A-Z) words; of a shorter text, of all its words."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    runs = map(b" ".join, zip(*(words[i:] for i in range(WIDTH)))) if len(words) > WIDTH else [b" ".join(words)]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(s, SEED) for s in runs), "<u8", max(1, len(words) - WIDTH + 1)).view(np.int64))
+    return np.unique(simhash.shingle_hashes(text, WIDTH).view(np.int64))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -72,31 +73,48 @@ def prefix(s: np.ndarray, last: np.ndarray) -> np.ndarray:
     return s[:most]
 
 
-def _named(last: np.ndarray) -> Callable:
-    """(id, text) to (id, node, n, keys, marks); in a task a node's keys come once, with its first row that has an id."""
+def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) to the keys of every text by the plain order of the hashes."""
+    plain = np.empty(0, np.int64)
+    for batch in batches:
+        keys = [prefix(shingles(t), plain) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([plain, *keys]), pa.int64())], ["key"])
+
+
+def _named(shared) -> Callable:
+    """(id, text) to NAMED; in a task a node's keys come once, with its first row that has an id."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = shared.value
         seen: set[int] = set()
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            hashes = [simhash.shingle_hashes(t, WIDTH) for t in batch.column(1).to_pylist()]
+            sets = [np.unique(h.view(np.int64)) for h in hashes]
             names = [name_of(s) for s in sets]
-            keys, marks = [], []
-            for own, node, s in zip(ids, names, sets):
+            prints, keys, marks = [], [], []
+            for own, node, h, s in zip(ids, names, hashes, sets):
                 fresh = own is not None and node not in seen
                 if fresh:
                     if len(seen) >= MAX_SEEN:
                         seen.clear()
                     seen.add(node)
+                prints.append(simhash.signed(simhash.majority(h)) if fresh else None)
                 keys.append(prefix(s, last) if fresh else s[:0])
                 marks.append(marks_of(s) if fresh else None)
-            numbers = [pa.array(names, pa.int64()), pa.array(map(len, sets), pa.int64(), size=len(sets))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))], ["id", "node", "n", "keys", "marks"])
+            columns = [batch.column(0), pa.array(names, pa.int64()), pa.array(map(len, sets), pa.int64(), size=len(sets)), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "n", "fp", "keys", "marks"])
 
     return run
 
 
-NAMED = "id long, node long, n long, keys array<long>, marks array<long>"
+NAMED = "id long, node long, n long, fp long, keys array<long>, marks array<long>"
+
+
+def _frequent(docs: DataFrame) -> np.ndarray:
+    """The keys, in order, that more than LARGE texts have, the MAX_LARGE most frequent of them at most."""
+    times = docs.select("text").mapInArrow(_keys, "key long").groupBy("key").agg(F.count("*").alias("times")).where(F.col("times") > LARGE)
+    return np.array(sorted(r.key for r in times.orderBy(F.desc("times"), "key").limit(MAX_LARGE).collect()), np.int64)
 
 
 def _texts(nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -158,47 +176,57 @@ def _reach(n: Column, at: Column, n2: Column, at2: Column) -> Column:
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """(key, node, at) of keys that several nodes have, with the number of these; rows are dealt by key once, to be counted and joined."""
-    dealt = rows.select("key", "node", "at").repartition("key").dropDuplicates(["key", "node"])
+    """(key, node, n, at) of keys that several nodes have; rows are dealt by key once, to be counted and joined."""
+    dealt = rows.repartition("key").dropDuplicates(["key", "node"])
     several = dealt.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
-    return dealt.join(several, "key")
+    return dealt.join(several.select("key"), "key")
+
+
+def _alike(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that make the same components as all nodes whose fingerprints are within SimHash's radius, found by its covering tables."""
+    first = stored(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
+    same = nodes.select("node", "fp").join(first, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    both = same.union(simhash.near_edges(first).select("a", "b"))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _apart(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows with their node's component c over the edges, of keys whose nodes aren't all in one."""
+    joined = connected_components(edges).withColumnRenamed("component", "joined")
+    rows = rows.join(joined, "node", "left").select("key", "node", "n", "at", F.coalesce("joined", "node").alias("c"))
+    mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    return stored(rows.join(mixed, "key", "left_semi"))
+
+
+def _behind(n: Column) -> Column:
+    """Members of a set behind its keys."""
+    return F.floor((n * LEAST + OF - 1) / OF) - 1
 
 
 def near_edges(named: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, node, n, keys) and (node, rep, n) with distinct node to (a, b): links that make the same components as all near-duplicate pairs."""
-    spread = named.select("node", F.posexplode("keys").alias("at", "key"))
-    met = stored(_dealt(spread))
-    counts = met.where(F.col("times") > LARGE).groupBy("key").agg(F.max("times").alias("times"))
-    large = stored(counts.orderBy(F.desc("times"), "key").limit(MAX_LARGE).select("key"))
-    last = np.array(sorted(r.key for r in large.collect()), np.int64)
-    # only sets whose keys have such a key among them get others; those are met by keys of other sets that were alone before
-    hit = stored(met.join(F.broadcast(large), "key", "left_semi").select("node").distinct())
-    again = _texts(nodes.join(hit, "node", "left_semi"), docs).select("node", "text").mapInArrow(_named(last), NAMED)
-    again = stored(again.select("node", F.posexplode("keys").alias("at", "key")))
-    fresh = again.select("key").distinct()
-    old = met.select("key", "node", "at").unionByName(may_have(spread, F.col("key"), fresh).select("key", "node", "at")).join(hit, "node", "left_anti")
-    rows = stored(_dealt(old.unionByName(again.select("key", "node", "at"))).drop("times"))
-    rows = rows.join(nodes.select("node", "n"), "node").withColumn("c", F.col("node"))
-    edges = tried = None
-    for number in range(HUB_ROUNDS):
-        rows = stored(rows)
-        hubs = rows.groupBy("key").agg(F.min_by(F.struct("node", "n", "c", "at"), F.xxhash64(F.lit(number), "c", "node")).alias("hub"))
+    """NAMED and (node, rep, n, fp, marks) with distinct node to (a, b): links that make the same components as all near-duplicate pairs."""
+    rows = stored(_dealt(named.select("node", "n", F.posexplode("keys").alias("at", "key"))))
+    tried = stored(_alike(nodes))
+    edges = stored(_verified(tried, nodes, docs))
+    rows = _apart(rows, edges)
+    for _ in range(HUB_ROUNDS):
+        # the hub of a key is the node in whose order it stands first: that with the fewest rare members
+        hubs = rows.groupBy("key").agg(F.min_by(F.struct("node", "n", "c", "at"), F.struct(F.col("at") / F.col("n"), F.xxhash64("node"))).alias("hub"))
         meets = rows.join(hubs, "key").where((F.col("c") != F.col("hub.c")) & _close(F.col("n"), F.col("hub.n")) & _reach(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at")))
         # of the hubs of its keys a node tries the one that it shares most keys with
         best = meets.groupBy("node", F.col("hub.node").alias("o")).agg(F.count("*").alias("shared")).groupBy("node").agg(F.max_by("o", F.struct("shared", "o")).alias("o"))
         now = best.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
-        now = stored(now if tried is None else now.join(tried, ["a", "b"], "left_anti"))
-        found = stored(_verified(now, nodes, docs))
-        tried, edges = (now, found) if tried is None else (tried.union(now), edges.union(found))
-        joined = connected_components(edges).withColumnRenamed("component", "joined")
-        rows = rows.drop("c").join(joined, "node", "left").select("key", "node", "at", "n", F.coalesce("joined", "node").alias("c"))
-        mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        rows = rows.join(mixed, "key", "left_semi")
-    rows = stored(rows)
+        now = stored(now.join(tried, ["a", "b"], "left_anti"))
+        edges, tried = edges.union(stored(_verified(now, nodes, docs))), tried.union(now)
+        rows = _apart(rows, edges)
     other = rows.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("c").alias("c2"))
-    rest = rows.join(other, "key").where((F.col("node") < F.col("node2")) & (F.col("c") != F.col("c2")) & _close(F.col("n"), F.col("n2")) & _reach(F.col("n"), F.col("at"), F.col("n2"), F.col("at2")))
-    rest = stored(rest.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    return edges.union(_verified(rest, nodes, docs))
+    meets = rows.join(other, "key").where((F.col("node") < F.col("node2")) & (F.col("c") != F.col("c2")) & _close(F.col("n"), F.col("n2")))
+    reach = _reach(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"))
+    pairs = meets.groupBy(F.col("node").alias("a"), F.col("node2").alias("b"), "n", "n2").agg(F.count("*").alias("shared"), F.max(reach).alias("reach"))
+    # members that both have are shared keys, or stand behind the keys of the set whose keys end first
+    most = F.col("shared") + F.greatest(_behind(F.col("n")), _behind(F.col("n2")))
+    rest = pairs.where(F.col("reach") & (most * (LEAST + OF) >= (F.col("n") + F.col("n2")) * LEAST)).select("a", "b")
+    return edges.union(_verified(stored(rest.join(tried, ["a", "b"], "left_anti")), nodes, docs))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,8 +240,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession)
     read = id_and_text(docs, id_col, text_col)
-    named = stored(read.mapInArrow(_named(np.empty(0, np.int64)), NAMED))
-    nodes = stored(named.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("marks", ignorenulls=True).alias("marks")).where("rep is not null"))
+    last = docs.sparkSession.sparkContext.broadcast(_frequent(read))
+    named = stored(read.mapInArrow(_named(last), NAMED))
+    columns = [F.first(c, ignorenulls=True).alias(c) for c in ("n", "fp", "marks")]
+    nodes = stored(named.groupBy("node").agg(F.min("id").alias("rep"), *columns).where("rep is not null"))
     joined = connected_components(near_edges(named, nodes, read))
     of = nodes.select("node", "rep").join(joined, "node", "left").withColumn("c", F.coalesce("component", "node"))
     least = of.groupBy("c").agg(F.min("rep").alias("component_id"))

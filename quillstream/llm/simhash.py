@@ -29,17 +29,21 @@ LARGE = 256
 SHINGLE_BLOCK = 32_768
 
 
-def fingerprint(text: str, width: int = 3) -> int:
-    """Bits set in over half of the shingles' XXH64; 0 if there is no word."""
+def shingle_hashes(text: str, width: int = 3) -> np.ndarray:
+    """XXH64 of all runs of so many lower-cased (A-Z) words, repeats included; of a shorter text, of all its words."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     if len(words) < width:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
-    digest, hashes = xxhash.xxh64_intdigest, None
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), "<u8", max(1, len(words) - width + 1))
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(s, SEED) for s in shingles), "<u8", max(1, len(words) - width + 1))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), SHINGLE_BLOCK):
         bits = np.unpackbits(hashes[at : at + SHINGLE_BLOCK].view(np.uint8), bitorder="little")
@@ -47,6 +51,11 @@ def fingerprint(text: str, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, width: int = 3) -> int:
+    """Bits set in over half of the shingles' XXH64; 0 if there is no word."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): a row for each row; a null or blank text has fingerprint 0."""
     small_batches(docs.sparkSession)
@@ -66,7 +75,7 @@ def _masks(bits: list[int]) -> list[tuple[int, list[int]]]:
     return [(sum(1 << b for b in bits if odd(b, v)), [b for b in bits if not odd(b, v)]) for v in range(1, TABLES + 1)]
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -140,12 +149,12 @@ def near_edges(reps: DataFrame) -> DataFrame:
     levels, rows, found = _levels(), None, None
     for level, masks in enumerate(levels):
         if level == 0:
-            tables = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks)])
+            tables = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(masks)])
             rows = reps.select("rep", "fp", F.inline(tables))
         else:
             # a table's fifteen successors, by its number
             deeper = F.transform(
-                F.element_at(F.array(*[F.array(*[F.lit(_signed(m)) for m in masks[15 * k : 15 * k + 15]]) for k in range(len(levels[level - 1]))]), F.col("t") + 1),
+                F.element_at(F.array(*[F.array(*[F.lit(signed(m)) for m in masks[15 * k : 15 * k + 15]]) for k in range(len(levels[level - 1]))]), F.col("t") + 1),
                 lambda m, i: F.struct((F.col("t") * 15 + i).cast("int").alias("t"), F.col("fp").bitwiseAND(m).alias("key")),
             )
             rows = rows.select("rep", "fp", F.inline(deeper))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillstream.llm import gru, lmscore, neardup
+from quillstream.llm import gru, lmscore, neardup, simhash
 
 from .tables import documents
 from .test_dedup import groups
@@ -112,3 +112,40 @@ def test_near_duplicate_stage_against_all_pairs(spark, monkeypatch):
     df = documents(spark, list(enumerate(texts)))
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == dict(enumerate(want))
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()} == set(want)
+
+
+def test_near_duplicates_go_through_simhash(spark, monkeypatch):
+    """The covering tables' links are those of all five-word fingerprints; what is linked equals brute force, borderline copies included."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(500)}" for _ in range(70)]
+    texts = ["", "one two three"]
+    for _ in range(90):
+        copy = list(base)
+        for _ in range(rng.randrange(5)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(6)}"
+        texts.append(" ".join(copy))
+    for _ in range(10):
+        long = [f"w{rng.randrange(3000)}" for _ in range(600)]
+        texts += [" ".join(long), " ".join(long[:-1])]
+    asked, covering = [], simhash.near_edges
+
+    def seen(reps):
+        asked.append({r.fp for r in reps.collect()})
+        return covering(reps)
+
+    monkeypatch.setattr(simhash, "near_edges", seen)
+    pairs, alike = [], neardup._alike
+    monkeypatch.setattr(neardup, "_alike", lambda nodes: (pairs.append(({r.node: r.fp for r in nodes.collect()}, alike(nodes))), pairs[0][1])[1])
+    monkeypatch.setattr(neardup, "LARGE", 8)
+    sets = [plain_shingles(t) for t in texts]
+    true = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    want = groups(len(sets), true)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, documents(spark, list(enumerate(texts))), "").collect()}
+    assert kept == set(want) and 20 < len(kept) < len(set(texts)) - 20
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    assert asked == [{simhash.signed(p) for p in prints}]
+    of = {neardup.name_of(neardup.shingles(t)): k for k, t in reversed(list(enumerate(texts)))}
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= simhash.RADIUS]
+    linked = [(of[r.a], of[r.b]) for r in pairs[0][1].collect()]
+    equal = [(of[neardup.name_of(neardup.shingles(t))], k) for k, t in enumerate(texts)]
+    assert len(linked) > 10 and groups(len(texts), linked + equal) == groups(len(texts), near)
