@@ -43,7 +43,7 @@ PIECE = 1024
 
 def words_of(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", -1), "")
 
 
 def placed_masks(length: int) -> list[tuple[int | None, tuple[int, ...]]]:
@@ -92,18 +92,21 @@ def _pieces(df: DataFrame) -> DataFrame:
     return df.select("id", F.explode(pieces).alias("x")).select("id", "x.piece", "x.w", F.least(start(F.col("x.piece")), F.lit(BEFORE)).alias("skip"))
 
 
-def _doc_seeds(pieces: DataFrame, numbers: dict[tuple[int, ...], int], known: Column | None, more: list[Column]) -> DataFrame:
-    """Pieces to (id, p, mask, hash) and more columns of w and at, p's place in the piece; known: whether each word is one of the benchmark's, as all of a seed's must be."""
+def _doc_seeds(pieces: DataFrame, numbers: dict[tuple[int, ...], int], known: Column | None) -> DataFrame:
+    """Pieces to (id, p, mask, hash, near, own), near the words from BEFORE places before to AFTER after p and own p's place there; known: whether each word is one of the benchmark's, as all of a seed's must be."""
     places = F.sequence(F.col("skip"), F.least(F.col("skip") + PIECE, F.size("w")) - 1)
     if known is not None:
         rests = {m[1:] for m in numbers}
         rest = lambda at: reduce(or_, [reduce(and_, [F.get("known", at + k) for k in m], F.lit(True)) for m in sorted(rests)])
         pieces = pieces.withColumn("known", known)
         places = F.filter(places, lambda at: F.get("known", at) & rest(at))
-    rows = pieces.select("id", "w", (F.col("piece") * PIECE - F.col("skip")).alias("before"), F.explode(places).alias("at"))
-    seeds = [F.when(F.col("at") + max(m) < F.size("w"), F.struct(F.lit(k).alias("mask"), _seed(F.col("w"), F.col("at"), k, m).alias("hash"))) for m, k in numbers.items()]
-    # whole texts don't go further than this
-    return rows.select("id", (F.col("before") + F.col("at")).alias("p"), *more, F.explode(F.array_compact(F.array(*seeds))).alias("seed")).select("*", "seed.*").drop("seed")
+    # rows of places carry a few words, neither the piece nor the whole text
+    first = lambda at: F.greatest(at - BEFORE, F.lit(0))
+    spot = lambda at: F.struct(at.alias("at"), F.slice("w", first(at) + 1, at + AFTER - first(at)).alias("near"))
+    rows = pieces.select("id", (F.col("piece") * PIECE - F.col("skip")).alias("before"), F.explode(F.transform(places, spot)).alias("spot"))
+    rows = rows.select("id", (F.col("before") + F.col("spot.at")).alias("p"), F.least("spot.at", F.lit(BEFORE)).alias("own"), F.col("spot.near").alias("near"))
+    seeds = [F.when(F.col("own") + max(m) < F.size("near"), F.struct(F.lit(k).alias("mask"), _seed(F.col("near"), F.col("own"), k, m).alias("hash"))) for m, k in numbers.items()]
+    return rows.select("*", F.explode(F.array_compact(F.array(*seeds))).alias("seed")).select("*", "seed.*").drop("seed")
 
 
 def _bits(seeds: DataFrame, n: int) -> tuple[DataFrame, int]:
@@ -121,15 +124,15 @@ def _few_hits(df: DataFrame, items: DataFrame, seeds: DataFrame, numbers: dict[t
     vocabulary = [r.w for r in items.select(F.explode("iw").alias("w")).distinct().limit(MAX_WORDS + 1).collect()]
     known = F.transform("w", lambda w: w.isin(vocabulary)) if 0 < len(vocabulary) <= MAX_WORDS else None
     around = items.select("item", "iw").join(seeds, "item").select("item", "len", "q", "mask", "span", "hash", _around(F.col("iw"), F.col("q")).alias("ia"))
-    found = _doc_seeds(_pieces(df), numbers, known, [_around(F.col("w"), F.col("at")).alias("da")])
-    return found.join(F.broadcast(around), ["mask", "hash"])
+    hits = _doc_seeds(_pieces(df), numbers, known).join(F.broadcast(around), ["mask", "hash"])
+    return hits.withColumn("da", _around(F.col("near"), F.col("own")))
 
 
 def _many_hits(df: DataFrame, items: DataFrame, seeds: DataFrame, numbers: dict[tuple[int, ...], int], n: int) -> DataFrame:
     """Hits of any benchmark: only keys of seeds that pass a bit filter are shuffled, then the pieces of texts."""
     bits, size = _bits(seeds, n)
     pieces = _pieces(df)
-    passed = _doc_seeds(pieces, numbers, None, []).crossJoin(F.broadcast(bits))
+    passed = _doc_seeds(pieces, numbers, None).drop("near", "own").crossJoin(F.broadcast(bits))
     bit = F.pmod("hash", F.lit(size).cast("long"))
     word = F.get("bits", F.shiftright(bit, 6).cast("int"))
     passed = passed.where(word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))) != 0).select("id", "p", "mask", "hash")

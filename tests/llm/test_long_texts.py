@@ -125,3 +125,16 @@ def test_long_documents_of_benchmark_words(spark):
         assert decontaminate.overlaps(df, bench).count() > 0
         took.append(time.time() - began)
     assert took[2] < 12 * took[1] + 5
+
+
+def test_places_carry_only_words_around_them(spark, monkeypatch):
+    """Rows of places hold the words that a stretch with their seed can reach, not their piece, at the ends of pieces too."""
+    monkeypatch.setattr(decontaminate, "PIECE", 32)
+    words = [f"w{k}" for k in range(100)]
+    df = documents(spark, [(1, " - ".join(words)), (2, " w0, w1 ")]).select(F.col("doc_id").alias("id"), decontaminate.words_of(F.col("text")).alias("w"))
+    rows = decontaminate._doc_seeds(decontaminate._pieces(df), {(0, 1): 0}, None).collect()
+    assert sorted((r.id, r.p) for r in rows) == [(1, k) for k in range(99)] + [(2, 0)]
+    for r in rows:
+        have = words if r.id == 1 else words[:2]
+        first = max(0, r.p - decontaminate.BEFORE)
+        assert r.near == have[first : r.p + decontaminate.AFTER] and r.p - r.own == first
