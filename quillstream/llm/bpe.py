@@ -19,7 +19,6 @@ import base64
 import math
 import struct
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, id_and_text, small_batches
+from .common import blocks, id_and_text, own_tables, small_batches
 
 #: States, pairs of tokens and words that one process keeps; each of these tables starts afresh when it is full.
 MAX_STATES, MAX_PAIRS, MAX_WORDS = 150_000, 500_000, 350_000
@@ -420,9 +419,14 @@ class Utf8Stream:
         return "�" if left else ""
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str, bounds: tuple[int, int, int] | None) -> Encoder:
-    return Encoder(path, pattern, bounds)
+    """The encoder that this process keeps until an operator with tables of its own, or another encoder, is asked for."""
+    tables = own_tables("bpe")
+    key = (path, pattern, bounds)
+    if key not in tables:
+        tables.clear()
+        tables[key] = Encoder(path, pattern, bounds)
+    return tables[key]
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", bounds: tuple[int, int, int] | None = None) -> DataFrame:

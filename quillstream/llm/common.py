@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,24 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+#: What this process keeps from task to task, by the operator that made it.
+_kept: dict[str, dict] = {}
+
+
+def own_tables(owner: str) -> dict:
+    """What an operator keeps in this process from task to task; called by its tasks before they read.
+
+    Spark reuses its Python workers, so what tasks of other operators left goes first.
+    """
+    others = [k for k in _kept if k != owner]
+    if others:
+        for k in others:
+            del _kept[k]
+        gc.collect()  # such tables refer to each other
+        pa.default_memory_pool().release_unused()
+    return _kept.setdefault(owner, {})
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir.  Only a session on one machine gets a folder of its own where that is unset."""
     sc = spark.sparkContext

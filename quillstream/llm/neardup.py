@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut, id_and_text, may_have, small_batches, stored
+from .common import cut, id_and_text, may_have, own_tables, small_batches, stored
 from .components import connected_components
 
 WIDTH = 5
@@ -75,6 +75,7 @@ def prefix(s: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) to the keys of every text by the plain order of the hashes."""
+    own_tables("neardup")
     plain = np.empty(0, np.int64)
     for batch in batches:
         keys = [prefix(shingles(t), plain) for t in batch.column(0).to_pylist()]
@@ -85,6 +86,7 @@ def _named(shared) -> Callable:
     """(id, text) to NAMED; in a task a node's keys come once, with its first row that has an id."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_tables("neardup")
         last = shared.value
         seen: set[int] = set()
         for batch in batches:
@@ -139,6 +141,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_tables("neardup")
         known: dict[int, np.ndarray] = {}
         held = 0
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text, small_batches
+from .common import cut, id_and_text, own_tables, small_batches
 
 #: Buckets of the hashed unigrams and bigrams.
 UNIGRAMS, BIGRAMS = 1 << 18, 1 << 16
@@ -62,6 +62,11 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def forget() -> None:
+    """Empty this process's table; what Spark sends with a task's function would be a copy of it."""
+    _hashes.clear()
+
+
 def features(text: str) -> np.ndarray:
     """Bucket of each unigram and bigram; a word followed by itself is one feature for all words."""
     tokens = WORD.findall(text)
@@ -108,6 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     read = id_and_text(docs, id_col, text_col).join(F.broadcast(labelled), F.col("id") == F.col("label_id"), "left").select("text", F.coalesce("kind", F.lit(RAW)).alias("kind"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_tables("quality")
         counts = np.zeros((4, BUCKETS), np.int64)
         for batch in batches:
             for text, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -115,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 np.add.at(counts[RAW], f, 1)
                 if kind != RAW:
                     np.add.at(counts[kind], f, 1)
-        _hashes.clear()
+        forget()
         where = np.flatnonzero(counts.any(0))
         for part in np.array_split(where, max(1, len(where) // 8192)):
             if len(part):
@@ -147,10 +153,11 @@ def _likelihoods(docs: DataFrame, models: Models, id_col: str, text_col: str) ->
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_tables("quality")
         for batch in batches:
             ll = np.array([shared.value.log_likelihoods(t) for t in batch.column(1).to_pylist()]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(ll[:, k]) for k in range(3))], ["id", "l0", "l1", "l2"])
-        _hashes.clear()
+        forget()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "id long, l0 double, l1 double, l2 double")
 
@@ -236,11 +243,12 @@ def keep_selected(docs: DataFrame, labels: DataFrame, seed: int = 1, id_col: str
     kept = docs.select("*", F.coalesce(F.col(text_col), F.lit("")).alias("__scored"), _gumbel(seed, id_col).alias("__noise"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_tables("quality")
         for batch in batches:
             ll = np.array([shared.value.log_likelihoods(t) for t in batch.column(batch.num_columns - 2).to_pylist()]).reshape(-1, 3)
             key = shared.value.log_ratio(ll) + batch.column(batch.num_columns - 1).to_numpy()
             rows = batch.filter(pa.array(key >= cut_off - 1e-9))
             yield pa.RecordBatch.from_arrays(rows.columns[:-2], rows.schema.names[:-2])
-        _hashes.clear()
+        forget()
 
     return kept.mapInArrow(run, docs.schema)

@@ -1,15 +1,18 @@
 """Corpus operators over all that narrower versions of them left out."""
 
 import random
+import weakref
 from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillstream.llm import gru, lmscore, neardup, simhash
+from quillstream.llm import bpe, gru, lmscore, neardup, quality, queries, simhash
 
 from .tables import documents
 from .test_dedup import groups
@@ -114,6 +117,31 @@ def test_near_duplicate_stage_against_all_pairs(spark, monkeypatch):
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()} == set(want)
 
 
+def test_tokenizer_tables_go_when_another_stage_starts():
+    """Python workers are reused: the tokenizer's tables stay from task to task, and no longer than its stage."""
+    arguments = (public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN, bpe.SMALL)
+    encoder = weakref.ref(bpe._encoder(*arguments))
+    assert bpe._encoder(*arguments) is encoder()
+    assert [len(b) for b in neardup._keys([pa.RecordBatch.from_pydict({"text": ["one two three"]})])] == [1]
+    assert encoder() is None
+    assert bpe._encoder(*arguments).encode("one two")
+
+
+def test_quality_leaves_no_words_in_workers(spark):
+    """A task's end empties the table of its process, not a copy that came with the task."""
+    df = documents(spark, [(k, f"some words {k} of a text") for k in range(64)]).repartition(4)
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(8)], "doc_id long, quality int, toxic int")
+    quality.keep_selected(df, labels).collect()
+
+    def left(batches):
+        from quillstream.llm.quality import _hashes  # the process's own
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(_hashes)], pa.int64())})
+
+    assert {r.n for r in spark.range(0, 64, 1, 16).mapInArrow(left, "n long").collect()} == {0}
+
+
 def test_near_duplicates_go_through_simhash(spark, monkeypatch):
     """The covering tables' links are those of all five-word fingerprints; what is linked equals brute force, borderline copies included."""
     rng = random.Random(11)
