@@ -177,3 +177,32 @@ def test_near_duplicates_go_through_simhash(spark, monkeypatch):
     linked = [(of[r.a], of[r.b]) for r in pairs[0][1].collect()]
     equal = [(of[neardup.name_of(neardup.shingles(t))], k) for k, t in enumerate(texts)]
     assert len(linked) > 10 and groups(len(texts), linked + equal) == groups(len(texts), near)
+
+
+def test_near_copies_of_one_text_meet_in_few_pairs(spark, monkeypatch):
+    """A large group whose members differ from their original, or share a passage, and are mostly not similar: linked as by brute force, without all its pairs."""
+    rng = random.Random(21)
+    base, passage = [[f"{p}{k}" for k in range(n)] for p, n in (("b", 146), ("p", 60))]
+    fresh = lambda: f"f{rng.randrange(10**9)}"
+    texts = []
+    for k in range(400):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 3, 3, 4, 4, 5])):
+            copy[rng.randrange(146)] = fresh() if k % 5 else f"b{rng.randrange(146)}"
+        texts.append(" ".join(copy))
+    for _ in range(200):
+        texts.append(" ".join([fresh() for _ in range(rng.randrange(1, 15))] + passage + [fresh() for _ in range(rng.randrange(15))]))
+    sets = [plain_shingles(t) for t in texts]
+    true = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    want = groups(len(sets), true)
+    assert 100 < len(set(want)) < 500
+    asked, possible = [], neardup._possible
+
+    def seen(pairs, nodes):
+        asked.append(pairs.count())
+        return possible(pairs, nodes)
+
+    monkeypatch.setattr(neardup, "_possible", seen)
+    df = documents(spark, list(enumerate(texts)))
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == dict(enumerate(want))
+    assert sum(asked) < 10 * len(texts)
