@@ -6,12 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import normal_form, or_empty
+from .text import normal_letters, or_empty
 
 
 def tokens(c: Column) -> Column:
     """Distinct content tokens of a text's normal form."""
-    found = F.transform(F.regexp_extract_all(normal_form(c), F.lit(P.TOKEN), F.lit(0)), lambda t: F.regexp_replace(t, P.TOKEN_EDGES, ""))
+    # no token holds white space, so its runs needn't become one space
+    found = F.transform(F.regexp_extract_all(normal_letters(c), F.lit(P.TOKEN), F.lit(0)), lambda t: F.regexp_replace(t, P.TOKEN_EDGES, ""))
     return F.array_distinct(F.filter(found, lambda t: (F.length(t) >= P.LEAST_TOKEN) & ~t.isin(*P.STOPWORDS)))
 
 
@@ -58,12 +59,14 @@ def cves(c: Column) -> Column:
 
 #: Behind a token's first letter: somewhere in the rest of the token is a digit or a capital.
 STRICT_AHEAD = r"(?=[a-z._+/#:&()'’\\-]*+[0-9A-Z])"
+#: Where a token begins behind a letter, it could have begun with that letter: looking again in the same word finds nothing.
+STRICT_BEFORE = r"(?<![A-Za-z])"
 
 
 def strict_tokens(entity: Column) -> Column:
     """Tokens of a name that must be kept as written: with digits, or capitals inside."""
     # only tokens with a digit or a capital behind their first letter are taken out and looked at
-    found = F.regexp_extract_all(or_empty(entity), F.lit(P.ENTITY_TOKEN.replace("]", "]" + STRICT_AHEAD, 1)), F.lit(0))
+    found = F.regexp_extract_all(or_empty(entity), F.lit(STRICT_BEFORE + P.ENTITY_TOKEN.replace("]", "]" + STRICT_AHEAD, 1)), F.lit(0))
 
     def strict(t: Column) -> Column:
         letters = F.regexp_replace(t, "[^A-Za-z]", "")
