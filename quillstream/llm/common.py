@@ -58,10 +58,17 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of earlier steps only when the driver has collected their garbage, which a small driver hardly ever does by itself."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """An eager reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    free_shuffles(df.sparkSession)
+    return out
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -72,6 +79,7 @@ def stored(df: DataFrame) -> DataFrame:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(conf).deleteOnExit(place)
+    free_shuffles(spark)
     return spark.read.parquet(path)
 
 

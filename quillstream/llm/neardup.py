@@ -55,6 +55,8 @@ CORE = 31
 MARKS = 1024
 #: Members of all the sets that a verifying task remembers, and names of sets that a naming task remembers.
 MAX_MEMBERS, MAX_SEEN = 1 << 21, 100_000
+#: Parts in which all keys of all nodes are dealt, one after the other, so that only one part's rows are on disk as shuffle files.
+PARTS = 4
 #: Rows of differences, which may be long, in one Arrow batch.
 FRAMED_ROWS = 128
 
@@ -142,7 +144,7 @@ NAMED = "id long, node long, n long, fp long, keys array<long>, marks array<long
 
 def _frequent(docs: DataFrame) -> np.ndarray:
     """The keys, in order, that more than LARGE texts have, the MAX_LARGE most frequent of them at most."""
-    times = docs.select("text").mapInArrow(_keys, "key long").groupBy("key").agg(F.count("*").alias("times")).where(F.col("times") > LARGE)
+    times = stored(docs.select("text").mapInArrow(_keys, "key long").groupBy("key").agg(F.count("*").alias("times")).where(F.col("times") > LARGE))
     return np.array(sorted(r.key for r in times.orderBy(F.desc("times"), "key").limit(MAX_LARGE).collect()), np.int64)
 
 
@@ -273,6 +275,12 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return dealt.join(several.select("key"), "key")
 
 
+def _dealt_in_parts(rows: DataFrame) -> DataFrame:
+    """_dealt of all rows, stored; each part has its own keys."""
+    part = F.pmod("key", F.lit(PARTS).cast("long"))
+    return reduce(DataFrame.unionByName, [stored(_dealt(rows.where(part == k))) for k in range(PARTS)])
+
+
 def _alike(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) that make the same components as all nodes whose fingerprints are within SimHash's radius, found by its covering tables."""
     first = stored(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
@@ -308,7 +316,7 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 def near_edges(named: DataFrame, nodes: DataFrame, docs: DataFrame, shared) -> DataFrame:
     """NAMED and (node, rep, n, fp, marks) with distinct node to (a, b): links that make the same components as all near-duplicate pairs."""
-    rows = stored(_dealt(named.select("node", "n", F.posexplode("keys").alias("at", "key")))).withColumn("s", F.col("n"))
+    rows = _dealt_in_parts(named.select("node", "n", F.posexplode("keys").alias("at", "key"))).withColumn("s", F.col("n"))
     tried = stored(_alike(nodes))
     edges = stored(_verified(tried, nodes, docs))
     rows = _apart(rows, edges)
